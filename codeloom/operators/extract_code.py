@@ -151,7 +151,7 @@ def io_event_census(lines: DataFrame, bodies: DataFrame | None = None) -> DataFr
     domain = F.coalesce(X.language_domain(F.col("path")), F.lit("ts"))
     out = None
     for name, rules in P.IO_RULES.items():
-        quick = "|".join([r[0] for r in rules] + [P.IO_ENV[name]] * (name in P.IO_ENV) + [P.IO_CONFIG[name][0]] * (name in P.IO_CONFIG))
+        quick = "|".join([r[0] for r in rules] + [e for e in [P.IO_ENV.get(name)] if e] + [c[0] for c in [P.IO_CONFIG.get(name)] if c])
         some = lines.filter((domain == name) & F.col("line").rlike(quick))
         found = [calls(pattern, "", kind, direction) for pattern, kind, direction in rules]
         if name in P.IO_CONFIG:

@@ -237,9 +237,9 @@ def _points(texts: DataFrame, pattern: str, role: str, side: str) -> DataFrame:
     pieces = texts.filter(F.col("content").rlike(pattern)).select("path", F.posexplode(cut).alias("pos", "piece"))
     breaks = F.regexp_count("piece", F.lit("\n"))
     before = F.coalesce(F.sum(breaks).over(W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    found = pieces.withColumn("before", before).filter("pos > 0 OR true").withColumn("name", F.regexp_extract("piece", f"^(?:{pattern})", 1)).filter("name <> ''")
-    head = F.regexp_extract("piece", f"^(?:{pattern})", 0)
-    lead = F.regexp_count(F.substring_index(head, F.col("name"), 1), F.lit("\n"))
+    found = pieces.withColumn("before", before).withColumn("name", F.regexp_extract("piece", f"^(?:{pattern})", 1))
+    found = found.filter("name <> ''").withColumn("head", F.regexp_extract("piece", f"^(?:{pattern})", 0))
+    lead = F.regexp_count(F.expr("split_part(head, name, 1)"), F.lit("\n"))
     return found.select("path", (F.col("before") + 1 + lead).cast("int").alias("line_no"), "name", F.lit(role).alias("role"), F.lit(side).alias("side"))
 
 

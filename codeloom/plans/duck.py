@@ -51,7 +51,7 @@ def snake(name: str) -> str:
 
 
 def cells(line: str) -> str:
-    return rf"list_transform(string_split(regexp_replace(trim({line}), '^\||\|$', '', 'g'), '|'), x -> trim(x))"
+    return rf"list_transform(string_split(regexp_replace(trim({line}), '^\||\|$', '', 'g'), '|'), lambda x: trim(x))"
 
 
 #: md_lines with fence state, as a sub-select.
