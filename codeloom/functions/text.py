@@ -167,5 +167,5 @@ def commit_anchor(commit_hash: Column, date: Column) -> Column:
 def table_cells(line: Column) -> Column:
     """Trimmed cells of a Markdown table row."""
     body = F.regexp_replace(F.trim(line), r"^\||\|$", "")
-    return F.transform(F.split(body, r"\|"), F.trim)
+    return F.transform(F.split(body, r"\|"), lambda c: F.trim(c))
 

@@ -311,7 +311,7 @@ def signature_census(symbols: DataFrame) -> DataFrame:
     """Parameters of every signature: name, type, optional and rest flags."""
     sig = X.one_line(F.col("signature"))
     inner = F.regexp_extract(sig, rf"^[^(]*\(({_BALANCED})\)", 1)
-    raw = F.filter(F.transform(F.regexp_extract_all(inner, F.lit(_PARAM), F.lit(1)), F.trim), lambda p: p != "")
+    raw = F.filter(F.transform(F.regexp_extract_all(inner, F.lit(_PARAM), F.lit(1)), lambda c: F.trim(c)), lambda p: p != "")
     rows = symbols.filter(sig.rlike(rf"^[^(]*\({_BALANCED}\)")).select("id", "module", F.posexplode(raw).alias("pos", "p"))
     p = F.regexp_replace("p", r"^(?:public|private|protected|readonly|override|static|abstract)\s+", "")
     rest = p.startswith("...")

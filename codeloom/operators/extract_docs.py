@@ -119,14 +119,15 @@ CLAIM = rf"^{NAME}(?:\.{NAME})*$"
 
 
 def extract_claims(lines: DataFrame) -> DataFrame:
-    """Identifier claims in backticks, once per page and span, with the line of the first."""
+    """Identifier claims in backticks, once per page and span, with the place of the first."""
     found = all_matches(outside_fences(lines), "`([^`]+)`", ["raw"], keep=PAGE)
     chain = F.regexp_replace("raw", r"\(\s*\)$", "")
     shaped = found.withColumn("raw", F.trim("raw")).withColumn("chain", chain)
     shaped = shaped.filter(F.col("chain").rlike(CLAIM)).withColumn("name", F.substring_index("chain", ".", -1))
     words = list(vocab.NON_CLAIM_WORDS)
     kept = shaped.filter((F.length("name") >= 3) & ~F.col("chain").isin(words) & ~F.col("name").isin(words))
-    return kept.groupBy("page", "raw", "chain", "name").agg(F.min("line_no").alias("line_no"))
+    first = kept.groupBy("page", "raw", "chain", "name").agg(F.min(F.struct("line_no", "match_no")).alias("at"))
+    return first.select("page", "raw", "chain", "name", "at.line_no", "at.match_no")
 
 
 def extract_anchors(lines: DataFrame) -> DataFrame:

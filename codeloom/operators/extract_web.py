@@ -36,7 +36,7 @@ def routes_table(lines: DataFrame) -> DataFrame:
     called = code.filter((F.col("express") | F.col("fastify") | F.col("objects")) & F.col("line").rlike(P.ROUTE_CALL))
     calls = all_matches(called, P.ROUTE_CALL, ["m", "r", "rest"], keep=("path", "line_no", "fastify", "routed"))
     listed = F.regexp_extract("rest", r"^\s*\[([^\]]*)\]", 1)
-    parts = F.filter(F.transform(F.split(listed, ","), F.trim), lambda s: s.rlike(r"^[A-Za-z_$][A-Za-z0-9_$.]*$"))
+    parts = F.filter(F.transform(F.split(listed, ","), lambda c: F.trim(c)), lambda s: s.rlike(r"^[A-Za-z_$][A-Za-z0-9_$.]*$"))
     handler = F.regexp_extract(F.regexp_replace("rest", r"^\s*\[[^\]]*\]", ""), rf"^\s*,?\s*({P.NAME})", 1)
     inline = lambda h: F.when(h == "", P.INLINE_HANDLER).otherwise(h)
     out = shaped(calls, F.when(F.col("fastify") | F.col("routed"), "fastify").otherwise("express"), F.col("m"), F.col("r"), inline(handler), F.array_join(parts, ","))

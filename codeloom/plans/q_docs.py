@@ -19,8 +19,8 @@ TABLES = rf"""(WITH o AS (SELECT page, line_no, line, is_fence, in_fence, lead(l
  r AS (SELECT *, sum(CASE WHEN regexp_matches(trim(line), '^\|[\s:|-]+\|?$') AND line_no > table_line + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY page, block ORDER BY line_no) AS rules FROM h WHERE line_no >= table_line)
  SELECT page, table_line, CASE WHEN line_no = table_line THEN 0 ELSE line_no - table_line - 1 END AS row_no, section, {D.cells('line')} AS cells, line_no FROM r WHERE rules = 0 AND line_no <> table_line + 1)"""
 TERMS = f"(SELECT DISTINCT page, trim(t) AS term FROM (SELECT page, unnest(regexp_extract_all(line, '`([^`\n]{{1,60}})`', 1)) AS t FROM {OPEN} o) q WHERE length(trim(t)) >= 2)"
-CLAIMS = rf"""(SELECT page, raw, chain, regexp_extract(chain, '([^.]*)$', 1) AS name, min(line_no) AS line_no FROM (
- SELECT page, line_no, trim(r) AS raw, regexp_replace(trim(r), '\(\s*\)$', '') AS chain FROM (SELECT page, line_no, unnest(regexp_extract_all(line, '`([^`]+)`', 1)) AS r FROM {OPEN} o) q) z
+CLAIMS = rf"""(SELECT page, raw, chain, regexp_extract(chain, '([^.]*)$', 1) AS name, min(line_no) AS line_no, arg_min(match_no, line_no * 10000 + match_no) AS match_no FROM (
+ SELECT page, line_no, match_no, trim(r) AS raw, regexp_replace(trim(r), '\(\s*\)$', '') AS chain FROM (SELECT page, line_no, unnest(regexp_extract_all(line, '`([^`]+)`', 1)) AS r, generate_subscripts(regexp_extract_all(line, '`([^`]+)`', 1), 1) - 1 AS match_no FROM {OPEN} o) q) z
  WHERE regexp_matches(chain, '^[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*$') AND length(regexp_extract(chain, '([^.]*)$', 1)) >= 3
  AND chain NOT IN {D.values(vocab.NON_CLAIM_WORDS)} AND regexp_extract(chain, '([^.]*)$', 1) NOT IN {D.values(vocab.NON_CLAIM_WORDS)} GROUP BY 1, 2, 3, 4)"""
 FILE_ANCHORS = rf"""(SELECT page, line_no, regexp_extract(a, '^`?(.*):\d+`?$', 1) AS path, CAST(regexp_extract(a, ':(\d+)`?$', 1) AS INT) AS target_line, line FROM (SELECT page, line_no, line, unnest(regexp_extract_all(line, {D.rx(vocab.ANCHOR)})) AS a FROM {OPEN} o) q)"""
