@@ -236,14 +236,14 @@ def package_edges(lines: DataFrame, packages: DataFrame, declared: DataFrame) ->
     `packages` have name, dir and ord; `declared` have name and dep.
     """
     code = lines.filter(F.col("path").rlike(r"\.(?:ts|tsx|js|jsx|vue|mjs|cjs)$") & ~X.is_test_path(F.col("path")))
-    specs = import_specifiers(code).select("path", "specifier", F.monotonically_increasing_id().alias("use"))
+    specs = import_specifiers(code).select("path", "specifier")
     def owner(df: DataFrame, path: str, name: str) -> DataFrame:
         segs = F.split(F.col(path), "/")
         prefixes = F.transform(F.sequence(F.lit(1), F.size(segs)), lambda n: F.array_join(F.slice(segs, F.lit(1), n), "/"))
         runs = df.select(path).distinct().select(path, F.explode(prefixes).alias("dir"))
         hit = runs.join(packages.filter("dir <> '.'").select("dir", "name", "ord"), "dir")
         return hit.groupBy(path).agg(F.min_by("name", "ord").alias(name))
-    placed = specs.drop("use").join(owner(specs, "path", "from_pkg"), "path")
+    placed = specs.join(owner(specs, "path", "from_pkg"), "path")
     relative = F.col("specifier").startswith(".")
     joined = F.concat_ws("/", X.dirname(F.col("path")), "specifier")
     resolved = F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"/[^/]+/\.\./", "/"), "/$", "")
@@ -287,7 +287,8 @@ def method_resolution(sites: DataFrame, methods: DataFrame, lines: DataFrame) ->
 
 def substrings(words: DataFrame, lengths: Column) -> DataFrame:
     """Every substring of the given lengths of each distinct word."""
-    sized = F.filter(lengths, lambda n: n <= F.length("word"))
+    words = words.select("word", lengths.alias("_ls"))
+    sized = F.filter("_ls", lambda n: n <= F.length("word"))
     parts = F.flatten(F.transform(sized, lambda n: F.transform(
         F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substr(F.col("word"), i, n))))
     return words.select("word", F.explode(F.array_distinct(parts)).alias("part"))
