@@ -1 +1,235 @@
-"""Queries."""
+"""Queries: call chains, data-flow stages and topics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from codeloom.operators import aggregate as A, extract_code as E, graph as G, joins as J
+from codeloom.plans import duck as D
+from codeloom.plans.catalog import Data, query
+from codeloom.plans.q_aggs import BOUNDARIES, CALLS, _inner
+from codeloom.plans.q_code import _BODIES, _IO_SQL
+from codeloom.plans.q_joins import FAN_IN, VERDICTS, calls, fan_in
+from codeloom.functions import text as X
+
+TRUSTED = f"(SELECT DISTINCT caller_name, caller_file, callee_name, callee_file, callee_line FROM {VERDICTS} v WHERE verdict = 'ok')"
+
+
+def trusted(d: Data):
+    return J.trust_edges(calls(d), d("code_lines")).filter("verdict = 'ok'")
+
+
+def roots(d: Data):
+    """Exported production classes are the entries."""
+    s = d("symbols").filter("NOT is_test AND is_exported AND label = 'Class'")
+    return s.select(F.concat_ws("@", "name", "file").alias("root"), "name", "file").distinct()
+
+
+_ROOTS = "(SELECT DISTINCT name || '@' || file AS root, name, file FROM symbols WHERE NOT is_test AND is_exported AND label = 'Class')"
+_ORD = "caller_name, caller_file, callee_name, callee_file, callee_line"
+
+
+def _bfs(by_file: bool, roots_sql: str) -> str:
+    """Three unrolled levels with a fan-out of forty per root."""
+    seen = "(root, name, file)" if by_file else "(root, name)"
+    fresh = "root, name, file" if by_file else "root, name, min(file) AS file"
+    group = "GROUP BY 1, 2, 3" if by_file else "GROUP BY 1, 2"
+    def level(k: int) -> str:
+        return f"""l{k} AS MATERIALIZED (SELECT f.root, {k} AS depth, s.* FROM f{k} f JOIN st s ON s.caller_name = f.name AND s.caller_file = f.file QUALIFY row_number() OVER (PARTITION BY f.root ORDER BY {_ORD}) <= 40)"""
+    def frontier(k: int) -> str:
+        old = " UNION ALL ".join(f"SELECT {seen} FROM f{j}" for j in range(k))
+        return f"""f{k} AS MATERIALIZED (SELECT {fresh} FROM (SELECT DISTINCT root, callee_name AS name, callee_file AS file FROM l{k - 1}) q WHERE {seen} NOT IN ({old}) {group})"""
+    return f"""st AS MATERIALIZED (SELECT * FROM {TRUSTED} t WHERE caller_name <> callee_name), f0 AS MATERIALIZED (SELECT DISTINCT root, name, file FROM {roots_sql} r), {level(0)}, {frontier(1)}, {level(1)}, {frontier(2)}, {level(2)}"""
+
+
+CHAIN = "SELECT root, depth, caller_name, caller_file, callee_name, callee_file, callee_line FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) u"
+
+
+@query("call_chain", f"WITH {_bfs(False, _ROOTS)} {CHAIN}")
+def call_chain(d: Data):
+    return G.call_chain(trusted(d), roots(d))
+
+
+@query("call_groups")
+def call_groups(d: Data):
+    entries = roots(d).withColumn("ord", F.lit(0)).filter("name LIKE '%0'")
+    top = A.top_callers(calls(d)).select("name", "file", F.lit(0).alias("ord"))
+    return G.call_groups(trusted(d), entries.orderBy("name", "file").limit(2), top)
+
+
+@query("call_group_entries", f"""WITH {_bfs(True, _ROOTS)}, u AS ({CHAIN}) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY root, caller_name, callee_name ORDER BY depth, caller_file, callee_file, callee_line) = 1""")
+def call_group_entries(d: Data):
+    found = G.call_chain(trusted(d), roots(d), by_file=True)
+    once = F.row_number().over(Window.partitionBy("root", "caller_name", "callee_name").orderBy("depth", "caller_file", "callee_file", "callee_line"))
+    return found.withColumn("_rn", once).filter("_rn = 1").drop("_rn")
+
+
+@query("hop_table", """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'CALLS' AND weight >= 45), l AS (SELECT 'callee' AS direction, src, dst FROM e UNION ALL SELECT 'caller', dst, src FROM e),
+ r AS (SELECT d.direction, p_partkey AS id, 0 AS hops FROM part, (SELECT unnest(['callee', 'caller']) AS direction) d WHERE p_partkey % 1000 = 7 UNION SELECT r.direction, l.dst, r.hops + 1 FROM r JOIN l ON l.src = r.id AND l.direction = r.direction WHERE r.hops < 6)
+ SELECT direction, id, min(hops) AS hops FROM r GROUP BY 1, 2 HAVING min(hops) > 0""")
+def hop_table(d: Data):
+    edges = d("edges").filter("type = 'CALLS' AND weight >= 45")
+    return G.hop_table(edges, d("part").filter("p_partkey % 1000 = 7").select(F.col("p_partkey").alias("id")))
+
+
+def flow_edges(d: Data):
+    """Trusted calls of the chains with their sequence, order and number of arguments."""
+    edges = J.trust_edges(calls(d), d("code_lines")).filter("verdict = 'ok'")
+    n_args = F.when(F.col("args").startswith("["), F.size(F.from_json("args", "ARRAY<STRING>"))).otherwise(0)
+    return edges.select(
+        "src", "dst", "caller_name", "caller_file", "callee_name", "callee_file", "callee_line", "call_line", n_args.alias("n_args"),
+        (F.col("src") % 6).alias("sequence"), (F.col("dst") % 3).cast("int").alias("depth"), (F.col("src") * 1000000 + F.col("dst")).alias("ord"), (F.col("src") % 50 == 0).alias("is_entry"))
+
+
+FLOW = f"""(SELECT src, dst, caller_name, caller_file, callee_name, callee_file, callee_line, call_line, CASE WHEN args LIKE '["x%' THEN 2 ELSE 0 END AS n_args, src % 6 AS sequence, dst % 3 AS depth, src * 1000000 + dst AS ord, src % 50 = 0 AS is_entry FROM {VERDICTS} v WHERE verdict = 'ok')"""
+KEYS = f"""(SELECT name, file, min(sequence) AS sequence, min(depth) AS depth, coalesce(min(call_line), 0) AS call_line, min(ord) AS first_seen, bool_or(is_entry) AS is_entry, max(c) = 0 OR max(k) = 0 AS is_terminal FROM (
+ SELECT sequence, depth, ord, caller_name AS name, caller_file AS file, CASE WHEN call_line > 0 THEN call_line END AS call_line, is_entry, 1 AS c, 0 AS k FROM {FLOW} f UNION ALL SELECT sequence, depth, ord, callee_name, callee_file, NULL, false, 0, 1 FROM {FLOW} f) t GROUP BY 1, 2)"""
+
+
+@query("stage_keys", f"SELECT * FROM {KEYS} k")
+def stage_keys(d: Data):
+    return G.stage_keys(flow_edges(d))
+
+
+def symbol_io(d: Data):
+    """I/O calls inside the bodies of functions and methods."""
+    funcs = d("symbols").filter("label IN ('Function', 'Method')")
+    return E.io_event_census(d("code_lines"), E.body_ranges(funcs, d("code_lines"))).select("id", "kind")
+
+
+def stages(d: Data):
+    edges = flow_edges(d)
+    args = edges.filter("n_args > 0").select(F.col("dst").alias("id"))
+    return G.build_stages(G.stage_keys(edges), d("symbols"), E.signature_census(d("symbols")).select("id", "type"), args, symbol_io(d))
+
+
+_IO = f"(SELECT b.id, i.kind FROM bodies b JOIN symbols s ON s.id = b.id JOIN ({_IO_SQL}) i ON i.path = b.path AND i.line_no BETWEEN b.from_line AND b.to_line WHERE s.label IN ('Function', 'Method'))"
+STAGES_CTE = f"""{_BODIES}, io AS MATERIALIZED {_IO}, fl AS MATERIALIZED {FLOW}, ky AS MATERIALIZED {KEYS.replace(FLOW, 'fl')},
+ fx AS (SELECT k.*, s.id, s.start_line, s.return_type, CASE WHEN s.id % 5 IN (1, 2) THEN 1 ELSE 0 END AS typed, coalesce(a.n, 0) AS n_args, coalesce(o.n, 0) AS n_io, coalesce(o.reads, false) AS reads, coalesce(o.writes, false) AS writes
+  FROM ky k LEFT JOIN symbols s ON s.name = k.name AND s.file = k.file LEFT JOIN (SELECT dst, count(*) AS n FROM fl WHERE n_args > 0 GROUP BY 1) a ON a.dst = s.id
+  LEFT JOIN (SELECT id, count(*) AS n, bool_or(kind IN ('fs-read', 'config', 'env')) AS reads, bool_or(kind IN ('fs-write', 'stdout')) AS writes FROM io GROUP BY 1) o ON o.id = s.id),
+ sg AS MATERIALIZED (SELECT name, file, id, sequence, depth, call_line, coalesce(start_line, 0) AS start_line, is_entry, CASE WHEN is_entry THEN 'entry' WHEN reads THEN 'io-boundary' WHEN writes THEN 'output' ELSE 'transform' END AS role,
+  CASE WHEN n_args > 0 THEN 'args' WHEN typed > 0 THEN 'params' WHEN reads THEN 'io' ELSE 'none' END AS input, CASE WHEN coalesce(return_type, '') <> '' THEN 'return' WHEN writes THEN 'io' ELSE 'none' END AS output
+  FROM fx WHERE typed > 0 OR (coalesce(return_type, '') NOT IN ('', 'void')) OR n_args > 0 OR n_io > 0 OR is_entry OR is_terminal)"""
+
+
+@query("build_stages", f"WITH {STAGES_CTE} SELECT *, input <> 'none' AND output <> 'none' AS known FROM sg")
+def build_stages(d: Data):
+    return stages(d)
+
+
+@query("stage_order", f"WITH {STAGES_CTE} SELECT *, input <> 'none' AND output <> 'none' AS known FROM sg ORDER BY is_entry DESC, sequence, depth, CASE WHEN call_line > 0 THEN call_line ELSE start_line END, name, file, id LIMIT 24")
+def stage_order(d: Data):
+    return G.stage_order(stages(d))
+
+
+def shape_evidence(d: Data):
+    """Per symbol: does it have I/O, typed parameters or a business return."""
+    io = symbol_io(d).select("id", F.lit(True).alias("io")).distinct()
+    typed = E.signature_census(d("symbols")).filter("type IS NOT NULL").select("id", F.lit(True).alias("typed")).distinct()
+    rows = d("symbols").join(io, "id", "left").join(typed, "id", "left")
+    business = F.coalesce((F.col("return_type") != "") & ~F.col("return_type").rlike(G.VOID), F.lit(False))
+    return rows.groupBy("name", "file").agg(F.bool_or(F.coalesce("io", F.lit(False))).alias("io"), F.bool_or(F.coalesce("typed", F.lit(False)) | business).alias("shaped"))
+
+
+MOVES_CTE = f"""{STAGES_CTE}, ev AS (SELECT name, file, bool_or(id IN (SELECT id FROM io)) AS io, bool_or(id % 5 IN (1, 2) OR coalesce(return_type, '') NOT IN ('', 'void')) AS shaped FROM symbols GROUP BY 1, 2),
+ mv AS (SELECT f.caller_name, f.caller_file, f.callee_name, f.callee_file, f.call_line, f.ord, f.n_args, (f.n_args > 0 OR coalesce(b.shaped, false) OR coalesce(a.io, false) OR coalesce(b.io, false))
+  AND ((f.caller_name, f.caller_file) IN (SELECT (name, file) FROM sg) OR (f.callee_name, f.callee_file) IN (SELECT (name, file) FROM sg)) AS carries
+  FROM (SELECT * FROM fl QUALIFY row_number() OVER (PARTITION BY caller_name, caller_file, callee_name, callee_file, call_line ORDER BY ord, n_args DESC) = 1) f
+  LEFT JOIN ev a ON a.name = f.caller_name AND a.file = f.caller_file LEFT JOIN ev b ON b.name = f.callee_name AND b.file = f.callee_file)"""
+
+
+def moves(d: Data):
+    # equal places keep the edge with arguments
+    edges = flow_edges(d).withColumn("ord", F.col("ord") * 10 - F.col("n_args"))
+    return G.transitions(edges, stages(d), shape_evidence(d)).withColumn("ord", F.ceil(F.col("ord") / 10))
+
+
+@query("transitions", f"WITH {MOVES_CTE} SELECT * FROM mv")
+def transitions(d: Data):
+    return moves(d)
+
+
+@query("dataflow_coverage", f"""WITH {MOVES_CTE}, ap AS (SELECT b.* FROM bodies b JOIN symbols s ON s.id = b.id WHERE s.label IN ('Function', 'Method'))
+ SELECT 'symbols_considered' AS counter, count(*) AS n FROM ky UNION ALL SELECT 'stages', count(*) FROM sg UNION ALL SELECT 'typed_stages', count(*) FILTER (input = 'params' OR output = 'return') FROM sg UNION ALL SELECT 'unknown_stages', count(*) FILTER (input = 'none' OR output = 'none') FROM sg
+ UNION ALL SELECT 'transitions', count(*) FILTER (carries) FROM mv UNION ALL SELECT 'data_bearing_transitions', count(*) FILTER (carries) FROM mv UNION ALL SELECT 'control_only_transitions', count(*) FILTER (NOT carries) FROM mv
+ UNION ALL SELECT 'io_events', count(*) FROM io WHERE id IN (SELECT id FROM sg) UNION ALL SELECT 'type_definitions', count(*) FROM symbols WHERE label IN ('Interface', 'Class') AND file IN (SELECT file FROM sg)
+ UNION ALL SELECT 'approximated_bodies', count(*) FILTER (approximated) FROM ap WHERE id IN (SELECT id FROM sg)""")
+def dataflow_coverage(d: Data):
+    s = stages(d)
+    types = d("symbols").filter("label IN ('Interface', 'Class')").join(s.select("file").distinct(), "file", "left_semi")
+    funcs = d("symbols").filter("label IN ('Function', 'Method')")
+    return G.dataflow_coverage(s, moves(d), G.stage_keys(flow_edges(d)), symbol_io(d), types, E.body_ranges(funcs, d("code_lines")))
+
+
+def topic_members(d: Data):
+    """A topic per three modules: its production files."""
+    topic = F.concat(F.lit("t"), F.floor(F.regexp_extract("module", r"(\d+)", 1).cast("bigint") / 3))
+    return d("files").filter(~X.is_test_path(F.col("path"))).select(topic.alias("topic"), F.col("path").alias("file"), "module")
+
+
+MEMBERS = rf"(SELECT 't' || CAST(floor(CAST(regexp_extract(module, '(\d+)', 1) AS BIGINT) / 3) AS BIGINT) AS topic, path AS file, module FROM files WHERE NOT {D.is_test('path')})"
+
+
+@query("subgraph_symbols", f"SELECT m.topic, row_number() OVER (PARTITION BY m.topic ORDER BY complexity DESC, id) AS rank, id, name, s.file, complexity FROM {MEMBERS} m JOIN symbols s ON s.file = m.file WHERE NOT is_test AND (docstring IS NOT NULL OR complexity > 5) AND label IN ('Class', 'Method', 'Function') QUALIFY rank <= 25")
+def subgraph_symbols(d: Data):
+    return G.subgraph_symbols(d("symbols"), topic_members(d).select("topic", "file"))
+
+
+SUB_EDGES = f"(SELECT a.topic, t.*, row_number() OVER (PARTITION BY a.topic ORDER BY {_ORD}) AS rank FROM {TRUSTED} t JOIN {MEMBERS} a ON a.file = t.caller_file JOIN {MEMBERS} b ON b.file = t.callee_file AND b.topic = a.topic QUALIFY rank <= 30)"
+
+
+@query("subgraph_edges", f"SELECT * FROM {SUB_EDGES} s")
+def subgraph_edges(d: Data):
+    return G.subgraph_edges(trusted(d), topic_members(d).select("topic", "file"))
+
+
+@query("subgraph_boundaries", f"""SELECT topic, from_module, to_module, call_count, row_number() OVER (PARTITION BY topic ORDER BY call_count DESC, from_module, to_module) AS rank FROM (SELECT DISTINCT m.topic, b.* FROM {BOUNDARIES} b JOIN {MEMBERS} m ON m.module IN (b.from_module, b.to_module)) t QUALIFY rank <= 5""")
+def subgraph_boundaries(d: Data):
+    return G.subgraph_boundaries(A.module_boundaries(calls(d)), topic_members(d).select("topic", "module"))
+
+
+def top_nodes(d: Data):
+    """Five heaviest symbols of every cluster."""
+    from codeloom.operators.classify import top_per_group
+
+    weights = d("lineitem").groupBy(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("part")).agg(F.sum("l_quantity").alias("w"))
+    top = top_per_group(weights, ["id"], [F.col("w").desc(), F.col("part")], 5, "pos")
+    return top.join(d("symbols").select(F.col("id").alias("part"), F.col("name").alias("node")), "part").select("id", "pos", "node")
+
+
+TOP_NODES = "(SELECT t.id, t.pos, s.name AS node FROM (SELECT l_suppkey AS id, l_partkey AS part, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_quantity) DESC, l_partkey) AS pos FROM lineitem GROUP BY 1, 2 QUALIFY pos <= 5) t JOIN symbols s ON s.id = t.part)"
+CLUSTER_FILES = f"(SELECT DISTINCT n.id, s.file, s.module FROM {TOP_NODES} n JOIN symbols s ON s.name = n.node WHERE NOT s.is_test AND s.file IN (SELECT path FROM files WHERE NOT {D.is_test('path')}))"
+CANDIDATES = f"""(SELECT c.id, c.members, c.cohesion, round(c.members * c.cohesion, 6) AS weight, w.files, w.modules FROM (SELECT c.*, n.n FROM clusters c JOIN (SELECT id, count(*) AS n FROM {TOP_NODES} t GROUP BY 1) n ON n.id = c.id) c
+ JOIN (SELECT id, count(DISTINCT file) AS files, count(DISTINCT module) AS modules, bool_or(file NOT IN (SELECT path FROM {_inner('reexport_shells')} r)) AS solid FROM {CLUSTER_FILES} f GROUP BY 1) w ON w.id = c.id
+ WHERE c.members >= 5 AND c.n >= 3 AND w.files >= 3 AND w.modules >= 2 AND w.solid)"""
+
+
+def cluster_files(d: Data):
+    return G.topic_files(top_nodes(d), d("symbols"), d("files"))
+
+
+def candidates(d: Data):
+    sizes = d("clusters").join(top_nodes(d).groupBy("id").agg(F.count("*").alias("top_nodes")), "id")
+    shells = E.reexport_shells(d("code_lines").filter("NOT line_no % 24 IN (2, 3)"))
+    return G.topic_candidates(sizes, cluster_files(d), shells)
+
+
+@query("topic_candidates", f"SELECT * FROM {CANDIDATES} c")
+def topic_candidates(d: Data):
+    return candidates(d)
+
+
+@query("select_topics")
+def select_topics(d: Data):
+    return G.select_topics(candidates(d), cluster_files(d))
+
+
+@query("name_topics")
+def name_topics(d: Data):
+    ranked = candidates(d).orderBy(F.col("weight").desc(), "id").limit(12)
+    topics = ranked.select("id", F.row_number().over(Window.orderBy(F.col("weight").desc(), "id")).alias("place"))
+    label = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Cluster "), "id")).when(F.col("id") % 3 == 1, "m1").otherwise("a/b")
+    labels = d("clusters").select("id", label.alias("label"))
+    nodes = top_nodes(d).withColumn("node", F.when(F.col("id") % 2 == 0, F.concat(F.lit("Load"), F.regexp_replace("node", "fn_", ""))).otherwise(F.col("node")))
+    return G.name_topics(topics, cluster_files(d), labels, nodes, d("files").select(F.substring_index("path", "/", 1).alias("dir")).distinct())
