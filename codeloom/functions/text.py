@@ -169,3 +169,9 @@ def table_cells(line: Column) -> Column:
     body = F.regexp_replace(F.trim(line), r"^\||\|$", "")
     return F.transform(F.split(body, r"\|"), lambda c: F.trim(c))
 
+
+
+def ascii_edges(pattern: str) -> str:
+    """A pattern whose `\\b` means the edge of an ASCII word, as it does outside Java."""
+    edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    return pattern.replace(r"\b", edge)

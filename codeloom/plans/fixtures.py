@@ -63,8 +63,8 @@ _TS = f"""CASE i % 24
  WHEN 14 THEN '// TODO: check ' || w || ' of ' || lang
  WHEN 15 THEN CASE doc_id % 2 WHEN 0 THEN 'router.get(''/o/' || {text('doc_id + i')} || ''', [auth, limit], handler' || {text('i')} || ');' ELSE 'app.post(''/p/' || w || ''', save' || {text('i')} || '); // express' END
  WHEN 16 THEN CASE WHEN doc_id % 11 = 0 THEN 'describe(''' || w || ' works'', () => {{' ELSE 'class C' || {text('doc_id + i')} || ' {{' END
- WHEN 17 THEN '  run_step(x) {{'
- WHEN 18 THEN '    if (bad) process.exit(' || {text('i % 5')} || ');'
+ WHEN 17 THEN '  run_step(fn_' || {text('doc_id + 7 * (i - 13)')} || ') {{'
+ WHEN 18 THEN '    if (fn_' || {text('doc_id + 7 * (i - 17)')} || '(x)) process.exit(' || {text('i % 5')} || ');'
  WHEN 19 THEN '    this.store.fn_' || {text('doc_id + 3')} || '(x).map(y);'
  WHEN 20 THEN '    return ''' || w || ''';'
  WHEN 21 THEN '  }}'

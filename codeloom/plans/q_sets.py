@@ -41,10 +41,10 @@ def jaccard_pairs(d: Data):
     return S.overlap_groups(d("doc_words"), "doc_id", "word", 0.6)
 
 
-@query("page_overlaps", _groups_sql("(SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 30)", "l_suppkey", "CAST(l_partkey AS VARCHAR)", "> 0.5"))
+@query("page_overlaps", _groups_sql("(SELECT l_orderkey, CAST(floor(l_partkey / 10) AS BIGINT) AS part FROM lineitem)", "l_orderkey", "CAST(part AS VARCHAR)", "> 0.5"))
 def page_overlaps(d: Data):
-    sets = d("lineitem").filter("l_quantity >= 30").select("l_suppkey", F.col("l_partkey").cast("string").alias("part"))
-    return S.overlap_groups(sets, "l_suppkey", "part", 0.5, strict=True)
+    sets = d("lineitem").select("l_orderkey", F.floor(F.col("l_partkey") / 10).cast("string").alias("part"))
+    return S.overlap_groups(sets, "l_orderkey", "part", 0.5, strict=True)
 
 
 @query("anchor_overlap", _groups_sql(f"(SELECT * FROM {ANCHORS} a WHERE page IN (SELECT page FROM {ANCHORS} b GROUP BY 1 HAVING count(*) >= 3))", "page", "anchor", ">= 0.7 - 1e-12"))
