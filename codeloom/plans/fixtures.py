@@ -143,7 +143,7 @@ _ROW = "i % 32"
 _MD = f"""CASE WHEN i = 0 THEN '# ' || w || ' page ' || {text('doc_id')} ELSE CASE {_ROW}
  WHEN 0 THEN '## ' || CASE doc_id % 4 WHEN 0 THEN '设计 ' WHEN 1 THEN 'Install ' WHEN 2 THEN '核心依赖 ' ELSE 'About ' END || w
  WHEN 1 THEN ''
- WHEN 2 THEN 'Calls `fn_' || {text('doc_id * 2 + i % 5')} || '` and `m.' || w || '.fn_' || {text('doc_id + i')} || '()` in ' || {path_of('doc_id')} || ':' || {text('i % 70')} || '.'
+ WHEN 2 THEN 'Calls `fn_' || {text('doc_id * 2 + i % 5')} || '` and `m.' || w || '.fn_' || {text('doc_id + i')} || '()` in (' || {path_of('doc_id')} || ':' || {text('i % 70')} || ').'
  WHEN 3 THEN s
  WHEN 4 THEN '| symbol | ' || CASE doc_id % 2 WHEN 0 THEN 'fan-in' ELSE 'complexity' END || ' | anchor |'
  WHEN 5 THEN '| --- | ---: | --- |'
@@ -151,11 +151,11 @@ _MD = f"""CASE WHEN i = 0 THEN '# ' || w || ' page ' || {text('doc_id')} ELSE CA
  WHEN 7 THEN '| `fn_' || {text('doc_id + 1')} || '` | 4 | f' || {text('doc_id')} || '.ts:' || {text('doc_id % 90')} || ' |'
  WHEN 8 THEN '| `fn_' || {text('doc_id + 2')} || '` | 9 | src/none.ts:3 |'
  WHEN 9 THEN '| `' || w || '` | 11 | ' || {path_of('(doc_id + 1)')} || ':0 |'
- WHEN 10 THEN '| `fn_' || {text('doc_id + 4')} || '` | ' || {text('doc_id % 3')} || ' | ' || {path_of('(doc_id + 2)')} || ':9 |'
+ WHEN 10 THEN '| `fn_' || {text('doc_id + 4')} || '` | ' || {text('doc_id % 3')} || ' | (' || {path_of('(doc_id + 2)')} || ':9) |'
  WHEN 11 THEN '| `FN_' || {text('doc_id + 4')} || '` | 2 | - |'
  WHEN 12 THEN ''
  WHEN 13 THEN 'See [next](p' || {text('doc_id + 1')} || '.md), [gone](gone' || {text('doc_id % 7')} || '.md#top), [routing](routing.md), [src](' || {path_of('doc_id')} || ') and [part](#' || w || ').'
- WHEN 14 THEN CASE doc_id % 5 WHEN 0 THEN '```mermaid' WHEN 1 THEN '```sh' ELSE 'plain ' || s END
+ WHEN 14 THEN CASE doc_id % 5 WHEN 0 THEN '```mermaid' WHEN 1 THEN '```sh' ELSE 'plain [ref](' || {path_of('(doc_id + 1)')} || ') ' || s END
  WHEN 15 THEN CASE doc_id % 5 WHEN 0 THEN CASE doc_id % 2 WHEN 0 THEN 'sequenceDiagram' ELSE '  A --> src/ghost' || {text('doc_id')} || '.ts' END ELSE '# ' || w END
  WHEN 16 THEN CASE doc_id % 5 WHEN 0 THEN '  A --> ' || {path_of('doc_id')} WHEN 1 THEN '| a | b |' ELSE '' END
  WHEN 17 THEN CASE doc_id % 5 WHEN 0 THEN '```' WHEN 1 THEN '```' ELSE '1. step `' || w || '`' END

@@ -133,7 +133,7 @@ def block_lines(d: Data):
     heads = d("md_lines").filter("line_no = 1").select("page", doc.alias("doc_id"))
     from codeloom.plans.fixtures import path_of
 
-    body = F.array(F.lit("<details>"), F.lit(f"<summary>{vocab.SUMMARY}</summary>"), F.lit(""), *[F.concat(F.lit("- "), F.expr(path_of(f"(doc_id + {k})"))) for k in (0, 1, 2)], F.lit("</details>"))
+    body = F.array(F.lit("<details>"), F.lit(f"<summary>{vocab.SUMMARY}</summary>"), F.lit(""), *[F.concat(F.lit("- "), F.expr(path_of(f"(doc_id + {k})"))) for k in (0, 1, 5)], F.lit("</details>"))
     block = heads.select("page", F.posexplode(body).alias("k", "line")).select("page", (F.col("k") + 11).alias("line_no"), "line")
     return spaced.unionByName(block)
 
@@ -141,7 +141,7 @@ def block_lines(d: Data):
 def _block_sql() -> str:
     from codeloom.plans.fixtures import path_of
 
-    files = " UNION ALL ".join(f"SELECT page, {path_of(f'(doc_id + {k})')} AS file FROM h" for k in (0, 1, 2))
+    files = " UNION ALL ".join(f"SELECT page, {path_of(f'(doc_id + {k})')} AS file FROM h" for k in (0, 1, 5))
     return f"(WITH h AS (SELECT page, CAST(substr(page, 2) AS BIGINT) AS doc_id FROM md_lines WHERE line_no = 1) {files})"
 
 

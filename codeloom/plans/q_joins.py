@@ -160,7 +160,7 @@ def ghost_links(d: Data):
     return A.ghost_links(d("md_lines"), page_paths(d))
 
 
-@query("repo_link_rewrite", r"SELECT page, line_no, replace(line, '[src](', '[src](../../') AS line, 1 AS fixed FROM md_lines WHERE line LIKE '%[src](%' AND regexp_extract(line, '\[src\]\(([^)]+)\)', 1) IN (SELECT path FROM files)")
+@query("repo_link_rewrite", r"SELECT page, line_no, regexp_replace(line, '\[(src|ref)\]\(', '[\1](../../') AS line, 1 AS fixed FROM md_lines WHERE regexp_extract(line, '\[(?:src|ref)\]\(([^)]+)\)', 1) IN (SELECT path FROM files)")
 def repo_link_rewrite(d: Data):
     return A.repo_link_rewrite(d("md_lines"), page_paths(d), d("files"))
 
