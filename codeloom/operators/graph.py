@@ -17,6 +17,7 @@ def call_chain(edges: DataFrame, roots: DataFrame, depth: int = 3, fanout: int |
     `fanout` edges are taken per root and level.
     """
     steps = edges.select("caller_name", "caller_file", "callee_name", "callee_file", "callee_line").filter("caller_name <> callee_name").distinct()
+    steps = cut_lineage(steps)  # read once per level
     seen_key = ["root", "name", "file"] if by_file else ["root", "name"]
     frontier = roots.select("root", "name", "file")
     visited = frontier.select(*seen_key).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codeloom.operators.classify import top_per_group
+from codeloom.session import cut_lineage
 
 
 def set_groups(members: DataFrame, key: str, element: str) -> tuple[DataFrame, DataFrame]:
@@ -13,7 +14,7 @@ def set_groups(members: DataFrame, key: str, element: str) -> tuple[DataFrame, D
     Returns (owners[key, set_id], sets[set_id, element, size]).  Copies of one set share an id,
     so a group of equal sets costs one set, however many keys own it.
     """
-    pairs = members.select(key, element).distinct()
+    pairs = cut_lineage(members.select(key, element).distinct())
     # order-free fingerprint of a set, kept as partial sums: two 64-bit hashes and the size
     prints = pairs.groupBy(key).agg(
         F.count("*").alias("size"),
@@ -33,6 +34,7 @@ def jaccard_sets(sets: DataFrame, threshold: float, strict: bool = False) -> Dat
     first |y| - ceil(t * |y|) + 1 of the larger.  Only those are joined, so frequent elements
     hardly ever meet; the candidates are then counted exactly.
     """
+    sets = cut_lineage(sets)
     freq = sets.groupBy("element").agg(F.count("*").alias("df"))
     placed = sets.join(freq, "element").withColumn("pos", F.row_number().over(W.partitionBy("set_id").orderBy("df", "element")))
     def first(share: float, name: str, size: str) -> DataFrame:

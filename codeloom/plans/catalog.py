@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.plans import fixtures
+from codeloom.session import cut_lineage
 
 Query = Callable[["Data"], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +25,13 @@ class Data:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str) -> DataFrame:
+        """A view written once for a query that reads it many times."""
+        if name not in self._stored:
+            self._stored[name] = cut_lineage(self(name))
+        return self._stored[name]
 
     def __call__(self, name: str) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, id(self.spark), self.sf_dir, name)

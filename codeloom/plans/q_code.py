@@ -8,6 +8,7 @@ from codeloom.functions import patterns as P, vocab
 from codeloom.operators import evidence as V, extract_code as E, extract_web as G, lines as L
 from codeloom.plans import duck as D
 from codeloom.plans.catalog import Data, query
+from codeloom.session import cut_lineage
 
 PROD = f"(SELECT * FROM code_lines WHERE NOT {D.is_test('path')})"
 JS = r"regexp_matches(path, '\.(?:vue|ts|tsx|js|jsx)$')"
@@ -318,7 +319,7 @@ _IPC = rf"""(SELECT CASE WHEN path LIKE '%.rs' THEN 'src-tauri/' || path ELSE pa
 
 
 def ipc_texts(d: Data):
-    texts = L.rebuild(d("code_lines"), "path")
+    texts = cut_lineage(L.rebuild(d("code_lines"), "path"))
     return texts.withColumn("path", F.when(F.col("path").endswith(".rs"), F.concat(F.lit("src-tauri/"), "path")).otherwise(F.col("path")))
 
 

@@ -159,11 +159,12 @@ def rule_scope_overlap(d: Data):
 
 def all_issues(d: Data):
     """The whole gate over md_lines."""
-    lines, files = d("md_lines"), d("files")
-    checked = A.anchor_line_check(A.file_anchors(lines, files), d("code_lines"))
+    lines, files, code = d.stored("md_lines"), d("files"), d.stored("code_lines")
+    resolved = A.file_anchors(lines, files)
+    checked = A.anchor_line_check(resolved, code)
     slugs = M.heading_slugs(lines)
     docs = slugs.select(F.concat(F.lit("docs/"), "page", F.lit(".md")).alias("doc"), "slug")
-    mismatch = A.anchor_symbol_mismatch(A.file_anchors(lines, files), lines, d("code_lines"), d("symbols"))
+    mismatch = A.anchor_symbol_mismatch(resolved, lines, code, d("symbols"))
     known = d("documents").filter("doc_id % 3 = 0").select(F.concat(F.lit("p"), "doc_id", F.lit(".md")).alias("path"))
     return Q.gate(
         Q.rule_empty_shell(lines), Q.rule_claim_support(lines), Q.rule_dead_links(A.dead_links(lines, page_paths(d), page_paths(d), known)),

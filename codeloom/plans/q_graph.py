@@ -11,6 +11,7 @@ from codeloom.plans.q_aggs import BOUNDARIES, CALLS, _inner
 from codeloom.plans.q_code import _BODIES, _IO_SQL
 from codeloom.plans.q_joins import FAN_IN, VERDICTS, calls, fan_in
 from codeloom.functions import text as X
+from codeloom.session import cut_lineage
 
 TRUSTED = f"(SELECT DISTINCT caller_name, caller_file, callee_name, callee_file, callee_line FROM {VERDICTS} v WHERE verdict = 'ok')"
 
@@ -60,8 +61,8 @@ def call_groups(d: Data):
 @query("call_group_entries", f"""WITH {_bfs(True, _ROOTS)}, u AS ({CHAIN}) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY root, caller_name, callee_name ORDER BY depth, caller_file, callee_file, callee_line) = 1""")
 def call_group_entries(d: Data):
     found = G.call_chain(trusted(d), roots(d), by_file=True)
-    once = F.row_number().over(Window.partitionBy("root", "caller_name", "callee_name").orderBy("depth", "caller_file", "callee_file", "callee_line"))
-    return found.withColumn("_rn", once).filter("_rn = 1").drop("_rn")
+    first = F.row_number().over(Window.partitionBy("root", "caller_name", "callee_name").orderBy("depth", "caller_file", "callee_file", "callee_line"))
+    return found.withColumn("_rn", first).filter("_rn = 1").drop("_rn")
 
 
 @query("hop_table", """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'CALLS' AND weight >= 45), l AS (SELECT 'callee' AS direction, src, dst FROM e UNION ALL SELECT 'caller', dst, src FROM e),
@@ -72,8 +73,19 @@ def hop_table(d: Data):
     return G.hop_table(edges, d("part").filter("p_partkey % 1000 = 7").select(F.col("p_partkey").alias("id")))
 
 
+def once(d: Data, name: str, make):
+    """A result written once per query, for the steps that share it."""
+    if name not in d._stored:
+        d._stored[name] = cut_lineage(make())
+    return d._stored[name]
+
+
 def flow_edges(d: Data):
     """Trusted calls of the chains with their sequence, order and number of arguments."""
+    return once(d, "flow_edges", lambda: _flow_edges(d))
+
+
+def _flow_edges(d: Data):
     edges = J.trust_edges(calls(d), d("code_lines")).filter("verdict = 'ok'")
     n_args = F.when(F.col("args").startswith("["), F.size(F.from_json("args", "ARRAY<STRING>"))).otherwise(0)
     return edges.select(
@@ -91,13 +103,21 @@ def stage_keys(d: Data):
     return G.stage_keys(flow_edges(d))
 
 
+def bodies(d: Data):
+    """Bodies of functions and methods."""
+    return once(d, "bodies", lambda: E.body_ranges(d("symbols").filter("label IN ('Function', 'Method')"), d("code_lines")))
+
+
 def symbol_io(d: Data):
     """I/O calls inside the bodies of functions and methods."""
-    funcs = d("symbols").filter("label IN ('Function', 'Method')")
-    return E.io_event_census(d("code_lines"), E.body_ranges(funcs, d("code_lines"))).select("id", "kind")
+    return once(d, "symbol_io", lambda: E.io_event_census(d("code_lines"), bodies(d)).select("id", "kind"))
 
 
 def stages(d: Data):
+    return once(d, "stages", lambda: _stages(d))
+
+
+def _stages(d: Data):
     edges = flow_edges(d)
     args = edges.filter("n_args > 0").select(F.col("dst").alias("id"))
     return G.build_stages(G.stage_keys(edges), d("symbols"), E.signature_census(d("symbols")).select("id", "type"), args, symbol_io(d))
@@ -140,6 +160,10 @@ MOVES_CTE = f"""{STAGES_CTE}, ev AS (SELECT name, file, bool_or(id IN (SELECT id
 
 
 def moves(d: Data):
+    return once(d, "moves", lambda: _moves(d))
+
+
+def _moves(d: Data):
     # equal places keep the edge with arguments
     edges = flow_edges(d).withColumn("ord", F.col("ord") * 10 - F.col("n_args"))
     return G.transitions(edges, stages(d), shape_evidence(d)).withColumn("ord", F.ceil(F.col("ord") / 10))
@@ -158,8 +182,7 @@ def transitions(d: Data):
 def dataflow_coverage(d: Data):
     s = stages(d)
     types = d("symbols").filter("label IN ('Interface', 'Class')").join(s.select("file").distinct(), "file", "left_semi")
-    funcs = d("symbols").filter("label IN ('Function', 'Method')")
-    return G.dataflow_coverage(s, moves(d), G.stage_keys(flow_edges(d)), symbol_io(d), types, E.body_ranges(funcs, d("code_lines")))
+    return G.dataflow_coverage(s, moves(d), G.stage_keys(flow_edges(d)), symbol_io(d), types, bodies(d))
 
 
 def topic_members(d: Data):

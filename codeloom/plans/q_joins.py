@@ -8,6 +8,7 @@ from codeloom.functions import patterns as P, vocab
 from codeloom.operators import anchors as A, extract_code as E, extract_docs as M, extract_web as G, joins as J
 from codeloom.plans import duck as D
 from codeloom.plans.catalog import Data, query
+from codeloom.session import cut_lineage
 from codeloom.plans.q_code import _IPC, _IMPORTS, _WORDS, ipc_texts
 from codeloom.plans.q_docs import CLAIMS, FILE_ANCHORS, LINKS, SLUGS, TERMS
 
@@ -322,8 +323,8 @@ def verify_absence(d: Data):
  h AS (SELECT DISTINCT f.name, f.side FROM f JOIN c ON contains(c.line, f.form) WHERE (f.side = 'any' OR (f.side = 'rust') = (c.path LIKE '%.rs')) AND NOT (c.line LIKE 'listen(%' AND contains(c.line, '''' || f.name || '''')))
  SELECT g.ipc_kind, g.name, g.missing, CASE WHEN h.name IS NULL THEN 'orphan' ELSE 'scan-limit' END AS state FROM g LEFT JOIN h ON g.name = h.name AND g.side = h.side""")
 def ipc_reconcile(d: Data):
-    points = G.ipc_points(ipc_texts(d))
-    return J.ipc_reconcile(J.ipc_match(points), points, d("code_lines"))
+    points = cut_lineage(G.ipc_points(ipc_texts(d)))
+    return J.ipc_reconcile(cut_lineage(J.ipc_match(points)), points, d("code_lines"))
 
 
 @query("method_resolution", rf"""WITH defs AS (SELECT DISTINCT name AS method, file FROM symbols WHERE label = 'Method' AND NOT {D.is_test('file')}), t AS (SELECT method, count(*) AS candidates FROM defs GROUP BY 1),
