@@ -243,8 +243,8 @@ def safe_cut(texts: DataFrame, key: str, column: str = "text", least: int = 200)
 
 def assemble_sections(parts: DataFrame, key: str, order: str, column: str = "text") -> DataFrame:
     """Parts in order, joined by blank lines; only the first of equal headings (in any case) stays."""
-    trimmed = parts.select(key, order, F.regexp_replace(column, r"^\s+|\s+$", "").alias("t")).filter("t <> ''")
-    lines = trimmed.select(F.col(key).alias("doc"), F.col(order).alias("part"), F.concat_ws("\u0001", F.col(key).cast("string"), F.col(order).cast("string")).alias("page"), F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
+    trimmed = parts.select(F.col(key).alias("doc"), F.col(order).alias("part"), F.regexp_replace(column, r"^\s+|\s+$", "").alias("body")).filter("body <> ''")
+    lines = trimmed.select("doc", "part", F.concat_ws("\u0001", F.col("doc").cast("string"), F.col("part").cast("string")).alias("page"), F.posexplode(F.split("body", "\n", -1)).alias("line_no", "line"))
     rows = with_fences(lines)
     heading = F.when(~F.col("is_fence") & ~F.col("in_fence") & F.col("line").rlike(r"^#{1,6}\s+.+$"), F.lower(F.trim("line")))
     rows = rows.withColumn("heading", heading)
@@ -253,7 +253,7 @@ def assemble_sections(parts: DataFrame, key: str, order: str, column: str = "tex
     kept = rows.join(first, ["doc", "heading"], "left").filter(F.col("heading").isNull() | (F.col("first") == place))
     # one array per conversation part, then one per conversation
     texts = kept.groupBy("doc", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("t"))
-    whole = trimmed.select(F.col(key).alias("doc"), F.col(order).alias("part")).join(texts, ["doc", "part"], "left")
+    whole = trimmed.select("doc", "part").join(texts, ["doc", "part"], "left")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", F.coalesce("t", F.lit("")).alias("t")))), lambda x: x["t"]), "\n\n")
     return whole.groupBy("doc").agg(joined.alias("content")).withColumnRenamed("doc", key)
 
