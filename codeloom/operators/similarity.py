@@ -26,25 +26,28 @@ def set_groups(members: DataFrame, key: str, element: str) -> tuple[DataFrame, D
     return owners.select(key, "set_id"), sets
 
 
-def jaccard_sets(sets: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
+def jaccard_sets(sets: DataFrame, threshold: float, strict: bool = False, matches: int = 4) -> DataFrame:
     """Pairs of distinct sets with a Jaccard of at least the threshold (above it, when strict).
 
-    Prefix filter: elements are ordered from rare to frequent, sets by size.  The smaller of two
-    matching sets shows one of its first |x| - ceil(2t / (1 + t) * |x|) + 1 elements among the
-    first |y| - ceil(t * |y|) + 1 of the larger.  Only those are joined, so frequent elements
-    hardly ever meet; the candidates are then counted exactly.
+    Prefix filter: elements are ordered from rare to frequent, sets by size.  Two matching sets
+    share k elements (or as many as they must share, when that is less) among the first
+    |x| - ceil(2t / (1 + t) * |x|) + k of the smaller and the first |y| - ceil(t * |y|) + k of
+    the larger, where k grows with the size of a set up to `matches`.  Only those are joined, so frequent elements
+    hardly ever meet; what is left is then counted exactly.
     """
     sets = cut_lineage(sets)
     freq = sets.groupBy("element").agg(F.count("*").alias("df"))
     placed = sets.join(freq, "element").withColumn("pos", F.row_number().over(W.partitionBy("set_id").orderBy("df", "element")))
+    k = lambda size: F.least(F.lit(matches), 1 + F.floor(F.col(size) / 4))
     def first(share: float, name: str, size: str) -> DataFrame:
-        kept = placed.filter(F.col("pos") <= F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1)
+        kept = placed.filter(F.col("pos") <= F.col("size") - F.ceil(share * F.col("size") - 1e-9) + k("size"))
         return kept.select(F.col("set_id").alias(name), "element", F.col("size").alias(size))
     small = first(2 * threshold / (1 + threshold), "a", "na")
     large = first(threshold, "b", "nb")
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     close = F.col("na") >= threshold * F.col("nb") - 1e-9
-    candidates = small.join(large, "element").filter(ordered & close).select("a", "b", "na", "nb").distinct()
+    needed = F.least(k("na"), F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9))
+    candidates = small.join(large, "element").filter(ordered & close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(F.col("met") >= needed).drop("met")
     mine = candidates.join(sets.select(F.col("set_id").alias("a"), "element"), "a")
     shared = mine.join(sets.select(F.col("set_id").alias("b"), "element"), ["b", "element"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     score = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))

@@ -38,6 +38,8 @@ class Data:
         if key not in _frames:
             if name in fixtures.BASE_TABLES:
                 frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                if name == "documents":
+                    frame = spread(frame)
             else:
                 sql = _SPARK_VIEWS[name]
                 for other in _mentioned(sql, _SPARK_VIEWS):
@@ -53,6 +55,12 @@ class Data:
         return _frames[key]
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Use all cores when the files hold fewer splits than that; larger inputs stay as they are read."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < min(cores, 32) else frame
+
+
 def _mentioned(sql: str, views: dict[str, str]) -> list[str]:
     return [v for v in views if re.search(rf"\b(?:FROM|JOIN)\s+{v}\b", sql, re.IGNORECASE)]
 

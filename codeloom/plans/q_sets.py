@@ -41,9 +41,9 @@ def jaccard_pairs(d: Data):
     return S.overlap_groups(d("doc_words"), "doc_id", "word", 0.6)
 
 
-@query("page_overlaps", _groups_sql("(SELECT l_orderkey, CAST(floor(l_partkey / 10) AS BIGINT) AS part FROM lineitem)", "l_orderkey", "CAST(part AS VARCHAR)", "> 0.5"))
+@query("page_overlaps", _groups_sql("(SELECT l_orderkey, CAST(floor(l_partkey / 4) AS BIGINT) AS part FROM lineitem)", "l_orderkey", "CAST(part AS VARCHAR)", "> 0.5"))
 def page_overlaps(d: Data):
-    sets = d("lineitem").select("l_orderkey", F.floor(F.col("l_partkey") / 10).cast("string").alias("part"))
+    sets = d("lineitem").select("l_orderkey", F.floor(F.col("l_partkey") / 4).cast("string").alias("part"))
     return S.overlap_groups(sets, "l_orderkey", "part", 0.5, strict=True)
 
 
