@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -15,6 +17,26 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_SHARE = 1000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that Python tasks can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="codeloom-"), "codeloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    z.write(file, os.path.relpath(file, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; in local mode only, a scratch folder where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -48,12 +70,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """Left join of facts (one row for each key; weight: rows it stands for) to rows.
+def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
+    """Left (or inner) join of facts (one row for each key; weight: rows it stands for) to rows.
 
     Keys with more than a thousandth of all rows, at most HOT_SHARE of them, are broadcast, so that their rows stay
     where they are; the other rows meet their facts by a shuffle. Facts must be cheap to read twice.
     """
     hot = F.broadcast(facts.filter(F.col(weight) * HOT_SHARE > F.lit(total)))
     cold = facts.filter(F.col(weight) * HOT_SHARE <= F.lit(total))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))

@@ -30,12 +30,24 @@ def _position(key: Column, i: int) -> Column:
     return F.pmod(F.shiftright(F.xxhash64(key, F.lit("slot")), 15 * i), F.lit(BLOCK_BITS).cast("long"))
 
 
+def _blocks(total: int) -> int:
+    return max(1, min(MAX_BLOCKS, 1 << max(0, total * BITS_A_ROW // BLOCK_BITS).bit_length()))
+
+
+def _slots(keys: DataFrame, key: str, blocks: int) -> DataFrame:
+    slots = F.array_distinct(F.array(*[_position(F.col(key), i) for i in range(SLOTS)]))
+    return keys.select(_block(F.col(key), blocks).alias("_block"), F.explode(slots).alias("_slot"))
+
+
+def key_filter(keys: DataFrame, key: str, total: int) -> tuple[DataFrame, int]:
+    """A plain Bloom filter of the given keys, in the form of `repeat_filter`."""
+    return _slots(keys, key, _blocks(total)).groupBy("_block").agg(F.bitmap_construct_agg("_slot").alias("_bits")), _blocks(total)
+
+
 def repeat_filter(keys: DataFrame, key: str, total: int) -> tuple[DataFrame, int]:
     """The second filter, a bitmap for each block that has repeated slots, and the number of blocks."""
-    blocks = max(1, min(MAX_BLOCKS, 1 << max(0, total * BITS_A_ROW // BLOCK_BITS).bit_length()))
-    k = F.col(key)
-    slots = F.array_distinct(F.array(*[_position(k, i) for i in range(SLOTS)]))
-    counted = keys.select(_block(k, blocks).alias("_block"), F.explode(slots).alias("_slot")).groupBy("_block", "_slot").count()
+    blocks = _blocks(total)
+    counted = _slots(keys, key, blocks).groupBy("_block", "_slot").count()
     bits = counted.filter("count > 1").groupBy("_block").agg(F.bitmap_construct_agg("_slot").alias("_bits"))
     return bits, blocks
 
@@ -56,6 +68,14 @@ def maybe_repeated(rows: DataFrame, key: str, bits: DataFrame, blocks: int) -> D
     return found.withColumn("_maybe", F.col("_bits").isNotNull() & maybe).drop("_block", "_bits")
 
 
+def drop_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not in keys (a table with the one column `key`); only rows that pass its filter are shuffled."""
+    bits, blocks = key_filter(keys, key, keys.count())
+    marked = maybe_repeated(rows, key, saved(bits, "drop-filter"), blocks)
+    rest = marked.filter("_maybe").join(keys, key, "left_anti")
+    return marked.filter("NOT _maybe").unionByName(rest).drop("_maybe")
+
+
 def with_groups(rows: DataFrame, keys: DataFrame, key: str, best: str, total: int) -> DataFrame:
     """rows with `_best` (the largest value of `best` among the rows of equal key) and `_size` (their number).
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import arc_convert, exact_dedup, mixing
+from codeloom.llm import arc_convert, decontaminate, exact_dedup, html_marginals, langid, license_scan, lsh_forest, mixing, quality_fm, url_filter
+from codeloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,17 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def on(name: str, fn: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: fn(table(spark, sf_dir, name))
+def on(fn: Callable[..., DataFrame], *names: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(*[table(spark, sf_dir, name) for name in names])
+
+    return run
 
 
 QUERIES: dict[str, Query] = {
-    "op3_mixing": on("documents", mixing.op3_query),
-    "op9_exact_dedup": on("documents", exact_dedup.op9_query),
-    "op10_arc_to_warc": on("pages", arc_convert.op10_query),
+    "op1_url_filter": on(url_filter.op1_query, "pages"),
+    "op2_quality": on(quality_fm.op2_query, "documents", "labels"),
+    "op3_mixing": on(mixing.op3_query, "documents"),
+    "op4_license_scan": on(license_scan.op4_query, "documents"),
+    "op5_near_dedup": on(lsh_forest.op5_query, "documents"),
+    "op6_main_text": on(html_marginals.op6_query, "pages"),
+    "op7_decontamination": on(decontaminate.op7_query, "documents", "benchmark"),
+    "op8_language": on(langid.op8_query, "documents"),
+    "op9_exact_dedup": on(exact_dedup.op9_query, "documents"),
+    "op10_arc_to_warc": on(arc_convert.op10_query, "pages"),
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_filter": url_filter.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_arc_to_warc": arc_convert.OP10_SQL,
