@@ -61,15 +61,17 @@ def file_history(commits: DataFrame, window: int = 200) -> DataFrame:
     return out.select("file", "commits", F.col("f.hash").alias("first_hash"), "first_subject", F.col("l.hash").alias("last_hash"), "last_subject", (F.col("commits") >= window).alias("long_log"))
 
 
-def root_commits(commits: DataFrame, parents: DataFrame, limit: int = 50) -> DataFrame:
+def root_commits(commits: DataFrame, parents: DataFrame, limit: int | None = None) -> DataFrame:
     """Commits without parents, oldest first."""
     roots = commits.select("hash", "date", "subject").join(parents.select("hash"), "hash", "left_anti")
-    return roots.orderBy("date", "hash").limit(limit)
+    return roots if limit is None else roots.orderBy("date", "hash").limit(limit)
 
 
-def oldest_in_window(commits: DataFrame, window: int = 400) -> DataFrame:
-    """Oldest of the newest commits, for histories without a visible root."""
-    recent = commits.select("hash", "date", "subject").orderBy(F.col("date").desc(), F.col("hash").desc()).limit(window)
+def oldest_in_window(commits: DataFrame, window: int | None = None) -> DataFrame:
+    """Oldest commit (of the `window` newest, if given), for histories without a visible root."""
+    recent = commits.select("hash", "date", "subject")
+    if window is not None:
+        recent = recent.orderBy(F.col("date").desc(), F.col("hash").desc()).limit(window)
     return recent.orderBy("date", "hash").limit(1)
 
 

@@ -8,9 +8,10 @@ from codeloom.functions import text as X, vocab
 from codeloom.session import fixed_table
 
 
-def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First n rows per group; Spark cuts each map output to n rows per group before the shuffle."""
-    return df.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= n)
+def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int | None, rank: str = "rank") -> DataFrame:
+    """First n rows per group, or all without n; Spark cuts each map output to n rows per group before the shuffle."""
+    ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+    return ranked if n is None else ranked.filter(F.col(rank) <= n)
 
 
 def language_mix(files: DataFrame, examples: int = 3) -> DataFrame:

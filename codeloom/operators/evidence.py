@@ -47,7 +47,7 @@ def file_headers(lines: DataFrame) -> DataFrame:
     return _evidence(texts.filter(real), "file-header", F.col("text"))
 
 
-def comment_evidence(lines: DataFrame, symbol_cap: int = 3, marker_cap: int = 5) -> DataFrame:
+def comment_evidence(lines: DataFrame, symbol_cap: int | None = None, marker_cap: int | None = None) -> DataFrame:
     """File headers, symbol comments, why-markers and constant comments of production code."""
     code = lines.filter(~X.is_test_path(F.col("path")) & X.language_domain(F.col("path")).isNotNull())
     order = by_line("path")
@@ -73,7 +73,7 @@ def comment_evidence(lines: DataFrame, symbol_cap: int = 3, marker_cap: int = 5)
     return out.unionByName(_evidence(constants.filter(F.length("text") >= 4), "const-comment", F.col("text"), F.col("symbol")))
 
 
-def doc_sections(lines: DataFrame, key: str = "page", caps: tuple[int, int] | None = (8, 3)) -> DataFrame:
+def doc_sections(lines: DataFrame, key: str = "page", caps: tuple[int, int] | None = None) -> DataFrame:
     """Heading and first paragraph of every section down to level three.
 
     A heading of a deeper level neither ends the search nor gives text; the next heading
@@ -113,8 +113,8 @@ def doc_sections(lines: DataFrame, key: str = "page", caps: tuple[int, int] | No
         F.concat("path", F.lit("#"), X.heading_slug(F.col("title"))).alias("anchor"))
 
 
-def readme_prereqs(lines: DataFrame, key: str = "page", cap: int | None = 4) -> DataFrame:
-    """First lines of the sections about installing and requirements."""
+def readme_prereqs(lines: DataFrame, key: str = "page", cap: int | None = None, first_lines: int | None = None, chars: int | None = None) -> DataFrame:
+    """Text of the sections about installing and requirements."""
     title = F.trim(F.regexp_extract("line", r"^#{1,4}\s+(.+)$", 1))
     order = W.partitionBy(key).orderBy("line_no")
     rows = lines.withColumn("title", F.nullif(title, F.lit(""))).withColumn("section", F.count("title").over(order)).filter("section > 0")
@@ -122,15 +122,16 @@ def readme_prereqs(lines: DataFrame, key: str = "page", cap: int | None = 4) ->
     inside = rows.filter("title IS NULL").join(heads.select(key, "section"), [key, "section"], "left_semi")
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     body = F.regexp_replace(parts, r"^\s+|\s+$", "")
-    first8 = F.substring(F.array_join(F.slice(F.split(body, "\n"), 1, 8), "\n"), 1, 240)
-    texts = inside.groupBy(key, "section").agg(first8.alias("text")).filter("text <> ''")
+    text = body if first_lines is None else F.array_join(F.slice(F.split(body, "\n"), 1, first_lines), "\n")
+    text = text if chars is None else F.substring(text, 1, chars)
+    texts = inside.groupBy(key, "section").agg(text.alias("text")).filter("text <> ''")
     found = heads.join(texts, [key, "section"])
     return capped(found, [key], [F.col("section")], cap).select(key, "title", "text")
 
 
-def doc_titles(lines: DataFrame, key: str = "page", within: int = 50) -> DataFrame:
+def doc_titles(lines: DataFrame, key: str = "page", within: int | None = None) -> DataFrame:
     title = F.trim(F.regexp_extract("line", r"^#\s+(.{1,80})", 1))
-    found = lines.filter(F.col("line_no") <= within).withColumn("title", title).filter("title <> ''")
+    found = (lines if within is None else lines.filter(F.col("line_no") <= within)).withColumn("title", title).filter("title <> ''")
     return found.groupBy(key).agg(F.min_by("title", "line_no").alias("title"))
 
 

@@ -39,7 +39,8 @@ def extract_native_imports(lines: DataFrame) -> DataFrame:
     stack = F.when(X.extension(F.col("path")) == ".go", F.try_element_at(known, F.lit(1))).when(
         X.extension(F.col("path")) == ".py", X.lookup(vocab.NATIVE_IMPORTS, root)).when(
         X.extension(F.col("path")) == ".swift", X.lookup(vocab.NATIVE_IMPORTS, F.regexp_extract(F.col("line"), P.SWIFT_IMPORT, 1)))
-    found = lines.filter(F.col("path").rlike(r"\.(?:py|go|swift)$") & F.col("line").contains("import")).select("path", stack.alias("stack"))
+    # a line of a Go import block holds no keyword, so only the file kind decides what is read
+    found = lines.filter(F.col("path").rlike(r"\.(?:py|go|swift)$")).select("path", stack.alias("stack"))
     return found.filter("stack IS NOT NULL").distinct().groupBy("stack").agg(F.count("*").alias("files"))
 
 
@@ -176,30 +177,51 @@ def lines_within(ranges: DataFrame, lines: DataFrame) -> DataFrame:
     return spread.join(placed, ["path", "_b"]).filter("line_no BETWEEN from_line AND to_line").drop("_b")
 
 
-FALLBACK_LINES = 80
+def _braces(lines: DataFrame) -> DataFrame:
+    """Braces outside strings and line comments: place within the file and nesting depth after each."""
+    code = F.regexp_replace(F.regexp_replace("line", _Q, ""), "//.*$", "")
+    marks = F.split(F.regexp_replace(code, r"[^{}]", ""), "")
+    rows = lines.select("path", "line_no", F.posexplode(marks).alias("k", "brace")).filter("brace <> ''")
+    order = W.partitionBy("path").orderBy("line_no", "k")
+    step = F.when(F.col("brace") == "{", 1).otherwise(-1)
+    return rows.withColumn("depth", F.sum(step).over(order)).withColumn("pos", F.row_number().over(order)).drop("k")
+
 
+def body_ranges(symbols: DataFrame, lines: DataFrame, starts: DataFrame | None = None, within: int | None = None) -> DataFrame:
+    """Body lines of each symbol: the graph's end line, else brace matching, else up to the next symbol, as approximate.
 
-def body_ranges(symbols: DataFrame, lines: DataFrame) -> DataFrame:
-    """Body lines of each symbol: the graph's end line, else brace matching, else a window marked approximate."""
+    A body closes at the first `}` that brings the depth back to that before the symbol, once a `{` was seen; `within`
+    limits the search to so many lines. `starts` are the symbols that bound an unclosed body (default: symbols).
+    """
     lengths = lines.groupBy("path").agg(F.max("line_no").alias("n_lines"))
     placed = symbols.select("id", F.col("file").alias("path"), "start_line", "end_line").join(lengths, "path").filter("start_line <= n_lines")
     graph = F.col("end_line") > F.col("start_line")
     known = placed.filter(graph).select("id", "path", F.col("start_line").alias("from_line"), F.least("end_line", "n_lines").alias("to_line"), F.lit(False).alias("approximated"))
-    rest = placed.filter(~F.coalesce(graph, F.lit(False))).select(
-        "id", "path", F.col("start_line").alias("from_line"), F.least(F.col("start_line") + FALLBACK_LINES, F.col("n_lines")).alias("to_line"))
-    code = F.regexp_replace(F.regexp_replace("line", _Q, ""), "//.*$", "")
-    braces = F.split(F.regexp_replace(code, r"[^{}]", ""), "")
-    step = F.aggregate(
-        braces, F.struct(F.lit(0).alias("d"), F.lit(1000000).alias("low")),
-        lambda a, c: F.struct(
-            (a["d"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("d"),
-            F.when(c == "}", F.least(a["low"], a["d"] - 1)).otherwise(a["low"]).alias("low")))
-    scanned = lines_within(rest, lines.select("path", "line_no", step.alias("s")))
-    before = F.coalesce(F.sum("s.d").over(W.partitionBy("id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    closing = scanned.withColumn("closes", before + F.col("s.low") <= 0).filter("closes")
-    ends = closing.groupBy("id").agg(F.min("line_no").alias("close_line"))
-    matched = rest.join(ends, "id", "left").select(
-        "id", "path", "from_line", F.coalesce("close_line", "to_line").alias("to_line"), F.col("close_line").isNull().alias("approximated"))
+    rest = placed.filter(~F.coalesce(graph, F.lit(False))).select("id", "path", F.col("start_line").alias("from_line"), "n_lines")
+    bounds = (symbols if starts is None else starts).select(F.col("file").alias("path"), F.col("start_line").alias("from_line")).unionByName(rest.select("path", "from_line")).distinct()
+    bounds = bounds.withColumn("next_line", F.lead("from_line").over(W.partitionBy("path").orderBy("from_line")))
+
+    # each symbol takes its place among the braces of its file: depth before it, and the first `{` from it on
+    braces = _braces(lines)
+    none = lambda kind: F.lit(None).cast(kind)
+    mixed = braces.select("path", "line_no", F.lit(1).alias("o"), "pos", "brace", "depth", none("bigint").alias("id")).unionByName(
+        rest.select("path", F.col("from_line").alias("line_no"), F.lit(0).alias("o"), none("int").alias("pos"), none("string").alias("brace"), none("bigint").alias("depth"), F.col("id").cast("bigint")))
+    before = W.partitionBy("path").orderBy("line_no", "o", "pos").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("path").orderBy(F.desc("line_no"), F.desc("o"), F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
+    mixed = mixed.withColumn("level", F.coalesce(F.last("depth", True).over(before), F.lit(0)))
+    mixed = mixed.withColumn("opened", F.last(F.when(F.col("brace") == "{", F.col("pos")), True).over(after))
+    asked = mixed.filter("id IS NOT NULL AND opened IS NOT NULL").select("path", "level", F.col("opened").alias("pos"), "id", none("int").alias("line_no"))
+    closers = braces.filter("brace = '}'").select("path", F.col("depth").alias("level"), "pos", none("bigint").alias("id"), "line_no")
+    later = W.partitionBy("path", "level").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
+    ends = asked.unionByName(closers).withColumn("close_line", F.last("line_no", True).over(later)).filter("id IS NOT NULL").select("id", "close_line")
+
+    last = F.coalesce(F.col("next_line") - 1, F.col("n_lines"))
+    shut = F.col("close_line")
+    if within is not None:
+        shut = F.when(shut <= F.col("from_line") + within, shut)
+        last = F.least(last, F.col("from_line") + within)
+    matched = rest.join(bounds, ["path", "from_line"], "left").join(ends, "id", "left").select(
+        "id", "path", "from_line", F.least(F.coalesce(shut, last), "n_lines").alias("to_line"), shut.isNull().alias("approximated"))
     return known.unionByName(matched)
 
 
@@ -264,15 +286,15 @@ def method_call_sites(lines: DataFrame, methods: DataFrame) -> DataFrame:
     return sites.join(methods.select(F.col("name").alias("method")).distinct(), "method", "left_semi").select("path", "line_no", "match_no", "method")
 
 
-def reexport_graph(lines: DataFrame, cap: int | None = 40) -> DataFrame:
-    """Re-export edges of each file, at most `cap` per file."""
+def reexport_graph(lines: DataFrame, cap: int | None = None) -> DataFrame:
+    """Re-export edges of each file."""
     star = all_matches(lines, P.EXPORT_STAR, ["target"]).withColumn("kind", F.lit("star"))
     named = all_matches(lines, P.EXPORT_NAMED, ["target"]).withColumn("kind", F.lit("named"))
     both = star.unionByName(named)
     return capped(both, ["path"], [F.col("line_no"), F.col("kind").desc(), F.col("match_no")], cap).select("path", "line_no", "kind", "target")
 
 
-def exported_declarations(lines: DataFrame, cap: int | None = 60) -> DataFrame:
+def exported_declarations(lines: DataFrame, cap: int | None = None) -> DataFrame:
     found = all_matches(lines, P.EXPORT_DECL, ["name"])
     return capped(found, ["path"], [F.col("line_no"), F.col("match_no")], cap).select("path", "line_no", "name")
 
@@ -284,7 +306,7 @@ def reexport_shells(lines: DataFrame) -> DataFrame:
     return counted.groupBy("path").agg(F.bool_and(t.rlike(P.REEXPORT_LINE)).alias("shell")).filter("shell").select("path")
 
 
-def test_titles(lines: DataFrame, cap: int | None = 10) -> DataFrame:
+def test_titles(lines: DataFrame, cap: int | None = None) -> DataFrame:
     title = F.regexp_extract("line", P.TEST_TITLE, 1)
     found = lines.filter(F.col("path").rlike(vocab.TEST_FILE_SUFFIX)).select("path", "line_no", title.alias("title")).filter("title <> ''")
     return capped(found, ["path"], [F.col("line_no")], cap)
@@ -333,9 +355,9 @@ def signature_counts(symbols: DataFrame) -> DataFrame:
     return rows.groupBy("module").agg(F.count_if(F.col("type").isNotNull()).alias("typed"), F.count_if(F.col("type").isNull()).alias("untyped"))
 
 
-def type_references(types: DataFrame, column: str = "type", cap: int = 12) -> DataFrame:
+def type_references(types: DataFrame, column: str = "type", cap: int | None = None) -> DataFrame:
     """Capitalised type names a type expression refers to, standard names left out, in order."""
     words = F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(rf"({P.NAME})"), F.lit(1)))
     named = F.filter(words, lambda w: w.rlike("^[A-Z]") & ~w.isin(*vocab.BUILTIN_TYPES))
     keep = [c for c in types.columns if c != column]
-    return types.select(*keep, F.explode(F.slice(named, 1, cap)).alias("reference"))
+    return types.select(*keep, F.explode(named if cap is None else F.slice(named, 1, cap)).alias("reference"))

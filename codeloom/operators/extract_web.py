@@ -43,12 +43,12 @@ def routes_table(lines: DataFrame) -> DataFrame:
 
     here = F.concat_ws("\n", F.col("line"), F.col("next5"))
     url, method = F.regexp_extract(here, P.ROUTE_URL, 1), F.regexp_extract(here, P.ROUTE_METHOD, 1)
-    # a hit covers six lines: keep a line only when no line of the five before it is one
-    objects = code.filter("objects").withColumn("u", url).withColumn("m", method)
-    hit = (F.col("u") != "") & (F.col("m") != "")
-    objects = objects.withColumn("hit", hit)
-    covered = F.max(F.when(F.col("hit"), F.col("line_no"))).over(by_line("path").rowsBetween(-5, -1))
-    first = objects.withColumn("covered", covered).filter("hit AND (covered IS NULL)")
+    # an accepted hit covers six lines, in which no other is accepted; the next may start right after them
+    objects = code.filter("objects").withColumn("u", url).withColumn("m", method).filter("u <> '' AND m <> ''")
+    hits = objects.groupBy("path").agg(F.array_sort(F.collect_list("line_no")).alias("hits"))
+    taken = F.aggregate("hits", F.array().cast("array<int>"), lambda acc, at: F.when(
+        (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) + 6 > at), acc).otherwise(F.concat(acc, F.array(at.cast("int")))))
+    first = objects.join(hits.select("path", F.explode(taken).alias("line_no")), ["path", "line_no"])
     out = out.unionByName(shaped(first, F.lit("fastify"), F.col("m"), F.col("u"), F.lit(P.OBJECT_HANDLER)))
 
     slash = lambda c: F.when(c == "", "").otherwise(F.concat(F.lit("/"), F.regexp_replace(c, "^/", "")))
@@ -69,6 +69,20 @@ def routes_table(lines: DataFrame) -> DataFrame:
     return out.unionByName(shaped(on, F.lit("hono"), F.col("m"), F.col("r"), inline(F.coalesce("h", F.lit("")))))
 
 
+def _before_next() -> Column:
+    """The line before the next start in the same file; null for the last."""
+    return F.lead("line_no").over(by_line("path")) - 1
+
+
+def _owned(spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with the span that starts last at or before them in their file: spans of a file do not overlap."""
+    starts = spans.select("path", F.col("from_line").alias("line_no"), F.col("from_line").alias("_start"), F.lit(0).alias("_o")).distinct()
+    mixed = rows.withColumn("_o", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    order = W.partitionBy("path").orderBy("line_no", "_o")
+    placed = mixed.withColumn("from_line", F.last("_start", True).over(order)).filter("_o = 1 AND from_line IS NOT NULL").drop("_start", "_o")
+    return spans.drop("to_line").join(placed, ["path", "from_line"])
+
+
 def frontend_routes(lines: DataFrame) -> DataFrame:
     """Route path and component, looked for on the next lines; a file with both routers counts as the first."""
     whole = W.partitionBy("path")
@@ -86,10 +100,7 @@ def frontend_routes(lines: DataFrame) -> DataFrame:
     return found.filter("route <> ''").select("path", "line_no", "route", "component", source.alias("source"))
 
 
-FIELD_CAP = 15
-
-
-def _block_fields(lines: DataFrame, start: str, close: str, field: str, kind: str, usable) -> DataFrame:
+def _block_fields(lines: DataFrame, start: str, close: str, field: str, kind: str, usable, cap: int | None) -> DataFrame:
     """Fields between a start line and its closing line."""
     order = by_line("path")
     name = F.nullif(F.regexp_extract("line", start, 1), F.lit(""))
@@ -99,20 +110,20 @@ def _block_fields(lines: DataFrame, start: str, close: str, field: str, kind: st
     models = rows.filter("model IS NOT NULL").select("path", "block", "model", F.col("line_no").alias("model_line"))
     f = lambda g: F.regexp_extract("line", field, g)
     fields = rows.filter("model IS NULL").select("path", "block", "line_no", f(1).alias("field"), f(2).alias("type"), F.substring(F.regexp_replace(F.trim(f(3)), ",$", ""), 1, 60).alias("attrs"))
-    fields = capped(fields.filter((F.col("field") != "") & usable), ["path", "block"], [F.col("line_no")], FIELD_CAP)
+    fields = capped(fields.filter((F.col("field") != "") & usable), ["path", "block"], [F.col("line_no")], cap)
     return models.join(fields, ["path", "block"], "left").select("path", F.lit(kind).alias("kind"), F.substring_index("model", ".", -1).alias("model"), "model_line", "field", "type", "attrs")
 
 
-def db_models(lines: DataFrame) -> DataFrame:
-    """Data models and their first fields from DDL, model files, entity classes and table builders."""
-    sql = _block_fields(lines.filter(F.col("path").endswith(".sql")), P.SQL_TABLE, r"^\s*\)", P.SQL_FIELD, "sql", ~F.col("field").rlike(P.SQL_SKIP))
-    prisma = _block_fields(lines.filter(F.col("path").endswith(".prisma")), P.PRISMA_MODEL, r"^\s*\}", P.PRISMA_FIELD, "prisma", F.lit(True))
+def db_models(lines: DataFrame, cap: int | None = None) -> DataFrame:
+    """Data models and their fields from DDL, model files, entity classes and table builders; `cap` fields a model, if given."""
+    sql = _block_fields(lines.filter(F.col("path").endswith(".sql")), P.SQL_TABLE, r"^\s*\)", P.SQL_FIELD, "sql", ~F.col("field").rlike(P.SQL_SKIP), cap)
+    prisma = _block_fields(lines.filter(F.col("path").endswith(".prisma")), P.PRISMA_MODEL, r"^\s*\}", P.PRISMA_FIELD, "prisma", F.lit(True), cap)
     code = lines.filter(F.col("path").rlike(r"\.(?:ts|js)$") & ~F.col("path").rlike(r"\.test\.|\.spec\."))
     built = code.withColumn("model", F.regexp_extract("line", P.DRIZZLE_TABLE, 1)).filter("model <> ''")
-    spans = built.select("path", "model", F.col("line_no").alias("from_line"), (F.col("line_no") + 79).alias("to_line"))
+    spans = built.select("path", "model", F.col("line_no").alias("from_line"), _before_next().alias("to_line"))
     f = lambda p, g: F.regexp_extract("line", p, g)
     columns = code.select("path", "line_no", f(P.DRIZZLE_FIELD, 1).alias("field"), f(P.DRIZZLE_FIELD, 2).alias("type"), F.substring(F.trim(f(P.DRIZZLE_FIELD, 3)), 1, 60).alias("attrs")).filter("field <> ''")
-    drizzle = capped(lines_within(spans, columns), ["path", "from_line"], [F.col("line_no")], FIELD_CAP)
+    drizzle = capped(_owned(spans, columns), ["path", "from_line"], [F.col("line_no")], cap)
     spans = spans.select("path", "model", "from_line")
     drizzle = spans.join(drizzle.select("path", "from_line", "field", "type", "attrs"), ["path", "from_line"], "left").select(
         "path", F.lit("drizzle").alias("kind"), "model", F.col("from_line").alias("model_line"), "field", "type", "attrs")
@@ -123,7 +134,7 @@ def db_models(lines: DataFrame) -> DataFrame:
     pick = lambda g: first_match(F.col("n1"), [(P.ENTITY_FIELD, g)])
     pick2 = lambda g: first_match(F.col("n2"), [(P.ENTITY_FIELD, g)])
     member = member.select("path", "line_no", F.coalesce(pick(1), pick2(1)).alias("field"), F.coalesce(pick(2), pick2(2)).alias("type"), F.col("col").alias("attrs")).filter("field IS NOT NULL")
-    member = capped(member, ["path"], [F.col("line_no")], FIELD_CAP).drop("line_no")
+    member = capped(member, ["path"], [F.col("line_no")], cap).drop("line_no")
     typeorm = entity.join(member, "path", "left").select("path", F.lit("typeorm").alias("kind"), "model", F.lit(1).alias("model_line"), "field", "type", "attrs")
     return sql.unionByName(prisma).unionByName(drizzle).unionByName(typeorm)
 
@@ -222,11 +233,12 @@ def store_consumers(stores: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def state_keys(stores: DataFrame, lines: DataFrame) -> DataFrame:
-    """Declared keys near each store, within the lines that follow it."""
-    spans = stores.select("path", "name", "kind", F.col("line_no").alias("from_line"), (F.col("line_no") + 60).alias("to_line"))
+    """Declared keys after each store, up to the next store of its file."""
+    starts = stores.select("path", "line_no").distinct().select("path", F.col("line_no").alias("from_line"), _before_next().alias("to_line"))
+    spans = stores.select("path", "name", "kind", F.col("line_no").alias("from_line")).join(starts, ["path", "from_line"])
     reactive = F.col("line").rlike(r"^\s*(?:const|let)\s+[A-Za-z_$][A-Za-z0-9_$]*\s*=\s*(?:ref|reactive|computed|shallowRef|customRef)\s*[<(]")
     keyed = F.col("line").rlike(r"^\s{2,}[A-Za-z_$][A-Za-z0-9_$]*\s*[:,]")
-    inside = lines_within(spans, lines.select("path", "line_no", reactive.alias("r"), keyed.alias("k")))
+    inside = _owned(spans, lines.select("path", "line_no", reactive.alias("r"), keyed.alias("k")))
     n = F.count_if(F.when(F.col("kind") == "pinia", F.col("r") | F.col("k")).otherwise(F.col("k")))
     return inside.groupBy("path", "name", "kind", "from_line").agg(n.alias("state_keys")).withColumnRenamed("from_line", "line_no")
 
@@ -264,6 +276,6 @@ def ipc_points(texts: DataFrame, backend_root: str = "src-tauri/") -> DataFrame:
     before = by_line("path").rowsBetween(W.unboundedPreceding, -1)
     lines = lines.withColumn("attr_at", F.max(F.when(attr, F.col("line_no"))).over(before)).withColumn("code_at", F.max(F.when(~skipped, F.col("line_no"))).over(before))
     named = F.regexp_extract("line", P.RUST_FN, 1)
-    defs = lines.filter(~skipped & (F.col("attr_at") > F.coalesce("code_at", F.lit(0))) & (F.col("line_no") - F.col("attr_at") <= 31)).select(
+    defs = lines.filter(~skipped & (F.col("attr_at") > F.coalesce("code_at", F.lit(0)))).select(
         "path", "line_no", named.alias("name"), F.lit("define").alias("role"), F.lit("rust").alias("side")).filter("name <> ''")
     return out.unionByName(defs)

@@ -9,12 +9,12 @@ from codeloom.operators.classify import top_per_group
 from codeloom.session import cut_lineage
 
 
-def call_chain(edges: DataFrame, roots: DataFrame, depth: int = 3, fanout: int | None = 40, by_file: bool = False) -> DataFrame:
+def call_chain(edges: DataFrame, roots: DataFrame, depth: int = 3, fanout: int | None = None, by_file: bool = False) -> DataFrame:
     """Edges reached from each root, level by level.
 
     `edges` are trusted, distinct calls with caller/callee name and file; `roots` have root, name and
     file.  The frontier is keyed by name and file; visited callees by name (or name and file).  At most
-    `fanout` edges are taken per root and level.
+    `fanout` edges are taken per root and level, if it is given.
     """
     steps = edges.select("caller_name", "caller_file", "callee_name", "callee_file", "callee_line").filter("caller_name <> callee_name").distinct()
     steps = cut_lineage(steps)  # read once per level
@@ -38,38 +38,37 @@ def call_chain(edges: DataFrame, roots: DataFrame, depth: int = 3, fanout: int |
     return out.select("root", "depth", "caller_name", "caller_file", "callee_name", "callee_file", "callee_line")
 
 
-def call_groups(edges: DataFrame, entries: DataFrame, anchors: DataFrame, n_entries: int = 8, least: int = 6, depth: int = 3, fanout: int | None = 40) -> DataFrame:
-    """Edge groups of the first entries, filled up with anchors in files no group has yet.
+def call_groups(edges: DataFrame, entries: DataFrame, anchors: DataFrame, n_entries: int | None = None, least: int = 6, depth: int = 3, fanout: int | None = None) -> DataFrame:
+    """Edge groups of all entries (or the first n), filled up to `least` groups with anchors in files no group has yet.
 
-    `entries` and `anchors` have name, file and ord.  The fill looks at candidates in order, one per
-    file; a candidate that an earlier group covers is skipped.  Candidates number at most a few dozen.
+    `entries` and `anchors` have name, file and ord.  The fill takes the first anchor, in order, whose file and name no
+    group has, and repeats: fewer than `least` rounds of one top-1 each.
     """
-    def grouped(found: DataFrame) -> DataFrame:
+    def grouped(found: DataFrame, kind: str) -> DataFrame:
         once = F.row_number().over(W.partitionBy("root", "caller_name", "callee_name").orderBy("depth", "caller_file", "callee_file", "callee_line"))
-        return found.withColumn("_rn", once).filter("_rn = 1").drop("_rn")
-    first = entries.orderBy("ord", "name", "file").limit(n_entries).withColumn("root", F.concat_ws("@", "name", "file"))
-    groups = grouped(call_chain(edges, first, depth, fanout, by_file=True)).withColumn("kind", F.lit("entry"))
-    cand = anchors.orderBy("ord", "name", "file").limit(64).withColumn("root", F.concat_ws("@", "name", "file"))
-    filled = grouped(call_chain(edges, cand, depth, fanout, by_file=True)).withColumn("kind", F.lit("hotspot"))
-    # bounded by roots x depth x fanout; the fill below depends on order, so the few candidates are walked once
-    groups, filled = cut_lineage(groups), cut_lineage(filled)
-    have = {r["root"]: r["file"] for r in first.join(groups.select("root").distinct(), "root", "left_semi").select("root", "file").collect()}
-    wanted = cand.select("root", "name", "file", "ord").orderBy("ord", "name", "file").collect()
-    names_of: dict[str, set[str]] = {}
-    for side in ("caller_name", "callee_name"):
-        for r in groups.unionByName(filled).select("root", side).distinct().collect():
-            names_of.setdefault(r["root"], set()).add(r[side])
-    covered = set().union(*[names_of.get(r, set()) for r in have]) if have else set()
-    files, chosen = set(have.values()), []
-    for c in wanted:
-        if len(have) + len(chosen) >= least:
+        return found.withColumn("_rn", once).filter("_rn = 1").drop("_rn").withColumn("kind", F.lit(kind))
+    rooted = lambda df: df.withColumn("root", F.concat_ws("@", "name", "file"))
+    first = rooted(entries if n_entries is None else entries.orderBy("ord", "name", "file").limit(n_entries))
+    groups = cut_lineage(grouped(call_chain(edges, first, depth, fanout, by_file=True), "entry"))
+    have = groups.select("root").distinct()
+    n = have.limit(least).count()
+    if n >= least:
+        return groups
+    taken_files = first.join(have, "root", "left_semi").select("file")
+    callers = edges.select(F.col("caller_name").alias("name"), F.col("caller_file").alias("file")).filter("name IS NOT NULL").distinct()
+    left = rooted(anchors).join(callers, ["name", "file"], "left_semi").join(have, "root", "left_anti").join(taken_files, "file", "left_anti")
+    covered = groups.select(F.explode(F.array("caller_name", "callee_name")).alias("name"))
+    while n < least:
+        left = left.join(covered, "name", "left_anti")
+        pick = left.orderBy("ord", "name", "file").limit(1)
+        more = cut_lineage(grouped(call_chain(edges, pick, depth, fanout, by_file=True), "hotspot"))
+        if pick.isEmpty():
             break
-        if c["root"] in have or c["name"] in covered or c["file"] in files or c["root"] not in names_of:
-            continue
-        chosen.append(c["root"])
-        files.add(c["file"])
-        covered |= names_of[c["root"]]
-    return groups.unionByName(filled.filter(F.col("root").isin(chosen) if chosen else F.lit(False)))
+        n += 0 if more.isEmpty() else 1
+        groups = groups.unionByName(more)
+        covered = more.select(F.explode(F.array("caller_name", "callee_name")).alias("name"))
+        left = cut_lineage(left.join(pick.select("file"), "file", "left_anti"))
+    return groups
 
 
 def hop_table(edges: DataFrame, start: DataFrame, depth: int = 6) -> DataFrame:
@@ -140,7 +139,7 @@ def stage_order(stages: DataFrame, n: int | None = 24) -> DataFrame:
     return stages.orderBy(*order) if n is None else stages.orderBy(*order).limit(n)
 
 
-def transitions(edges: DataFrame, stages: DataFrame, evidence: DataFrame, n: int | None = 40) -> DataFrame:
+def transitions(edges: DataFrame, stages: DataFrame, evidence: DataFrame) -> DataFrame:
     """Edges that carry data and touch a stage; `carries` is false for the control-only rest.
 
     `evidence` has name and file of symbols with typed parameters, a business return or I/O, and `io`.
@@ -171,14 +170,14 @@ def dataflow_coverage(stages: DataFrame, moves: DataFrame, keys: DataFrame, io:
         .unionByName(one(bodies.join(stages.select("id").distinct(), "id", "left_semi"), approximated_bodies=F.count_if("approximated"))))
 
 
-def subgraph_symbols(symbols: DataFrame, members: DataFrame, n: int = 25) -> DataFrame:
+def subgraph_symbols(symbols: DataFrame, members: DataFrame, n: int | None = None) -> DataFrame:
     """Documented or complex symbols of each topic's files; `members` have topic and file."""
     usable = symbols.filter("NOT is_test AND (docstring IS NOT NULL OR complexity > 5)").filter(F.col("label").isin("Class", "Method", "Function"))
     inside = members.join(usable, "file")
     return top_per_group(inside, ["topic"], [F.col("complexity").desc(), F.col("id")], n).select("topic", "rank", "id", "name", "file", "complexity")
 
 
-def subgraph_edges(edges: DataFrame, members: DataFrame, n: int = 30) -> DataFrame:
+def subgraph_edges(edges: DataFrame, members: DataFrame, n: int | None = None) -> DataFrame:
     """Trusted calls between files of the same topic."""
     a = members.select("topic", F.col("file").alias("caller_file"))
     b = members.select("topic", F.col("file").alias("callee_file"))
@@ -188,7 +187,7 @@ def subgraph_edges(edges: DataFrame, members: DataFrame, n: int = 30) -> DataFra
     return top_per_group(inside, ["topic"], order, n)
 
 
-def subgraph_boundaries(boundaries: DataFrame, topic_modules: DataFrame, n: int = 5) -> DataFrame:
+def subgraph_boundaries(boundaries: DataFrame, topic_modules: DataFrame, n: int | None = None) -> DataFrame:
     """Busiest module boundaries that touch a topic's modules."""
     ends = boundaries.select("*", F.explode(F.array("from_module", "to_module")).alias("module"))
     hit = ends.join(topic_modules.select("topic", "module").distinct(), "module").select("topic", "from_module", "to_module", "call_count").distinct()
@@ -212,7 +211,7 @@ def topic_candidates(sizes: DataFrame, cluster_files: DataFrame, shells: DataFra
     return kept.select("id", "members", "cohesion", F.round(F.col("members") * F.col("cohesion"), 6).alias("weight"), "files", "modules")
 
 
-def select_topics(candidates: DataFrame, cluster_files: DataFrame, n: int = 4, overlap: float = 0.5, batch: int = 256) -> DataFrame:
+def select_topics(candidates: DataFrame, cluster_files: DataFrame, n: int = 4, overlap: float = 0.5) -> DataFrame:
     """Greedy choice by weight: a candidate stands unless it overlaps an accepted topic.
 
     At most n topics are accepted, so the search takes the best candidate, drops all that overlap it, and

@@ -97,13 +97,13 @@ def probe_evidence(names: DataFrame, lines: DataFrame) -> DataFrame:
     return found.select("name", F.when(F.col("used"), "usage").otherwise("mention").alias("evidence"))
 
 
-def verify_claims(claims: DataFrame, symbols: DataFrame, files: DataFrame, lines: DataFrame, budget: int = 12,
+def verify_claims(claims: DataFrame, symbols: DataFrame, files: DataFrame, lines: DataFrame, budget: int | None = None,
                   confirmed: DataFrame | None = None) -> DataFrame:
-    """Claims with verdict verified, mention, unverified or skipped (beyond a page's probe budget)."""
+    """Claims with verdict verified, mention, unverified, or skipped beyond a page's probe budget, if one is given."""
     resolved = resolve_claims(claims, symbols, files, confirmed)
     first = resolved.filter("NOT known").groupBy("page", "name").agg(F.min(F.struct("line_no", "match_no")).alias("at"))
     turn = F.row_number().over(W.partitionBy("page").orderBy("at"))
-    probed = first.withColumn("turn", turn).select("page", "name", (F.col("turn") <= budget).alias("probed"))
+    probed = first.withColumn("turn", turn).select("page", "name", (F.lit(True) if budget is None else F.col("turn") <= budget).alias("probed"))
     kinds = probe_evidence(probed.filter("probed"), lines)
     out = resolved.join(probed, ["page", "name"], "left").join(kinds, "name", "left")
     verdict = (
@@ -223,7 +223,7 @@ def crate_usage(deps: DataFrame, lines: DataFrame) -> DataFrame:
     return keyed.join(words.withColumn("u", F.lit(True)), "crate", "left").select("name", F.coalesce("u", F.lit(False)).alias("used"))
 
 
-def dep_commits(deps: DataFrame, commits: DataFrame, per_dep: int = 2, total: int | None = 8) -> DataFrame:
+def dep_commits(deps: DataFrame, commits: DataFrame, per_dep: int = 2, total: int | None = None) -> DataFrame:
     """Newest commits that name each dependency."""
     hits = mentions(deps.select("name"), commits.select("hash", "date", "subject"), "subject")
     top = top_per_group(hits.distinct(), ["name"], [F.col("date").desc(), F.col("hash").desc()], per_dep)
@@ -257,7 +257,7 @@ def package_edges(lines: DataFrame, packages: DataFrame, declared: DataFrame) ->
     return counts.join(pairs, ["from_pkg", "to_pkg"], "left").select("from_pkg", "to_pkg", "import_count", F.coalesce("d", F.lit(False)).alias("declared"))
 
 
-def undeclared_edges(edges: DataFrame, limit: int | None = 30) -> DataFrame:
+def undeclared_edges(edges: DataFrame, limit: int | None = None) -> DataFrame:
     out = edges.filter("NOT declared").select("from_pkg", "to_pkg", "import_count")
     return out if limit is None else out.orderBy(F.col("import_count").desc(), "from_pkg", "to_pkg").limit(limit)
 
@@ -273,10 +273,9 @@ def method_resolution(sites: DataFrame, methods: DataFrame, lines: DataFrame) ->
     with_segs = wanted.withColumn("segs", segs)
     free = with_segs.filter(F.size("segs") == 0).groupBy("method").agg(F.count("*").alias("free"))
     by_seg = with_segs.select("method", "file", F.explode("segs").alias("seg")).distinct()
-    # segments occur inside the used path: look up every substring of known length among the distinct used words
+    # segments occur inside the used path
     uses = all_matches(lines, r"use\s+([A-Za-z0-9_:]+);", ["used"]).select("path", F.explode(F.split("used", "::")).alias("word")).distinct()
-    lengths = by_seg.agg(F.array_sort(F.collect_set(F.length("seg"))).alias("ls")).select("ls").scalar()
-    seen = substrings(uses.select("word").distinct(), lengths).join(by_seg.select(F.col("seg").alias("part")).distinct(), "part", "left_semi")
+    seen = substrings(uses, by_seg.select(F.col("seg").alias("part")))
     caller_segs = uses.join(seen, "word").select("path", F.col("part").alias("seg")).distinct()
     proven = several.join(by_seg, "method").join(caller_segs, ["path", "seg"], "left_semi").groupBy("path", "method").agg(F.countDistinct("file").alias("proven"))
     graded = several.join(proven, ["path", "method"], "left").join(free, "method", "left")
@@ -286,13 +285,39 @@ def method_resolution(sites: DataFrame, methods: DataFrame, lines: DataFrame) ->
     return out.select("path", "line_no", "method", "candidates", F.when((F.col("candidates") == 1) | F.col("full"), "resolved").otherwise("ambiguous").alias("confidence"))
 
 
-def substrings(words: DataFrame, lengths: Column) -> DataFrame:
-    """Every substring of the given lengths of each distinct word."""
-    words = words.select("word", lengths.alias("_ls"))
-    sized = F.filter("_ls", lambda n: n <= F.length("word"))
-    parts = F.flatten(F.transform(sized, lambda n: F.transform(
-        F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substr(F.col("word"), i, n))))
-    return words.select("word", F.explode(F.array_distinct(parts)).alias("part"))
+#: Length of the pieces by which substrings are looked up; shorter parts are looked up whole.
+GRAM = 3
+
+
+def _grams(column: str, size: int) -> Column:
+    """Distinct pieces of `size` characters, in one pass over the text."""
+    chars = F.filter(F.split(F.col(column), ""), lambda c: c != "")
+    shifted = [F.slice(chars, F.lit(i + 1), F.greatest(F.size(chars) - i, F.lit(0))).alias(f"c{i}") for i in range(size)]
+    whole = F.transform(F.arrays_zip(*shifted), lambda x: F.concat(*[x[f"c{i}"] for i in range(size)]))
+    return F.array_distinct(F.filter(whole, lambda g: g.isNotNull()))
+
+
+def substrings(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """(word, part) for every part that occurs in a word.
+
+    Each part is looked up by its rarest piece of GRAM characters, and only the words with that piece are searched;
+    the work is linear in the length of a word.
+    """
+    words, parts = words.select("word").distinct(), parts.select("part").filter("part <> ''").distinct()
+    size = F.least(F.length("part"), F.lit(GRAM))
+    sizes = sorted(r[0] for r in parts.select(size).distinct().collect())  # 1 to GRAM
+    if not sizes:
+        return words.limit(0).withColumn("part", F.lit(""))
+    pieces, own = None, None
+    for n in sizes:
+        of_words = words.filter(F.length("word") >= n).select("word", F.explode(_grams("word", n)).alias("gram"))
+        of_parts = parts.filter(size == n).select("part", F.explode(_grams("part", n)).alias("gram"))
+        pieces = of_words if pieces is None else pieces.unionByName(of_words)
+        own = of_parts if own is None else own.unionByName(of_parts)
+    counts = pieces.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rated = own.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = rated.groupBy("part").agg(F.min(F.struct("n", "gram")).alias("g")).filter("g.n > 0").select("part", F.col("g.gram").alias("gram"))
+    return pieces.join(rarest, "gram").filter(F.col("word").contains(F.col("part"))).select("word", "part")
 
 
 def verify_absence(names: DataFrame, lines: DataFrame, exclude: DataFrame | None = None, max_refs: int = 3) -> DataFrame:
@@ -304,10 +329,9 @@ def verify_absence(names: DataFrame, lines: DataFrame, exclude: DataFrame | None
     forms = names.select("name", "side", F.explode(F.array_distinct(F.array(F.col("name"), X.camel(F.col("name")), X.snake(F.col("name"))))).alias("form"))
     pieces = F.regexp_extract_all("form", F.lit("([A-Za-z0-9_$]+)"), F.lit(1))
     forms = forms.withColumn("plain", F.col("form").rlike("^[A-Za-z0-9_$]+$")).withColumn("part", F.try_element_at(pieces, F.lit(1)))
-    lengths = forms.agg(F.array_sort(F.collect_set(F.length("part"))).alias("ls")).select("ls").scalar()
     code = lines.filter(~F.col("line").rlike(r"^\s*(?://|/\*|\*|#)"))
     placed = code.select("path", "line_no", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("([A-Za-z0-9_$]+)"), F.lit(1)))).alias("word"))
-    seen = substrings(placed.select("word").distinct(), lengths).join(forms.select("part").distinct(), "part", "left_semi")
+    seen = substrings(placed, forms)
     hits = placed.join(seen, "word").join(forms, "part")
     rust = F.col("path").endswith(".rs")
     hits = hits.filter(F.col("plain") | F.col("line").contains(F.col("form"))).filter((F.col("side") == "any") | ((F.col("side") == "rust") == rust))
@@ -341,14 +365,14 @@ def ipc_reconcile(matched: DataFrame, points: DataFrame, lines: DataFrame) -> Da
     return gaps.join(verdicts, ["name", "side"]).select("ipc_kind", "name", "missing", F.when(F.col("verdict") == "suspect", "scan-limit").otherwise("orphan").alias("state"))
 
 
-def dep_consistency(left: DataFrame, right: DataFrame, limit: int | None = 10) -> DataFrame:
+def dep_consistency(left: DataFrame, right: DataFrame, limit: int | None = None) -> DataFrame:
     """Dependencies that count as production on one side only."""
     both = left.select("name", F.col("usage").alias("left_usage")).join(right.select("name", F.col("usage").alias("right_usage")), "name")
     odd = both.filter((F.col("left_usage") == "import") != (F.col("right_usage") == "import"))
     return odd if limit is None else odd.orderBy("name").limit(limit)
 
 
-def term_variants(terms: DataFrame, glossary: DataFrame, limit: int | None = 10) -> DataFrame:
+def term_variants(terms: DataFrame, glossary: DataFrame, limit: int | None = None) -> DataFrame:
     """Page terms that differ from a glossary term only in case or separators, one per page and norm."""
     norm = lambda df, c: df.select("*", X.normalized_term(F.col(c)).alias("norm"))
     canon = norm(glossary, "term").filter(F.length("norm") >= 3).groupBy("norm").agg(F.min("term").alias("standard"))
@@ -378,7 +402,7 @@ def hotspot_files(fan_in: DataFrame, symbols: DataFrame, files: DataFrame, n: in
     return hot.join(placed, "id", "left").select("id", "name", "qualified_name", "fan_in", "file")
 
 
-def class_methods(symbols: DataFrame, edges: DataFrame, limit: int | None = 2000) -> DataFrame:
+def class_methods(symbols: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """Types with their methods; structs, interfaces and actors count in Swift only."""
     swift = F.col("label").isin("Struct", "Interface", "Actor") & F.col("file").endswith(".swift")
     types = symbols.filter(~F.col("is_test") & ((F.col("label") == "Class") | swift)).select(
@@ -401,7 +425,7 @@ def module_relations(boundaries: DataFrame, modules: DataFrame) -> DataFrame:
 TYPE_TEXT = 1200
 
 
-def type_definitions(references: DataFrame, types: DataFrame, stage_files: DataFrame, lines: DataFrame, cap: int | None = 20) -> DataFrame:
+def type_definitions(references: DataFrame, types: DataFrame, stage_files: DataFrame, lines: DataFrame, cap: int | None = None) -> DataFrame:
     """Types that stage signatures name (one definition each, in a stage file if there is one), then other local types."""
     from codeloom.operators.extract_code import lines_within
 

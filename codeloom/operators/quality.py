@@ -186,6 +186,17 @@ def gate(*issues: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, issues)
 
 
+def page_gate(lines: DataFrame, contents: DataFrame, blocks: DataFrame, tiers: DataFrame, files: DataFrame, dead: DataFrame, ghosts: DataFrame,
+              anchors: tuple[DataFrame, DataFrame, DataFrame, DataFrame], suspects: DataFrame, truncated: DataFrame | None = None, dependency_page: str | None = "tech-stack") -> DataFrame:
+    """All checks of a page. `contents` has page and content, `blocks` the lines with their evidence blocks, `tiers` page and tier;
+    `anchors` are the four inputs of rule_broken_anchors."""
+    return gate(
+        rule_empty_shell(lines), rule_secret(contents), rule_broken_anchors(*anchors), rule_dead_links(dead), rule_thin_evidence(blocks, tiers),
+        rule_evidence_coverage(blocks, files), rule_diagram_misuse(lines), rule_mermaid_ghosts(ghosts), rule_unanchored_rationale(lines),
+        rule_incomplete_page(lines, truncated), rule_unanchored_dependency(lines, dependency_page), rule_unverified_absence(lines, suspects),
+        rule_filler_noise(lines), rule_claim_support(lines))
+
+
 def page_passed(pages: DataFrame, issues: DataFrame) -> DataFrame:
     """Pass flag and counts of every page; a page fails on any error."""
     counts = issues.groupBy("page").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warn").alias("warnings"))

@@ -50,12 +50,11 @@ def rank_stats(ranked: DataFrame, n: int = 30) -> DataFrame:
     return top.withColumn("total", total)
 
 
-def fair_sample(symbols: DataFrame, hotspots: DataFrame, n: int = 10, per_file: int = 5, candidates: int = 60) -> DataFrame:
+def fair_sample(symbols: DataFrame, hotspots: DataFrame, n: int = 10, per_file: int = 5, candidates: int | None = None) -> DataFrame:
     """Best symbols of each module, taken from its files in turn."""
     usable = symbols.filter("NOT is_test AND (docstring IS NOT NULL OR complexity > 0)").filter(F.col("label").isin("Class", "Function", "Method"))
     first = top_per_group(usable, ["module"], [F.col("complexity").desc(), F.col("file"), F.col("start_line"), F.col("id")], candidates, "_c")
     hot = hotspots.select("name", F.lit(8).alias("hot")).distinct()
-    # at most `candidates` rows per module from here on
     same = W.partitionBy("module", "file", "name", "start_line").orderBy("_c")
     scored = first.withColumn("_d", F.row_number().over(same)).filter("_d = 1").join(hot, "name", "left")
     score = F.coalesce("complexity", F.lit(0)) + F.when(F.coalesce("docstring", F.lit("")) != "", 4).otherwise(0) + F.coalesce("hot", F.lit(0))
@@ -73,13 +72,13 @@ def representative_files(files: DataFrame, sample: DataFrame, n: int = 12) -> Da
     return top_per_group(joined, ["module"], [F.col("place").asc_nulls_last(), F.col("path")], n).select("module", "rank", "path")
 
 
-def rank_evidence(candidates: DataFrame, n: int = 15) -> DataFrame:
+def rank_evidence(candidates: DataFrame, n: int | None = None) -> DataFrame:
     """Evidence files of each page by best tier, then path."""
     tiers = candidates.groupBy("page", "file").agg(F.min("tier").alias("tier"))
     return top_per_group(tiers, ["page"], [F.col("tier"), F.col("file")], n)
 
 
-def evidence_files(page_files: DataFrame, files: DataFrame, n: int = 15) -> DataFrame:
+def evidence_files(page_files: DataFrame, files: DataFrame, n: int | None = None) -> DataFrame:
     """Distinct known files of each page, sorted."""
     known = page_files.join(files.select(F.col("path").alias("file")), "file", "left_semi").select("page", "file").distinct()
     return top_per_group(known, ["page"], [F.col("file")], n)
@@ -123,12 +122,11 @@ def exported_functions(symbols: DataFrame, n: int = 15) -> DataFrame:
     return out.orderBy(F.col("complexity").desc(), "id").limit(n).select("id", "name", "file", "complexity")
 
 
-def glossary(symbols: DataFrame, read: int = 40, n: int = 30) -> DataFrame:
+def glossary(symbols: DataFrame, n: int = 30) -> DataFrame:
     """Documented symbols by label and complexity, one per name."""
     label = F.when(F.col("label") == "Class", 0).when(F.col("label") == "Method", 1).when(F.col("label") == "Function", 2).otherwise(3)
     documented = symbols.filter("NOT is_test AND docstring IS NOT NULL").filter(F.col("label").isin("Class", "Method", "Function", "Interface"))
-    top = documented.withColumn("label_ord", label).orderBy("label_ord", F.col("complexity").desc(), "id").limit(read)
-    once = top.groupBy("name").agg(F.min(F.struct("label_ord", (-F.col("complexity")).alias("c"), "id")).alias("k"))
+    once = documented.withColumn("label_ord", label).groupBy("name").agg(F.min(F.struct("label_ord", (-F.col("complexity")).alias("c"), "id")).alias("k"))
     return once.orderBy("k").limit(n).select("name", F.col("k.id").alias("id"), (-F.col("k.c")).alias("complexity"))
 
 
@@ -137,8 +135,9 @@ def planner_symbols(symbols: DataFrame, n: int = 60) -> DataFrame:
     return out.orderBy(F.col("complexity").desc(), "id").limit(n).select("id", "name", "file", "complexity")
 
 
-def candidate_files(files: DataFrame, per_module: int = 15, total: int = 90) -> DataFrame:
-    """Some files of every module; files without a module fill what is left."""
+def candidate_files(files: DataFrame, per_module: int | None = None, total: int | None = None) -> DataFrame:
+    """Files of every module (the first of each, if limited), then those without a module."""
     top = top_per_group(files.filter("module IS NOT NULL").select("module", "path"), ["module"], [F.col("path")], per_module).select(F.lit(0).alias("o"), "module", "path")
-    loose = files.filter("module IS NULL").select(F.lit(1).alias("o"), F.lit("").alias("module"), "path").orderBy("path").limit(total)
-    return top.unionByName(loose).orderBy("o", "module", "path").limit(total).select("module", "path")
+    loose = files.filter("module IS NULL").select(F.lit(1).alias("o"), F.lit("").alias("module"), "path")
+    both = top.unionByName(loose)
+    return (both if total is None else both.orderBy("o", "module", "path").limit(total)).select("module", "path")

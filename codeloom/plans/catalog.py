@@ -56,9 +56,9 @@ class Data:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """Use all cores when the files hold fewer splits than that; larger inputs stay as they are read."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < min(cores, 32) else frame
+    """Rows dealt over `spark.codeloom.input.partitions`, a setting of local sessions only; else as they are read."""
+    n = frame.sparkSession.conf.get("spark.codeloom.input.partitions", None)
+    return frame.repartition(int(n)) if n else frame
 
 
 def _mentioned(sql: str, views: dict[str, str]) -> list[str]:

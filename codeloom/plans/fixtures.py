@@ -102,7 +102,7 @@ _PY = f"""CASE i % 10
 
 _GO = f"""CASE i % 8
  WHEN 0 THEN '// ' || s
- WHEN 1 THEN CASE doc_id % 2 WHEN 0 THEN 'import "github.com/gin-gonic/gin"' ELSE 'import "github.com/x/' || w || '"' END
+ WHEN 1 THEN CASE doc_id % 4 WHEN 0 THEN '    "github.com/gin-gonic/gin"' WHEN 2 THEN 'import "github.com/gin-gonic/gin"' ELSE 'import "github.com/x/' || w || '"' END
  WHEN 2 THEN 'const Max' || upper(w) || 'Size = ' || {text('i')}
  WHEN 3 THEN 'func (s *S) fn_' || {text('doc_id + i')} || '(a int) {{'
  WHEN 4 THEN '  r.GET("/go/' || w || '", handle' || {text('i')} || ')'
@@ -134,7 +134,15 @@ _TSX = f"""CASE i % 10
  WHEN 8 THEN '}}'
  ELSE '' END"""
 
+#: a file that only hands on what others export
+_SHELL = f"""CASE i % 4
+ WHEN 0 THEN 'export * from ''./f' || {text('doc_id + 1')} || ''';'
+ WHEN 1 THEN 'export {{ c }} from ''./f' || {text('doc_id + 2')} || ''';'
+ WHEN 2 THEN '// ' || w
+ ELSE '' END"""
+
 _CODE = f"""CASE WHEN doc_id % 11 = 0 AND doc_id > 0 THEN {_TS}
+ WHEN doc_id % 20 = 10 THEN {_SHELL}
  WHEN doc_id % 10 = 4 THEN '{{"' || w || '": ' || {text('i')} || '}}'
  WHEN doc_id % 10 = 5 THEN {_RUST} WHEN doc_id % 10 = 6 THEN {_PY} WHEN doc_id % 10 = 7 THEN {_GO}
  WHEN doc_id % 10 = 8 THEN {_VUE} WHEN doc_id % 10 = 9 THEN {_TSX} ELSE {_TS} END"""
@@ -143,7 +151,7 @@ _ROW = "i % 32"
 _MD = f"""CASE WHEN i = 0 THEN '# ' || w || ' page ' || {text('doc_id')} ELSE CASE {_ROW}
  WHEN 0 THEN '## ' || CASE doc_id % 4 WHEN 0 THEN '设计 ' WHEN 1 THEN 'Install ' WHEN 2 THEN '核心依赖 ' ELSE 'About ' END || w
  WHEN 1 THEN ''
- WHEN 2 THEN 'Calls `fn_' || {text('doc_id * 2 + i % 5')} || '` and `m.' || w || '.fn_' || {text('doc_id + i')} || '()` in (' || {path_of('doc_id')} || ':' || {text('i % 70')} || ').'
+ WHEN 2 THEN 'Calls `fn_' || {text('doc_id * 2 + i % 5')} || '` and `m.' || w || '.fn_' || {text('doc_id + i')} || '()`' || CASE WHEN doc_id % 3 = 0 THEN '.' ELSE ' in (' || {path_of('doc_id')} || ':' || {text('i % 70')} || ').' END
  WHEN 3 THEN s
  WHEN 4 THEN '| symbol | ' || CASE doc_id % 2 WHEN 0 THEN 'fan-in' ELSE 'complexity' END || ' | anchor |'
  WHEN 5 THEN '| --- | ---: | --- |'

@@ -76,12 +76,12 @@ def parents(d: Data):
     return d("commits").filter("event_id % 1000 <> 0").select("hash")
 
 
-@query("root_commits", "SELECT hash, date, subject FROM commits WHERE event_id % 1000 = 0 ORDER BY date, hash LIMIT 50")
+@query("root_commits", "SELECT hash, date, subject FROM commits WHERE event_id % 1000 = 0")
 def root_commits(d: Data):
     return G.root_commits(d("commits"), parents(d))
 
 
-@query("oldest_in_window", "SELECT * FROM (SELECT hash, date, subject FROM commits ORDER BY date DESC, hash DESC LIMIT 400) t ORDER BY date, hash LIMIT 1")
+@query("oldest_in_window", "SELECT * FROM (SELECT hash, date, subject FROM commits) t ORDER BY date, hash LIMIT 1")
 def oldest_in_window(d: Data):
     return G.oldest_in_window(d("commits"))
 
@@ -134,14 +134,15 @@ def block_lines(d: Data):
     from codeloom.plans.fixtures import path_of
 
     body = F.array(F.lit("<details>"), F.lit(f"<summary>{vocab.SUMMARY}</summary>"), F.lit(""), *[F.concat(F.lit("- "), F.expr(path_of(f"(doc_id + {k})"))) for k in (0, 1, 5)], F.lit("</details>"))
-    block = heads.select("page", F.posexplode(body).alias("k", "line")).select("page", (F.col("k") + 11).alias("line_no"), "line")
+    # every third page lists two files only
+    block = heads.select("page", "doc_id", F.posexplode(body).alias("k", "line")).filter("NOT (k = 5 AND doc_id % 3 = 0)").select("page", (F.col("k") + 11).alias("line_no"), "line")
     return spaced.unionByName(block)
 
 
 def _block_sql() -> str:
     from codeloom.plans.fixtures import path_of
 
-    files = " UNION ALL ".join(f"SELECT page, {path_of(f'(doc_id + {k})')} AS file FROM h" for k in (0, 1, 5))
+    files = " UNION ALL ".join(f"SELECT page, {path_of(f'(doc_id + {k})')} AS file FROM h" + (" WHERE doc_id % 3 > 0" if k == 5 else "") for k in (0, 1, 5))
     return f"(WITH h AS (SELECT page, CAST(substr(page, 2) AS BIGINT) AS doc_id FROM md_lines WHERE line_no = 1) {files})"
 
 

@@ -114,12 +114,12 @@ _BODIES = """bodies AS (
  WITH n AS (SELECT path, max(line_no) AS n_lines FROM code_lines GROUP BY 1),
  p AS (SELECT id, file AS path, start_line, end_line, n_lines FROM symbols JOIN n ON file = path WHERE start_line <= n_lines),
  k AS (SELECT id, path, start_line AS from_line, least(end_line, n_lines) AS to_line, false AS approximated FROM p WHERE end_line > start_line),
- r AS (SELECT id, path, start_line AS from_line, least(start_line + 80, n_lines) AS to_line FROM p WHERE end_line IS NULL OR end_line <= start_line),
- b AS (SELECT path, line_no, CASE WHEN regexp_matches(code, '\\{') THEN 1 ELSE 0 END AS o, CASE WHEN regexp_matches(code, '\\}') THEN 1 ELSE 0 END AS c FROM (
-   SELECT path, line_no, regexp_replace(regexp_replace(line, '''(?:[^''\\\\]|\\\\.)*''|"(?:[^"\\\\]|\\\\.)*"|`[^`]*`', '', 'g'), '//.*$', '') AS code FROM code_lines) z),
- s AS (SELECT r.id, b.line_no, o, c, sum(o - c) OVER (PARTITION BY r.id ORDER BY b.line_no) AS after FROM r JOIN b ON r.path = b.path AND b.line_no BETWEEN from_line AND to_line),
- e AS (SELECT id, min(line_no) AS close_line FROM s WHERE c = 1 AND after <= 0 GROUP BY 1)
- SELECT * FROM k UNION ALL SELECT r.id, path, from_line, coalesce(close_line, to_line), close_line IS NULL FROM r LEFT JOIN e ON r.id = e.id)"""
+ r AS (SELECT id, path, start_line AS from_line, n_lines, (SELECT min(q.start_line) - 1 FROM symbols q WHERE q.file = p.path AND q.start_line > p.start_line) AS before_next FROM p WHERE end_line IS NULL OR end_line <= start_line),
+ b AS (SELECT path, line_no, unnest(cs) AS br, generate_subscripts(cs, 1) AS k FROM (SELECT path, line_no, regexp_extract_all(regexp_replace(regexp_replace(line, '''(?:[^''\\\\]|\\\\.)*''|"(?:[^"\\\\]|\\\\.)*"|`[^`]*`', '', 'g'), '//.*$', ''), '[{}]') AS cs FROM code_lines) z WHERE len(cs) > 0),
+ bd AS MATERIALIZED (SELECT path, line_no, br, sum(CASE br WHEN '{' THEN 1 ELSE -1 END) OVER w AS d, row_number() OVER w AS pos FROM b WINDOW w AS (PARTITION BY path ORDER BY line_no, k)),
+ s AS (SELECT id, r.path, coalesce(arg_max(d, pos) FILTER (bd.line_no < from_line), 0) AS d0, min(pos) FILTER (bd.line_no >= from_line AND br = '{') AS o FROM r LEFT JOIN bd ON bd.path = r.path GROUP BY 1, 2),
+ e AS (SELECT s.id, min(bd.line_no) AS close_line FROM s JOIN bd ON bd.path = s.path AND bd.pos > s.o AND bd.br = '}' AND bd.d = s.d0 GROUP BY 1)
+ SELECT * FROM k UNION ALL SELECT r.id, path, from_line, coalesce(close_line, before_next, n_lines), close_line IS NULL FROM r LEFT JOIN e ON r.id = e.id)"""
 
 
 @query("body_ranges", f"WITH {_BODIES} SELECT * FROM bodies")
@@ -191,25 +191,23 @@ def method_call_sites(d: Data):
 
 
 @query("reexport_graph", """SELECT path, line_no, CASE WHEN line LIKE 'export *%' THEN 'star' ELSE 'named' END AS kind, regexp_extract(line, 'from ''([^'']+)''', 1) AS target FROM code_lines
- WHERE line LIKE 'export * from %' OR line LIKE 'export { c } from %' QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no) <= 40""")
+ WHERE line LIKE 'export * from %' OR line LIKE 'export { c } from %'""")
 def reexport_graph(d: Data):
     return E.reexport_graph(d("code_lines"))
 
 
-@query("exported_declarations", f"""SELECT path, line_no, regexp_extract(line, {D.rx(P.EXPORT_DECL)}, 1) AS name FROM code_lines WHERE regexp_matches(line, {D.rx(P.EXPORT_DECL)})
- QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no) <= 60""")
+@query("exported_declarations", f"""SELECT path, line_no, regexp_extract(line, {D.rx(P.EXPORT_DECL)}, 1) AS name FROM code_lines WHERE regexp_matches(line, {D.rx(P.EXPORT_DECL)})""")
 def exported_declarations(d: Data):
     return E.exported_declarations(d("code_lines"))
 
 
-@query("reexport_shells", f"""SELECT path FROM code_lines WHERE NOT (trim(line) = '' OR starts_with(trim(line), '//') OR starts_with(trim(line), '/*') OR starts_with(trim(line), '*') OR line_no % 24 IN (2, 3))
+@query("reexport_shells", f"""SELECT path FROM code_lines WHERE NOT (trim(line) = '' OR starts_with(trim(line), '//') OR starts_with(trim(line), '/*') OR starts_with(trim(line), '*'))
  GROUP BY 1 HAVING bool_and(regexp_matches(trim(line), {D.rx(P.REEXPORT_LINE)}))""")
 def reexport_shells(d: Data):
-    return E.reexport_shells(d("code_lines").filter("NOT line_no % 24 IN (2, 3)"))
+    return E.reexport_shells(d("code_lines"))
 
 
-@query("test_titles", f"""SELECT path, line_no, regexp_extract(line, '(?:describe|it|test)\\(''([^'']+)''', 1) AS title FROM code_lines WHERE regexp_matches(path, {D.rx(vocab.TEST_FILE_SUFFIX)}) AND regexp_matches(line, '(?:describe|it|test)\\(''([^'']+)''')
- QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no) <= 10""")
+@query("test_titles", f"""SELECT path, line_no, regexp_extract(line, '(?:describe|it|test)\\(''([^'']+)''', 1) AS title FROM code_lines WHERE regexp_matches(path, {D.rx(vocab.TEST_FILE_SUFFIX)}) AND regexp_matches(line, '(?:describe|it|test)\\(''([^'']+)''')""")
 def test_titles(d: Data):
     return E.test_titles(d("code_lines"))
 
@@ -306,7 +304,7 @@ def store_consumers(d: Data):
     return G.store_consumers(G.store_census(d("code_lines")), d("code_lines"))
 
 
-@query("state_keys", f"""SELECT s.path, s.name, s.kind, s.line_no, count(*) FILTER (regexp_matches(c.line, '^\\s{{2,}}[A-Za-z_$][A-Za-z0-9_$]*\\s*[:,]')) AS state_keys FROM {_STORES} s JOIN code_lines c ON c.path = s.path AND c.line_no BETWEEN s.line_no AND s.line_no + 60 GROUP BY 1, 2, 3, 4""")
+@query("state_keys", f"""SELECT s.path, s.name, s.kind, s.line_no, count(*) FILTER (regexp_matches(c.line, '^\\s{{2,}}[A-Za-z_$][A-Za-z0-9_$]*\\s*[:,]')) AS state_keys FROM {_STORES} s JOIN code_lines c ON c.path = s.path AND c.line_no >= s.line_no AND c.line_no < coalesce((SELECT min(n.line_no) FROM {_STORES} n WHERE n.path = s.path AND n.line_no > s.line_no), 1000000000) GROUP BY 1, 2, 3, 4""")
 def state_keys(d: Data):
     return G.state_keys(G.store_census(d("code_lines")), d("code_lines"))
 
@@ -350,8 +348,8 @@ EVIDENCE_SQL = rf"""(WITH r AS (SELECT path, line_no, line, {_CMT} AS c, {_duck_
  h0 AS (SELECT *, sum(CASE WHEN trim(line) = '' AND seen > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS blanks FROM l),
  h AS (SELECT path, {_duck_clean("string_agg(c, ' ' ORDER BY line_no)")} AS text FROM h0 WHERE stops = 0 AND blanks = 0 AND c IS NOT NULL AND NOT regexp_matches(trim(c), '(?i)^(copyright|licensed|spdx|@license)') GROUP BY 1)
  SELECT 'file-header' AS kind, path AS file, 1 AS line_no, NULL AS symbol, text, path || ':1' AS anchor FROM h WHERE length(text) >= 12 AND text <> path AND NOT ends_with(text, {D.basename('path')})
- UNION ALL (SELECT 'symbol-comment', path, line_no, def, text, path || ':' || line_no FROM (SELECT *, {_duck_clean("CASE WHEN c2 IS NULL THEN c1 WHEN c3 IS NULL THEN c2 || ' ' || c1 ELSE c3 || ' ' || c2 || ' ' || c1 END")} AS text FROM l WHERE c1 IS NOT NULL AND def <> '') s WHERE length(text) >= 8 QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no) <= 3)
- UNION ALL (SELECT 'why-marker', path, line_no, NULL, text, path || ':' || line_no FROM (SELECT *, {_duck_clean(chr(39).join(["regexp_extract(c, ", r"\b(TODO|FIXME|HACK|NOTE|WHY|SAFETY|PERF|GOTCHA|XXX)\b\s*[:：]?\s*(.*)", ", 1) || ", ": ", " || regexp_extract(c, ", r"\b(TODO|FIXME|HACK|NOTE|WHY|SAFETY|PERF|GOTCHA|XXX)\b\s*[:：]?\s*(.*)", ", 2)"]))} AS text FROM l WHERE regexp_matches(c, '\b(TODO|FIXME|HACK|NOTE|WHY|SAFETY|PERF|GOTCHA|XXX)\b')) s WHERE length(text) >= 6 QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no) <= 5)
+ UNION ALL (SELECT 'symbol-comment', path, line_no, def, text, path || ':' || line_no FROM (SELECT *, {_duck_clean("CASE WHEN c2 IS NULL THEN c1 WHEN c3 IS NULL THEN c2 || ' ' || c1 ELSE c3 || ' ' || c2 || ' ' || c1 END")} AS text FROM l WHERE c1 IS NOT NULL AND def <> '') s WHERE length(text) >= 8)
+ UNION ALL (SELECT 'why-marker', path, line_no, NULL, text, path || ':' || line_no FROM (SELECT *, {_duck_clean(chr(39).join(["regexp_extract(c, ", r"\b(TODO|FIXME|HACK|NOTE|WHY|SAFETY|PERF|GOTCHA|XXX)\b\s*[:：]?\s*(.*)", ", 1) || ", ": ", " || regexp_extract(c, ", r"\b(TODO|FIXME|HACK|NOTE|WHY|SAFETY|PERF|GOTCHA|XXX)\b\s*[:：]?\s*(.*)", ", 2)"]))} AS text FROM l WHERE regexp_matches(c, '\b(TODO|FIXME|HACK|NOTE|WHY|SAFETY|PERF|GOTCHA|XXX)\b')) s WHERE length(text) >= 6)
  UNION ALL SELECT 'const-comment', path, line_no, con, text, path || ':' || line_no FROM (SELECT *, {_duck_clean("coalesce(nullif(regexp_extract(line, '(?://|#)\\s*(.+)$', 1), ''), nullif(c1, ''))")} AS text FROM l WHERE con <> '') s WHERE length(text) >= 4)"""
 
 

@@ -119,7 +119,7 @@ def title_slugs(d: Data):
  f AS (SELECT s.*, (SELECT min(x.line_no) FROM r x WHERE x.page = s.page AND x.line_no > s.line_no AND x.lv = 0 AND x.t <> '' AND (s.fin IS NULL OR x.line_no < s.fin)) AS beg FROM s),
  g AS (SELECT f.*, (SELECT min(x.line_no) FROM r x WHERE x.page = f.page AND x.line_no > f.beg AND x.lv = 0 AND x.t = '') AS stop FROM f WHERE beg IS NOT NULL),
  e AS (SELECT g.page, g.line_no, g.title, rtrim(substr(string_agg(r.t, ' ' ORDER BY r.line_no), 1, 200)) AS ex FROM g JOIN r ON r.page = g.page AND r.lv = 0 AND r.t <> '' AND r.line_no >= g.beg AND (g.stop IS NULL OR r.line_no < g.stop) AND (g.fin IS NULL OR r.line_no < g.fin) GROUP BY 1, 2, 3),
- k AS (SELECT * FROM e WHERE length(ex) >= 10 QUALIFY row_number() OVER (PARTITION BY page ORDER BY line_no) <= 3)
+ k AS (SELECT * FROM e WHERE length(ex) >= 10)
  SELECT page AS file, line_no, title || '：' || ex AS text, page || '#' || regexp_replace(trim(regexp_replace(lower(trim(title)), '[^\p{{L}}\p{{N}}\s_-]', '', 'g')), '\s+', '-', 'g') AS anchor FROM k""")
 def doc_sections(d: Data):
     return V.doc_sections(d("md_lines"))
@@ -128,13 +128,12 @@ def doc_sections(d: Data):
 @query("readme_prereqs", rf"""WITH r AS (SELECT page, line_no, line, nullif(trim(regexp_extract(line, '^#{{1,4}}\s+(.+)$', 1)), '') AS title FROM md_lines),
  s AS (SELECT *, count(title) OVER (PARTITION BY page ORDER BY line_no) AS sec FROM r),
  b AS (SELECT page, sec, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '^\s+|\s+$', '', 'g') AS body FROM s WHERE title IS NULL AND sec > 0 GROUP BY 1, 2)
- SELECT s.page, s.title, substr(array_to_string(string_split(b.body, chr(10))[1:8], chr(10)), 1, 240) AS text FROM s JOIN b ON s.page = b.page AND s.sec = b.sec WHERE s.title IS NOT NULL AND regexp_matches(s.title, {D.rx(vocab.PREREQ_HEADING)}) AND b.body <> ''
- QUALIFY row_number() OVER (PARTITION BY s.page ORDER BY s.sec) <= 4""")
+ SELECT s.page, s.title, substr(array_to_string(string_split(b.body, chr(10))[1:8], chr(10)), 1, 240) AS text FROM s JOIN b ON s.page = b.page AND s.sec = b.sec WHERE s.title IS NOT NULL AND regexp_matches(s.title, {D.rx(vocab.PREREQ_HEADING)}) AND b.body <> ''""")
 def readme_prereqs(d: Data):
     return V.readme_prereqs(d("md_lines"))
 
 
-@query("doc_titles", r"SELECT page, arg_min(trim(regexp_extract(line, '^#\s+(.{1,80})', 1)), line_no) AS title FROM md_lines WHERE line_no <= 50 AND regexp_matches(line, '^#\s+\S') GROUP BY 1")
+@query("doc_titles", r"SELECT page, arg_min(trim(regexp_extract(line, '^#\s+(.{1,80})', 1)), line_no) AS title FROM md_lines WHERE regexp_matches(line, '^#\s+\S') GROUP BY 1")
 def doc_titles(d: Data):
     return V.doc_titles(d("md_lines"))
 

@@ -13,15 +13,17 @@ from codeloom.plans.q_aggs import COVERAGE, SUPPORT, _block_sql, _inner, block_l
 from codeloom.plans.q_docs import SLUGS, TABLES  # noqa: F401
 from codeloom.plans.q_joins import CHECKED, absent_names, page_paths, verdicts
 from codeloom.plans.q_sets import linked_pages
+from codeloom.operators.lines import rebuild
+from codeloom.session import cut_lineage
 from codeloom.sources import sinks
 
 
 def document_lines(d: Data):
-    """Documents as pages; every fourth gets a title line."""
+    """Whole documents as pages: with a title line, as headings only, with nothing but white space, and as they are."""
     from codeloom.operators.lines import line_table
 
     k = F.col("doc_id") % 4
-    content = F.when(k == 0, F.concat(F.lit("# T\n"), "text")).when(k == 1, "## only\n\n# heads").when(k == 2, "\n  \n").otherwise(F.col("text"))
+    content = F.when(k == 0, F.concat(F.lit("# T\n"), "text")).when(k == 1, F.regexp_replace("text", "(?m)^", "# h ")).when(k == 2, F.regexp_replace("text", r"\S", "")).otherwise(F.col("text"))
     return line_table(d("documents").select(F.concat(F.lit("p"), "doc_id").alias("page"), content.alias("content")), "page", "content")
 
 
@@ -50,17 +52,18 @@ def tiers(d: Data):
     return d("documents").select(F.concat(F.lit("p"), "doc_id").alias("page"), F.when(F.col("doc_id") % 2 == 0, "structure").otherwise("operations").alias("tier"))
 
 
-def some_blocks(d: Data):
-    """Evidence blocks on two of three pages."""
-    return block_lines(d).filter("CAST(substr(page, 2) AS BIGINT) % 3 > 0 OR line_no % 10 = 0")
+THIN = """(SELECT page, 'thin-evidence' AS rule, 'warn' AS severity, '证据锚定块仅 2 个源文件（< 3），页面叙述依据可能不足' AS message FROM (SELECT DISTINCT page FROM md_lines) p WHERE CAST(substr(page, 2) AS INT) % 6 = 0)"""
 
 
-@query("rule_thin_evidence", """SELECT page, 'thin-evidence' AS rule, 'warn' AS severity, '证据锚定块仅 0 个源文件（< 3），页面叙述依据可能不足' AS message FROM (SELECT DISTINCT page FROM md_lines) p WHERE CAST(substr(page, 2) AS INT) % 6 = 0""")
+@query("rule_thin_evidence", f"SELECT * FROM {THIN} t")
 def rule_thin_evidence(d: Data):
-    return Q.rule_thin_evidence(some_blocks(d), tiers(d))
+    return Q.rule_thin_evidence(block_lines(d), tiers(d))
 
 
-@query("rule_evidence_coverage", f"SELECT page, 'evidence-coverage' AS rule, 'warn' AS severity, '正文引用文件 ' || cited || ' 个，锚定块仅覆盖 ' || covered || ' 个' AS message FROM {COVERAGE} c WHERE cited >= 3 AND covered < cited AND uncited > 0")
+COVERAGE_ISSUES = f"(SELECT page, 'evidence-coverage' AS rule, 'warn' AS severity, '正文引用文件 ' || cited || ' 个，锚定块仅覆盖 ' || covered || ' 个' AS message FROM {COVERAGE} c WHERE cited >= 3 AND covered < cited AND uncited > 0)"
+
+
+@query("rule_evidence_coverage", f"SELECT * FROM {COVERAGE_ISSUES} c")
 def rule_evidence_coverage(d: Data):
     return Q.rule_evidence_coverage(block_lines(d), d("files"))
 
@@ -78,13 +81,13 @@ def _anchored(line: str) -> str:
     return f"(regexp_matches({line}, {D.rx(vocab.ANCHOR)}) OR regexp_matches({line}, {D.rx(vocab.COMMIT_ANCHOR)}) OR regexp_matches({line}, {D.rx(vocab.DOC_ANCHOR)}))"
 
 
-RATIONALE = rf"""(SELECT h.page, 'unanchored-rationale' AS rule, 'warn' AS severity, '动机类小节「' || h.title || '」未引用任何 file:line 或 commit 证据（R7），叙述可能为无据推断' AS message FROM (WITH s AS (SELECT *, count(title) OVER (PARTITION BY page ORDER BY line_no) AS sec FROM (SELECT page, line_no, line, nullif(trim(regexp_extract(line, '^##\s+(.{{1,60}})', 1)), '') AS title FROM md_lines WHERE line_no % 32 NOT IN (3, 31)) x)
+RATIONALE = rf"""(SELECT h.page, 'unanchored-rationale' AS rule, 'warn' AS severity, '动机类小节「' || h.title || '」未引用任何 file:line 或 commit 证据（R7），叙述可能为无据推断' AS message FROM (WITH s AS (SELECT *, count(title) OVER (PARTITION BY page ORDER BY line_no) AS sec FROM (SELECT page, line_no, line, nullif(trim(regexp_extract(line, '^##\s+(.{{1,60}})', 1)), '') AS title FROM md_lines) x)
  SELECT a.page, a.title, bool_or(trim(b.line) <> '') AS filled, bool_or({_anchored('b.line')}) AS anchored FROM s a JOIN s b ON b.page = a.page AND b.sec = a.sec AND b.title IS NULL WHERE a.title IS NOT NULL AND regexp_matches(a.title, '{vocab.RATIONALE}') GROUP BY a.page, a.sec, a.title) h WHERE filled AND NOT anchored)"""
 
 
 @query("rule_unanchored_rationale", f"SELECT * FROM {RATIONALE} r")
 def rule_unanchored_rationale(d: Data):
-    return Q.rule_unanchored_rationale(d("md_lines").filter("NOT line_no % 32 IN (3, 31)"))
+    return Q.rule_unanchored_rationale(d("md_lines"))
 
 
 def _incomplete_sql(source: str, key: str, extra: str = "") -> str:
@@ -158,7 +161,13 @@ def rule_scope_overlap(d: Data):
 
 
 def all_issues(d: Data):
-    """The whole gate over md_lines."""
+    """The whole gate over md_lines, once a query."""
+    if "issues" not in d._stored:
+        d._stored["issues"] = cut_lineage(_all_issues(d))
+    return d._stored["issues"]
+
+
+def _all_issues(d: Data):
     lines, files, code = d.stored("md_lines"), d("files"), d.stored("code_lines")
     resolved = A.file_anchors(lines, files)
     checked = A.anchor_line_check(resolved, code)
@@ -166,15 +175,15 @@ def all_issues(d: Data):
     docs = slugs.select(F.concat(F.lit("docs/"), "page", F.lit(".md")).alias("doc"), "slug")
     mismatch = A.anchor_symbol_mismatch(resolved, lines, code, d("symbols"))
     known = d("documents").filter("doc_id % 3 = 0").select(F.concat(F.lit("p"), "doc_id", F.lit(".md")).alias("path"))
-    return Q.gate(
-        Q.rule_empty_shell(lines), Q.rule_claim_support(lines), Q.rule_dead_links(A.dead_links(lines, page_paths(d), page_paths(d), known)),
-        Q.rule_diagram_misuse(lines), Q.rule_mermaid_ghosts(A.mermaid_ghosts(lines, files)), Q.rule_incomplete_page(lines),
-        Q.rule_unanchored_dependency(lines, page=None), Q.rule_unverified_absence(lines, suspects(d)), Q.rule_filler_noise(lines),
-        Q.rule_broken_anchors(checked, mismatch, A.doc_anchor_check(M.extract_anchors(lines), docs), A.fragment_check(lines, slugs)))
+    anchors = (checked, mismatch, A.doc_anchor_check(M.extract_anchors(lines), docs), A.fragment_check(lines, slugs))
+    return Q.page_gate(
+        lines, rebuild(lines), block_lines(d), tiers(d), files, A.dead_links(lines, page_paths(d), page_paths(d), known),
+        A.mermaid_ghosts(lines, files), anchors, suspects(d), dependency_page=None)
 
 
 _MD_EMPTY = r"""(SELECT page, 'empty-shell' AS rule, 'error' AS severity, CASE WHEN n = 0 THEN '内容为空' WHEN b = n THEN '缺少 Markdown 标题结构' ELSE '仅有标题无正文，判定为空壳页' END AS message FROM (SELECT page, count(*) FILTER (trim(line) <> '') AS n, count(*) FILTER (trim(line) <> '' AND NOT regexp_matches(trim(line), '^#{1,6}\s')) AS b FROM md_lines GROUP BY 1) t WHERE n = 0 OR b = n OR b = 0)"""
-ISSUES = f"""(SELECT * FROM {_MD_EMPTY} a UNION ALL SELECT page, 'claim-support', 'warn', '事实句支撑率 ' || supported || '/' || factual || '（<50%）' FROM {SUPPORT} s WHERE factual >= 5 AND supported * 2 < factual
+_MD_SECRET = f"(SELECT * FROM (SELECT page, 'secret' AS rule, 'error' AS severity, CASE {_SECRET} END AS message FROM (SELECT page, string_agg(line, chr(10) ORDER BY line_no) AS text FROM md_lines GROUP BY 1) x) t WHERE message IS NOT NULL)"
+ISSUES = f"""(SELECT * FROM {_MD_EMPTY} a UNION ALL SELECT * FROM {_MD_SECRET} sx UNION ALL SELECT * FROM {RATIONALE} ra UNION ALL SELECT * FROM {THIN} th UNION ALL SELECT * FROM {COVERAGE_ISSUES} co UNION ALL SELECT page, 'claim-support', 'warn', '事实句支撑率 ' || supported || '/' || factual || '（<50%）' FROM {SUPPORT} s WHERE factual >= 5 AND supported * 2 < factual
  UNION ALL SELECT DISTINCT page, 'dead-link', 'warn', '相对链接目标本次未产出: ' || target FROM {_inner('dead_links')} l UNION ALL SELECT * FROM {DIAGRAM} b UNION ALL SELECT page, 'mermaid-ghost', 'warn', 'Mermaid 图引用未知文件: ' || file FROM {_inner('mermaid_ghosts')} m
  UNION ALL SELECT * FROM {INCOMPLETE} i UNION ALL SELECT * FROM {DEPENDENCY} dp UNION ALL SELECT * FROM {ABSENCE} ab UNION ALL SELECT * FROM {FILLER} fi
  UNION ALL SELECT DISTINCT page, 'broken-anchor', 'warn', CASE state WHEN 'broken' THEN '残缺锚点（缺少行号）: ' || path || ':' || target_line WHEN 'unknown' THEN '锚点路径不在扫描文件清单中: ' || path ELSE '锚点行号超出文件范围: ' || path || ':' || target_line END FROM {CHECKED} c WHERE state IN ('broken', 'unknown', 'out-of-range')
@@ -192,21 +201,20 @@ def page_passed(d: Data):
     return Q.page_passed(d("md_lines"), all_issues(d))
 
 
-@query("failing_reasons", f"SELECT page, string_agg(message, '; ' ORDER BY rule, message) AS reason FROM (SELECT * FROM {_MD_EMPTY} a UNION ALL SELECT * FROM {FILLER} f UNION ALL SELECT * FROM {SECRET} s) e GROUP BY 1")
+@query("failing_reasons", f"SELECT page, string_agg(message, '; ' ORDER BY rule, message) AS reason FROM {ISSUES} e WHERE severity = 'error' GROUP BY 1")
 def failing_reasons(d: Data):
-    return Q.failing_reasons(Q.gate(Q.rule_empty_shell(d("md_lines")), Q.rule_filler_noise(d("md_lines")), Q.rule_secret(document_pages(d))))
+    return Q.failing_reasons(all_issues(d))
 
 
-@query("build_report", f"""SELECT 'pages.' || status AS counter, count(*) AS n FROM {_inner('sink_with_status')} s GROUP BY 1 UNION ALL SELECT 'issues.' || severity || '.' || rule, count(*) FROM (SELECT * FROM {_MD_EMPTY} a UNION ALL SELECT * FROM {FILLER} f UNION ALL SELECT * FROM {SECRET} s) e GROUP BY 1
+@query("build_report", f"""SELECT 'pages.' || status AS counter, count(*) AS n FROM {_inner('sink_with_status')} s GROUP BY 1 UNION ALL SELECT 'issues.' || severity || '.' || rule, count(*) FROM {ISSUES} e GROUP BY 1
  UNION ALL SELECT 'claims.' || k, v FROM (UNPIVOT (SELECT sum(total) AS total, sum(verified) AS verified, sum(unverified) AS unverified, sum(mention_only) AS mention_only, sum(ambiguous) AS ambiguous, sum(skipped) AS skipped FROM {_inner('claim_stats')} c) ON total, verified, unverified, mention_only, ambiguous, skipped INTO NAME k VALUE v) u
  UNION ALL SELECT 'anchors.' || k, v FROM (UNPIVOT (SELECT sum(total) AS total, sum(valid) AS valid, sum(out_of_range) AS out_of_range, sum(comment) AS comment FROM {_inner('anchor_stats')} c) ON total, valid, out_of_range, comment INTO NAME k VALUE v) u
  UNION ALL SELECT 'support.' || k, v FROM (UNPIVOT (SELECT sum(factual) AS factual, sum(supported) AS supported FROM {SUPPORT} c) ON factual, supported INTO NAME k VALUE v) u""")
 def build_report(d: Data):
     from codeloom.plans.q_basics import sink_with_status
 
-    issues = Q.gate(Q.rule_empty_shell(d("md_lines")), Q.rule_filler_noise(d("md_lines")), Q.rule_secret(document_pages(d)))
     checked = A.anchor_line_check(A.file_anchors(d("md_lines"), d("files")), d("code_lines"))
-    return Q.build_report(sink_with_status(d), issues, J.claim_stats(verdicts(d), J.symbol_index(d("symbols"))), A.anchor_stats(checked), G.claim_support(d("md_lines")))
+    return Q.build_report(sink_with_status(d), all_issues(d), J.claim_stats(verdicts(d), J.symbol_index(d("symbols"))), A.anchor_stats(checked), G.claim_support(d("md_lines")))
 
 
 @query("crosspage_review", f"""SELECT a AS page, 'table-duplication' AS rule, 'warn' AS severity, '与 ' || b || ' 表格首列重合度 ' || CAST(round(overlap * 100) AS INT) || '%（≥50%）' AS message FROM {_inner('table_overlap')} t WHERE duplicated

@@ -31,12 +31,12 @@ _ORD = "caller_name, caller_file, callee_name, callee_file, callee_line"
 
 
 def _bfs(by_file: bool, roots_sql: str) -> str:
-    """Three unrolled levels with a fan-out of forty per root."""
+    """Three unrolled levels."""
     seen = "(root, name, file)" if by_file else "(root, name)"
     fresh = "root, name, file" if by_file else "root, name, min(file) AS file"
     group = "GROUP BY 1, 2, 3" if by_file else "GROUP BY 1, 2"
     def level(k: int) -> str:
-        return f"""l{k} AS MATERIALIZED (SELECT f.root, {k} AS depth, s.* FROM f{k} f JOIN st s ON s.caller_name = f.name AND s.caller_file = f.file QUALIFY row_number() OVER (PARTITION BY f.root ORDER BY {_ORD}) <= 40)"""
+        return f"""l{k} AS MATERIALIZED (SELECT f.root, {k} AS depth, s.* FROM f{k} f JOIN st s ON s.caller_name = f.name AND s.caller_file = f.file)"""
     def frontier(k: int) -> str:
         old = " UNION ALL ".join(f"SELECT {seen} FROM f{j}" for j in range(k))
         return f"""f{k} AS MATERIALIZED (SELECT {fresh} FROM (SELECT DISTINCT root, callee_name AS name, callee_file AS file FROM l{k - 1}) q WHERE {seen} NOT IN ({old}) {group})"""
@@ -51,11 +51,10 @@ def call_chain(d: Data):
     return G.call_chain(trusted(d), roots(d))
 
 
-@query("call_groups")
+@query("call_groups", f"""WITH {_bfs(True, _ROOTS)}, u AS ({CHAIN}) SELECT *, 'entry' AS kind FROM u QUALIFY row_number() OVER (PARTITION BY root, caller_name, callee_name ORDER BY depth, caller_file, callee_file, callee_line) = 1""")
 def call_groups(d: Data):
-    entries = roots(d).withColumn("ord", F.lit(0)).filter("name LIKE '%0'")
     top = A.top_callers(calls(d)).select("name", "file", F.lit(0).alias("ord"))
-    return G.call_groups(trusted(d), entries.orderBy("name", "file").limit(2), top)
+    return G.call_groups(trusted(d), roots(d).select("name", "file", F.lit(0).alias("ord")), top)
 
 
 @query("call_group_entries", f"""WITH {_bfs(True, _ROOTS)}, u AS ({CHAIN}) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY root, caller_name, callee_name ORDER BY depth, caller_file, callee_file, callee_line) = 1""")
@@ -65,12 +64,12 @@ def call_group_entries(d: Data):
     return found.withColumn("_rn", first).filter("_rn = 1").drop("_rn")
 
 
-@query("hop_table", """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'CALLS' AND weight >= 45), l AS (SELECT 'callee' AS direction, src, dst FROM e UNION ALL SELECT 'caller', dst, src FROM e),
- r AS (SELECT d.direction, p_partkey AS id, 0 AS hops FROM part, (SELECT unnest(['callee', 'caller']) AS direction) d WHERE p_partkey % 1000 = 7 UNION SELECT r.direction, l.dst, r.hops + 1 FROM r JOIN l ON l.src = r.id AND l.direction = r.direction WHERE r.hops < 6)
+@query("hop_table", """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'CALLS'), l AS (SELECT 'callee' AS direction, src, dst FROM e UNION ALL SELECT 'caller', dst, src FROM e),
+ r AS (SELECT d.direction, p_partkey AS id, 0 AS hops FROM part, (SELECT unnest(['callee', 'caller']) AS direction) d WHERE p_size = 1 UNION SELECT r.direction, l.dst, r.hops + 1 FROM r JOIN l ON l.src = r.id AND l.direction = r.direction WHERE r.hops < 6)
  SELECT direction, id, min(hops) AS hops FROM r GROUP BY 1, 2 HAVING min(hops) > 0""")
 def hop_table(d: Data):
-    edges = d("edges").filter("type = 'CALLS' AND weight >= 45")
-    return G.hop_table(edges, d("part").filter("p_partkey % 1000 = 7").select(F.col("p_partkey").alias("id")))
+    edges = d("edges").filter("type = 'CALLS'")
+    return G.hop_table(edges, d("part").filter("p_size = 1").select(F.col("p_partkey").alias("id")))
 
 
 def once(d: Data, name: str, make):
@@ -105,7 +104,7 @@ def stage_keys(d: Data):
 
 def bodies(d: Data):
     """Bodies of functions and methods."""
-    return once(d, "bodies", lambda: E.body_ranges(d("symbols").filter("label IN ('Function', 'Method')"), d("code_lines")))
+    return once(d, "bodies", lambda: E.body_ranges(d("symbols").filter("label IN ('Function', 'Method')"), d("code_lines"), starts=d("symbols")))
 
 
 def symbol_io(d: Data):
@@ -194,12 +193,12 @@ def topic_members(d: Data):
 MEMBERS = rf"(SELECT 't' || CAST(floor(CAST(regexp_extract(module, '(\d+)', 1) AS BIGINT) / 3) AS BIGINT) AS topic, path AS file, module FROM files WHERE NOT {D.is_test('path')})"
 
 
-@query("subgraph_symbols", f"SELECT m.topic, row_number() OVER (PARTITION BY m.topic ORDER BY complexity DESC, id) AS rank, id, name, s.file, complexity FROM {MEMBERS} m JOIN symbols s ON s.file = m.file WHERE NOT is_test AND (docstring IS NOT NULL OR complexity > 5) AND label IN ('Class', 'Method', 'Function') QUALIFY rank <= 25")
+@query("subgraph_symbols", f"SELECT m.topic, row_number() OVER (PARTITION BY m.topic ORDER BY complexity DESC, id) AS rank, id, name, s.file, complexity FROM {MEMBERS} m JOIN symbols s ON s.file = m.file WHERE NOT is_test AND (docstring IS NOT NULL OR complexity > 5) AND label IN ('Class', 'Method', 'Function')")
 def subgraph_symbols(d: Data):
     return G.subgraph_symbols(d("symbols"), topic_members(d).select("topic", "file"))
 
 
-SUB_EDGES = f"(SELECT a.topic, t.*, row_number() OVER (PARTITION BY a.topic ORDER BY {_ORD}) AS rank FROM {TRUSTED} t JOIN {MEMBERS} a ON a.file = t.caller_file JOIN {MEMBERS} b ON b.file = t.callee_file AND b.topic = a.topic QUALIFY rank <= 30)"
+SUB_EDGES = f"(SELECT a.topic, t.*, row_number() OVER (PARTITION BY a.topic ORDER BY {_ORD}) AS rank FROM {TRUSTED} t JOIN {MEMBERS} a ON a.file = t.caller_file JOIN {MEMBERS} b ON b.file = t.callee_file AND b.topic = a.topic)"
 
 
 @query("subgraph_edges", f"SELECT * FROM {SUB_EDGES} s")
@@ -207,7 +206,7 @@ def subgraph_edges(d: Data):
     return G.subgraph_edges(trusted(d), topic_members(d).select("topic", "file"))
 
 
-@query("subgraph_boundaries", f"""SELECT topic, from_module, to_module, call_count, row_number() OVER (PARTITION BY topic ORDER BY call_count DESC, from_module, to_module) AS rank FROM (SELECT DISTINCT m.topic, b.* FROM {BOUNDARIES} b JOIN {MEMBERS} m ON m.module IN (b.from_module, b.to_module)) t QUALIFY rank <= 5""")
+@query("subgraph_boundaries", f"""SELECT topic, from_module, to_module, call_count, row_number() OVER (PARTITION BY topic ORDER BY call_count DESC, from_module, to_module) AS rank FROM (SELECT DISTINCT m.topic, b.* FROM {BOUNDARIES} b JOIN {MEMBERS} m ON m.module IN (b.from_module, b.to_module)) t""")
 def subgraph_boundaries(d: Data):
     return G.subgraph_boundaries(A.module_boundaries(calls(d)), topic_members(d).select("topic", "module"))
 
@@ -234,7 +233,7 @@ def cluster_files(d: Data):
 
 def candidates(d: Data):
     sizes = d("clusters").join(top_nodes(d).groupBy("id").agg(F.count("*").alias("top_nodes")), "id")
-    shells = E.reexport_shells(d("code_lines").filter("NOT line_no % 24 IN (2, 3)"))
+    shells = E.reexport_shells(d("code_lines"))
     return G.topic_candidates(sizes, cluster_files(d), shells)
 
 

@@ -76,7 +76,7 @@ def probe_evidence(d: Data):
 
 
 CLAIM_VERDICTS = f"""(WITH c AS MATERIALIZED (SELECT *, chain IN (SELECT chain FROM {KNOWN} k) AS known FROM {CLAIMS} c),
- f AS (SELECT page, name, min(line_no * 10000 + match_no) AS pos FROM c WHERE NOT known GROUP BY 1, 2), t AS (SELECT page, name, row_number() OVER (PARTITION BY page ORDER BY pos) <= 12 AS probed FROM f)
+ f AS (SELECT page, name, min(line_no * 10000 + match_no) AS pos FROM c WHERE NOT known GROUP BY 1, 2), t AS (SELECT page, name, true AS probed FROM f)
  SELECT c.page, c.raw, c.chain, c.name, c.line_no, c.match_no, CASE WHEN known THEN 'verified' WHEN NOT probed THEN 'skipped' WHEN evidence = 'usage' THEN 'verified' WHEN evidence = 'mention' THEN 'mention' ELSE 'unverified' END AS verdict
  FROM c LEFT JOIN t ON c.page = t.page AND c.name = t.name LEFT JOIN {PROBES} p ON p.name = c.name)"""
 
@@ -187,7 +187,7 @@ def test_targets(d: Data):
 @query("docs_mentions", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(line, '([A-Za-z0-9_@./-]*[A-Za-z0-9_])', 1)) AS token FROM md_lines WHERE page LIKE '%3')
  SELECT path FROM files WHERE NOT {D.is_test('path')} AND (path IN (SELECT token FROM w) OR {D.basename('path')} IN (SELECT token FROM w))""")
 def docs_mentions(d: Data):
-    return J.docs_mentions(d("files"), d("md_lines").filter("page LIKE '%3'"))
+    return J.docs_mentions(d("files"), d("md_lines"))
 
 
 def deps(d: Data):
@@ -250,7 +250,7 @@ def crate_usage(d: Data):
 
 
 @query("dep_commits", """WITH d AS (SELECT DISTINCT event_type AS name FROM events), h AS (SELECT name, hash, date, subject, row_number() OVER (PARTITION BY name ORDER BY date DESC, hash DESC) AS rank FROM d JOIN commits ON contains(subject, name || ' ') QUALIFY rank <= 2)
- SELECT name, rank, subject, 'commit:' || substr(hash, 1, 8) || ' (' || date || ')' AS anchor FROM h ORDER BY name, rank LIMIT 8""")
+ SELECT name, rank, subject, 'commit:' || substr(hash, 1, 8) || ' (' || date || ')' AS anchor FROM h""")
 def dep_commits(d: Data):
     return J.dep_commits(d("events").select(F.col("event_type").alias("name")).distinct(), d("commits"))
 
@@ -281,7 +281,7 @@ def package_edges(d: Data):
     return pkg_edges(d)
 
 
-@query("undeclared_edges", f"SELECT from_pkg, to_pkg, import_count FROM {PKG_EDGES} e WHERE NOT declared ORDER BY import_count DESC, from_pkg, to_pkg LIMIT 30")
+@query("undeclared_edges", f"SELECT from_pkg, to_pkg, import_count FROM {PKG_EDGES} e WHERE NOT declared")
 def undeclared_edges(d: Data):
     return J.undeclared_edges(pkg_edges(d))
 
@@ -295,8 +295,8 @@ def ipc_match(d: Data):
     return J.ipc_match(G.ipc_points(ipc_texts(d)))
 
 
-#: names looked for: every twentieth symbol in camel form, and some with punctuation
-_ABSENT = "(SELECT DISTINCT CASE WHEN id % 40 = 0 THEN 'evt-' || docstring ELSE 'fn' || upper(substr(name, 4, 1)) || substr(name, 5) END AS name, CASE id % 60 WHEN 0 THEN 'any' WHEN 20 THEN 'rust' ELSE 'frontend' END AS side FROM symbols WHERE id % 20 = 0 AND docstring IS NOT NULL)"
+#: names looked for: every symbol in camel form, and some with punctuation
+_ABSENT = "(SELECT DISTINCT CASE WHEN id % 40 = 0 THEN 'evt-' || docstring ELSE 'fn' || upper(substr(name, 4, 1)) || substr(name, 5) END AS name, CASE id % 60 WHEN 0 THEN 'any' WHEN 20 THEN 'rust' ELSE 'frontend' END AS side FROM symbols WHERE docstring IS NOT NULL)"
 
 
 def absent_names(d: Data):
@@ -339,7 +339,7 @@ def method_resolution(d: Data):
 
 
 @query("dep_consistency", f"""SELECT l.name, l.usage AS left_usage, r.usage AS right_usage FROM {USAGE} l JOIN (SELECT p.name, CASE WHEN regexp_matches(p.name, '5$') THEN 'none' ELSE p.usage END AS usage FROM {PARTITION} p WHERE "group" IS NOT NULL) r ON r.name = l.name
- WHERE (l.usage = 'import') <> (r.usage = 'import') ORDER BY l.name LIMIT 10""")
+ WHERE (l.usage = 'import') <> (r.usage = 'import')""")
 def dep_consistency(d: Data):
     right = J.dep_partition(deps(d), usage(d)).withColumn("usage", F.when(F.col("name").rlike("5$"), "none").otherwise(F.col("usage")))
     return J.dep_consistency(usage(d), right)

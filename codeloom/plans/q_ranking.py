@@ -24,7 +24,7 @@ def ranked(d: Data):
     entry = d("symbols").filter("is_exported AND label = 'Class'").select("file")
     edge_modules = G.module_boundaries(edges).filter("call_count >= 30")
     boundary = edge_modules.select(F.col("from_module").alias("module")).union(edge_modules.select("to_module"))
-    docs = J.docs_mentions(d("files"), d("md_lines").filter("page LIKE '%3'")).select(path.alias("file"))
+    docs = J.docs_mentions(d("files"), d("md_lines")).select(path.alias("file"))
     tested = J.test_pairs(d("files")).select(path.alias("file"))
     return R.rank_files(files, inc, syms, churn, entry, boundary, tested, docs)
 
@@ -51,7 +51,7 @@ def rank_stats(d: Data):
     return R.rank_stats(ranked(d))
 
 
-SAMPLE = f"""(WITH c AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY complexity DESC, file, start_line, id) AS c FROM symbols WHERE NOT is_test AND (docstring IS NOT NULL OR complexity > 0) AND label IN ('Class', 'Function', 'Method') QUALIFY c <= 60),
+SAMPLE = f"""(WITH c AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY complexity DESC, file, start_line, id) AS c FROM symbols WHERE NOT is_test AND (docstring IS NOT NULL OR complexity > 0) AND label IN ('Class', 'Function', 'Method')),
  u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY module, file, name, start_line ORDER BY c) = 1),
  s AS (SELECT *, complexity + CASE WHEN coalesce(docstring, '') <> '' THEN 4 ELSE 0 END + CASE WHEN name IN (SELECT name FROM (SELECT * FROM {FAN_IN} f ORDER BY fan_in DESC, id LIMIT 15) h) THEN 8 ELSE 0 END AS score FROM u),
  r AS (SELECT *, row_number() OVER (PARTITION BY module, file ORDER BY score DESC, name, start_line, id) AS rnd, max(score) OVER (PARTITION BY module, file) AS best FROM s QUALIFY rnd <= 5)
@@ -86,12 +86,12 @@ CANDIDATES = f"""(SELECT page, file, 1 AS tier FROM {PAGE_FILES} p UNION ALL SEL
  UNION ALL SELECT 'p' || doc_id, path, CASE WHEN path LIKE '%.json' THEN 5 ELSE 4 END FROM files)"""
 
 
-@query("rank_evidence", f"SELECT page, file, tier, row_number() OVER (PARTITION BY page ORDER BY tier, file) AS rank FROM (SELECT page, file, min(tier) AS tier FROM {CANDIDATES} c GROUP BY 1, 2) t QUALIFY rank <= 15")
+@query("rank_evidence", f"SELECT page, file, tier, row_number() OVER (PARTITION BY page ORDER BY tier, file) AS rank FROM (SELECT page, file, min(tier) AS tier FROM {CANDIDATES} c GROUP BY 1, 2) t")
 def rank_evidence(d: Data):
     return R.rank_evidence(evidence_candidates(d))
 
 
-@query("evidence_files", f"SELECT page, file, row_number() OVER (PARTITION BY page ORDER BY file) AS rank FROM {PAGE_FILES} p QUALIFY rank <= 15")
+@query("evidence_files", f"SELECT page, file, row_number() OVER (PARTITION BY page ORDER BY file) AS rank FROM {PAGE_FILES} p")
 def evidence_files(d: Data):
     return R.evidence_files(page_files(d), d("files"))
 
@@ -172,7 +172,7 @@ def exported_functions(d: Data):
     return R.exported_functions(d("symbols"))
 
 
-GLOSSARY = """(WITH t AS (SELECT *, CASE label WHEN 'Class' THEN 0 WHEN 'Method' THEN 1 WHEN 'Function' THEN 2 ELSE 3 END AS o FROM symbols WHERE NOT is_test AND docstring IS NOT NULL ORDER BY o, complexity DESC, id LIMIT 40),
+GLOSSARY = """(WITH t AS (SELECT *, CASE label WHEN 'Class' THEN 0 WHEN 'Method' THEN 1 WHEN 'Function' THEN 2 ELSE 3 END AS o FROM symbols WHERE NOT is_test AND docstring IS NOT NULL),
  u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY name ORDER BY o, complexity DESC, id) = 1) SELECT name, id, complexity FROM u ORDER BY o, complexity DESC, id LIMIT 30)"""
 
 
@@ -186,7 +186,7 @@ def planner_symbols(d: Data):
     return R.planner_symbols(d("symbols"))
 
 
-@query("candidate_files", """WITH t AS (SELECT source AS module, path, 0 AS o FROM files WHERE doc_id % 4 > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY path) <= 15), u AS (SELECT '' AS module, path, 1 AS o FROM files WHERE doc_id % 4 = 0)
- SELECT module, path FROM (SELECT * FROM t UNION ALL SELECT * FROM u) x ORDER BY o, module, path LIMIT 90""")
+@query("candidate_files", """WITH t AS (SELECT source AS module, path, 0 AS o FROM files WHERE doc_id % 4 > 0), u AS (SELECT '' AS module, path, 1 AS o FROM files WHERE doc_id % 4 = 0)
+ SELECT module, path FROM (SELECT * FROM t UNION ALL SELECT * FROM u) x""")
 def candidate_files(d: Data):
     return R.candidate_files(d("files").select(F.when(F.col("doc_id") % 4 > 0, F.col("source")).alias("module"), "path"))

@@ -24,6 +24,8 @@ def local_session(cores: str = "8", app: str = "codeloom") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", cores)
+        .config("spark.codeloom.input.partitions", cores)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -41,10 +43,14 @@ def fixed_table(spark: SparkSession, columns: str, rows) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder the cluster names; a scratch folder only where none is set."""
+    """Checkpoint in the shared folder the cluster names; a scratch folder only in local mode, where none is set."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codeloom-ckpt-"))
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="codeloom-ckpt-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -69,7 +69,7 @@ def load_graph(spark: SparkSession, nodes_path: str, edges_path: str, fmt: str =
     return modern_names(spark.read.format(fmt).load(nodes_path)), spark.read.format(fmt).load(edges_path)
 
 
-def parse_commits(lines: DataFrame, value: str = "value", subject_cap: int = 120) -> DataFrame:
+def parse_commits(lines: DataFrame, value: str = "value", subject_cap: int | None = None) -> DataFrame:
     """Tab-separated log lines; blank lines and lines without hash, date or subject are dropped."""
     parts = F.split(F.trim(F.col(value)), "\t", 3)
     parsed = lines.select(
@@ -78,7 +78,7 @@ def parse_commits(lines: DataFrame, value: str = "value", subject_cap: int = 120
         F.trim(F.try_element_at(parts, F.lit(3))).alias("subject"),
     )
     kept = parsed.filter("hash <> '' AND date <> '' AND subject <> ''")
-    return kept.select("hash", F.to_date("date").alias("date"), F.substring("subject", 1, subject_cap).alias("subject"))
+    return kept.select("hash", F.to_date("date").alias("date"), (F.col("subject") if subject_cap is None else F.substring("subject", 1, subject_cap)).alias("subject"))
 
 
 def load_commits(spark: SparkSession, log_path: str) -> DataFrame:
@@ -121,19 +121,20 @@ def toml_deps(lines: DataFrame) -> DataFrame:
     return rows.select("path", "line_no", "section", pick(1).alias("name"), pick(2).alias("version")).filter("name IS NOT NULL")
 
 
-def flatten_exports(manifests: DataFrame, cap: int = 30, depth: int = 4) -> DataFrame:
-    """Leaves of the `exports` field with `/`-joined keys, at most `cap` per package in document order."""
+def flatten_exports(manifests: DataFrame, cap: int | None = None) -> DataFrame:
+    """Leaves of the `exports` field with `/`-joined keys, in document order; opens one level of objects at a time."""
     level = manifests.select("package", F.lit("").alias("key"), F.col("exports").alias("value"), F.array().cast("array<int>").alias("ord"))
-    leaves = None
-    for _ in range(depth):
-        is_object = F.col("value").startswith("{")
+    leaves, is_object = None, F.col("value").startswith("{")
+    while True:
         done = level.filter(~is_object)
         leaves = done if leaves is None else leaves.unionByName(done)
-        opened = level.filter(is_object).select(
-            "package", F.col("key").alias("up"), "ord", F.posexplode(F.from_json("value", "MAP<STRING,STRING>")).alias("pos", "k", "value"))
+        opened = level.filter(is_object)
+        if opened.isEmpty():
+            break
+        opened = opened.select("package", F.col("key").alias("up"), "ord", F.posexplode(F.from_json("value", "MAP<STRING,STRING>")).alias("pos", "k", "value"))
         level = opened.select(
             "package", F.when(F.col("up") == "", F.col("k")).otherwise(F.concat_ws("/", "up", "k")).alias("key"), "value",
             F.concat("ord", F.array("pos")).alias("ord"))
-    leaves = leaves.unionByName(level.filter(~F.col("value").startswith("{")))
-    ranked = leaves.withColumn("rn", F.row_number().over(W.partitionBy("package").orderBy("ord")))
-    return ranked.filter(F.col("rn") <= cap).select("package", F.when(F.col("key") == "", ".").otherwise(F.col("key")).alias("key"), "value")
+    if cap is not None:
+        leaves = leaves.withColumn("rn", F.row_number().over(W.partitionBy("package").orderBy("ord"))).filter(F.col("rn") <= cap)
+    return leaves.select("package", F.when(F.col("key") == "", ".").otherwise(F.col("key")).alias("key"), "value")

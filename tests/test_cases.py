@@ -83,6 +83,8 @@ def test_claim_budget(spark):
     files = spark.createDataFrame([("a.ts",)], "path STRING")
     code = spark.createDataFrame([("a.ts", 1, "missing00();"), ("a.ts", 2, "// missing01")], "path STRING, line_no INT, line STRING")
     got = J.verify_claims(M.extract_claims(lines), none, files, code).groupBy("verdict").count()
+    assert rows(got, "verdict", "count") == [("mention", 1), ("unverified", 13), ("verified", 1)]
+    got = J.verify_claims(M.extract_claims(lines), none, files, code, budget=12).groupBy("verdict").count()
     assert rows(got, "verdict", "count") == [("mention", 1), ("skipped", 3), ("unverified", 10), ("verified", 1)]
 
 
