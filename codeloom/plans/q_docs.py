@@ -128,7 +128,7 @@ def doc_sections(d: Data):
 @query("readme_prereqs", rf"""WITH r AS (SELECT page, line_no, line, nullif(trim(regexp_extract(line, '^#{{1,4}}\s+(.+)$', 1)), '') AS title FROM md_lines),
  s AS (SELECT *, count(title) OVER (PARTITION BY page ORDER BY line_no) AS sec FROM r),
  b AS (SELECT page, sec, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '^\s+|\s+$', '', 'g') AS body FROM s WHERE title IS NULL AND sec > 0 GROUP BY 1, 2)
- SELECT s.page, s.title, substr(array_to_string(string_split(b.body, chr(10))[1:8], chr(10)), 1, 240) AS text FROM s JOIN b ON s.page = b.page AND s.sec = b.sec WHERE s.title IS NOT NULL AND regexp_matches(s.title, {D.rx(vocab.PREREQ_HEADING)}) AND b.body <> ''""")
+ SELECT s.page, s.title, b.body AS text FROM s JOIN b ON s.page = b.page AND s.sec = b.sec WHERE s.title IS NOT NULL AND regexp_matches(s.title, {D.rx(vocab.PREREQ_HEADING)}) AND b.body <> ''""")
 def readme_prereqs(d: Data):
     return V.readme_prereqs(d("md_lines"))
 

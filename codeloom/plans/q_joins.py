@@ -184,7 +184,7 @@ def test_targets(d: Data):
     return J.test_targets(d("files"))
 
 
-@query("docs_mentions", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(line, '([A-Za-z0-9_@./-]*[A-Za-z0-9_])', 1)) AS token FROM md_lines WHERE page LIKE '%3')
+@query("docs_mentions", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(line, '([A-Za-z0-9_@./-]*[A-Za-z0-9_])', 1)) AS token FROM md_lines)
  SELECT path FROM files WHERE NOT {D.is_test('path')} AND (path IN (SELECT token FROM w) OR {D.basename('path')} IN (SELECT token FROM w))""")
 def docs_mentions(d: Data):
     return J.docs_mentions(d("files"), d("md_lines"))
