@@ -37,6 +37,7 @@ LITERAL, NUMBER, UNIT, CAPITAL = 0, 1, 2, 3
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur gbp mph kmh percent degrees".split()
 
+_SLOT_WORDS = {w: UNIT for w in UNITS} | {w: NUMBER for w in NUMBER_WORDS}
 _TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+")
 _END = re.compile(r"[.!?:]\W*$")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -51,39 +52,58 @@ class Vocabulary(dict):
 
     def _reset(self) -> None:
         self.clear()
-        self.ids: dict[tuple, int] = {}
+        self.ids: dict[str, int] = {}
         self.text: list[str] = []
         self.kind: list[int] = []
         self.hash: list[int] = []
         self.ends: list[bool] = []
+        self.filled = 0
+        self.arrays = np.zeros(1024, np.int8), np.zeros(1024, np.uint64), np.zeros(1024, bool)
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        words, end = _TOKEN.findall(chunk), _END.search(chunk) is not None
-        out = tuple(self._id(w, end and i == len(words) - 1) for i, w in enumerate(words))
+        if chunk.isalpha():
+            out = (self._id(chunk, False),)
+        else:
+            words, end = _TOKEN.findall(chunk), _END.search(chunk) is not None
+            out = tuple([self._id(w, end and i == len(words) - 1) for i, w in enumerate(words)])
         self[chunk] = out
         return out
 
     def _id(self, word: str, end: bool) -> int:
-        if (word, end) not in self.ids:
+        key = word + "." if end else word
+        at = self.ids.get(key)
+        if at is None:
             low = word.lower()
-            digits = word[0].isdigit() or low in NUMBER_WORDS
-            kind = NUMBER if digits else UNIT if low in UNITS else CAPITAL if word[0].isupper() and word[1:].islower() else LITERAL
-            self.ids[word, end] = len(self.text)
+            if low in _SLOT_WORDS:
+                kind = _SLOT_WORDS[low]
+            elif word[0].isdigit():
+                kind = NUMBER
+            else:
+                kind = CAPITAL if word != low and word[0].isupper() and word[1:].islower() else LITERAL
+            at = self.ids[key] = len(self.text)
             self.text.append(low)
             self.kind.append(kind)
             self.hash.append(xxhash.xxh64_intdigest(low))
             self.ends.append(end)
-        return self.ids[word, end]
+        return at
+
+    def _fill(self) -> None:
+        """Brings the arrays up to the words seen so far."""
+        n = len(self.text)
+        if n > len(self.arrays[0]):
+            self.arrays = tuple(np.concatenate((a, np.zeros(max(n, len(a)), a.dtype))) for a in self.arrays)
+        for array, values in zip(self.arrays, (self.kind, self.hash, self.ends)):
+            array[self.filled:n] = values[self.filled:]
+        self.filled = n
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, kinds, hashes) of the words; slots of one kind share a hash."""
         if len(self.text) > 500_000:
             self._reset()
         ids = np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64)
-        if self.__dict__.get("_known") != len(self.text):
-            self._arrays = np.array(self.kind, np.int8), np.array(self.hash, np.uint64), np.array(self.ends, bool)
-            self._known = len(self.text)
-        kinds, hashes, ends = (a[ids] for a in self._arrays)
+        if self.filled < len(self.text):
+            self._fill()
+        kinds, hashes, ends = (a[ids] for a in self.arrays)
         first = np.concatenate(([True], ends[:-1]))[: len(ids)]
         kinds[(kinds == CAPITAL) & first] = LITERAL
         hashes[kinds != LITERAL] = kinds[kinds != LITERAL]

@@ -71,7 +71,8 @@ def default_rules() -> list[Rule]:
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """(pattern, action, literals, rule): a rule table such as `url_filter` takes, from a short list."""
-    table = fixed_table(spark, "pattern, action, literals, rule", [(r.pattern, r.action, " ".join(r.literals), r.rule) for r in rules])
+    rows = [(r.pattern, r.action, " ".join(r.literals), r.rule) for r in rules] or [("", "", "", "")]
+    table = fixed_table(spark, "pattern, action, literals, rule", rows).filter("pattern <> ''")
     return table.withColumn("literals", F.filter(F.split("literals", " "), lambda t: t != ""))
 
 
