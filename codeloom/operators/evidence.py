@@ -56,21 +56,26 @@ def comment_evidence(lines: DataFrame, symbol_cap: int | None = None, marker_cap
     rows = code.withColumn("c", body).withColumn("c1", prev[0]).withColumn("c2", prev[1]).withColumn("c3", prev[2])
     defined = by_domain(F.col("path"), {d: F.regexp_extract("line", p, 1) for d, p in P.TOPLEVEL.items()})
     above = F.when(F.col("c2").isNull(), F.col("c1")).when(F.col("c3").isNull(), F.concat_ws(" ", "c2", "c1")).otherwise(F.concat_ws(" ", "c3", "c2", "c1"))
-    symbols = rows.filter("c1 IS NOT NULL").withColumn("symbol", defined).filter("symbol <> ''").withColumn("text", _clean(above))
-    symbols = capped(symbols.filter(F.length("text") >= 8), ["path"], [F.col("line_no")], symbol_cap)
-    out = file_headers(code).unionByName(_evidence(symbols, "symbol-comment", F.col("text"), F.col("symbol")))
-
     mark = F.regexp_extract("c", P.WHY_MARKER, 1)
     said = F.concat(mark, F.lit(": "), F.regexp_extract("c", P.WHY_MARKER, 2))
-    markers = rows.filter("c IS NOT NULL").withColumn("m", mark).filter("m <> ''").withColumn("text", _clean(said))
-    markers = capped(markers.filter(F.length("text") >= 6), ["path"], [F.col("line_no")], marker_cap)
-    out = out.unionByName(_evidence(markers, "why-marker", F.col("text")))
-
     native = by_domain(F.col("path"), {d: F.regexp_extract("line", p, 1) for d, p in P.NATIVE_CONSTANT.items()})
     const = F.coalesce(native, F.regexp_extract("line", P.COMMENTED_CONSTANT, 1))
     inline = F.nullif(F.regexp_extract("line", r"(?://|#)\s*(.+)$", 1), F.lit(""))
-    constants = rows.withColumn("symbol", const).filter("symbol <> ''").withColumn("text", _clean(F.coalesce(inline, F.nullif("c1", F.lit("")))))
-    return out.unionByName(_evidence(constants.filter(F.length("text") >= 4), "const-comment", F.col("text"), F.col("symbol")))
+
+    def found(kind: str, when: Column, symbol: Column, raw: Column, least: int) -> Column:
+        text = _clean(raw)
+        return F.struct(F.lit(kind).alias("kind"), symbol.alias("symbol"), F.when(when & (F.length(text) >= least), text).alias("text"))
+
+    # one pass: every line gives its kinds as an array
+    each = rows.select("path", "line_no", F.inline(F.array(
+        found("symbol-comment", F.col("c1").isNotNull() & (defined != ""), defined, above, 8),
+        found("why-marker", F.col("c").isNotNull() & (mark != ""), F.lit(None).cast("string"), said, 6),
+        found("const-comment", const != "", const, F.coalesce(inline, F.nullif("c1", F.lit(""))), 4)))).filter("text IS NOT NULL")
+    for kind, cap in (("symbol-comment", symbol_cap), ("why-marker", marker_cap)):
+        if cap is not None:
+            each = each.filter(F.col("kind") != kind).unionByName(capped(each.filter(F.col("kind") == kind), ["path"], [F.col("line_no")], cap))
+    placed = each.select("kind", F.col("path").alias("file"), "line_no", "symbol", "text", F.concat_ws(":", "path", "line_no").alias("anchor"))
+    return file_headers(code).unionByName(placed)
 
 
 def doc_sections(lines: DataFrame, key: str = "page", caps: tuple[int, int] | None = None) -> DataFrame:

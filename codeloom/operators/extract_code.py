@@ -149,18 +149,18 @@ def io_event_census(lines: DataFrame, bodies: DataFrame | None = None) -> DataFr
         found = F.arrays_zip(F.regexp_extract_all(F.col("line"), F.lit(whole), F.lit(1)).alias("e"), F.regexp_extract_all(F.col("line"), F.lit(whole), F.lit(2)).alias("m"))
         return F.transform(found, lambda x: F.struct(F.lit("env").alias("kind"), F.lit("input").alias("direction"), x["e"].alias("expression"), F.concat(F.lit("process.env."), x["m"]).alias("medium")))
 
-    domain = F.coalesce(X.language_domain(F.col("path")), F.lit("ts"))
-    out = None
+    # one pass: the rules of a line's domain are chosen in the row
+    domain, chosen = F.coalesce(X.language_domain(F.col("path")), F.lit("ts")), None
     for name, rules in P.IO_RULES.items():
         quick = "|".join([r[0] for r in rules] + [e for e in [P.IO_ENV.get(name)] if e] + [c[0] for c in [P.IO_CONFIG.get(name)] if c])
-        some = lines.filter((domain == name) & F.col("line").rlike(quick))
         found = [calls(pattern, "", kind, direction) for pattern, kind, direction in rules]
         if name in P.IO_CONFIG:
             found.insert(0, calls(*P.IO_CONFIG[name], "config", "input"))
         if name in P.IO_ENV:
             found.append(reads(P.IO_ENV[name]))
-        rows = some.select("path", "line_no", F.inline(F.flatten(F.array(*found))))
-        out = rows if out is None else out.unionByName(rows)
+        here, hits = (domain == name) & F.col("line").rlike(quick), F.flatten(F.array(*found))
+        chosen = F.when(here, hits) if chosen is None else chosen.when(here, hits)
+    out = lines.select("path", "line_no", F.inline(chosen))
     shown = out.withColumn("expression", _cut(F.col("expression"))).withColumn("medium", _cut(F.col("medium")))
     return shown if bodies is None else lines_within(bodies, shown)
 
