@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codeloom.operators.classify import top_per_group
@@ -33,7 +35,7 @@ def jaccard_sets(sets: DataFrame, threshold: float, strict: bool = False, matche
     share k elements (or as many as they must share, when that is less) among the first
     |x| - ceil(2t / (1 + t) * |x|) + k of the smaller and the first |y| - ceil(t * |y|) + k of
     the larger, where k grows with the size of a set up to `matches`.  Only those are joined, so frequent elements
-    hardly ever meet; what is left is then counted exactly.
+    hardly ever meet; what is left is then counted exactly.  The join also asks for sizes of one band.
     """
     sets = cut_lineage(sets)
     freq = sets.groupBy("element").agg(F.count("*").alias("df"))
@@ -42,12 +44,15 @@ def jaccard_sets(sets: DataFrame, threshold: float, strict: bool = False, matche
     def first(share: float, name: str, size: str) -> DataFrame:
         kept = placed.filter(F.col("pos") <= F.col("size") - F.ceil(share * F.col("size") - 1e-9) + k("size"))
         return kept.select(F.col("set_id").alias(name), "element", F.col("size").alias(size))
-    small = first(2 * threshold / (1 + threshold), "a", "na")
-    large = first(threshold, "b", "nb")
+    # sizes that differ by no more than the threshold allows lie in the same or in neighbouring bands
+    base = math.log(1 / threshold) if 0 < threshold < 1 else None
+    band = lambda size: F.floor(F.log(F.col(size)) / base + 1e-9).cast("int") if base else F.lit(0)
+    small = first(2 * threshold / (1 + threshold), "a", "na").withColumn("band", band("na"))
+    large = first(threshold, "b", "nb").withColumn("band", F.explode(F.array(band("nb"), band("nb") - 1) if base else F.array(F.lit(0))))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     close = F.col("na") >= threshold * F.col("nb") - 1e-9
     needed = F.least(k("na"), F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9))
-    candidates = small.join(large, "element").filter(ordered & close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(F.col("met") >= needed).drop("met")
+    candidates = small.join(large, ["element", "band"]).filter(ordered & close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(F.col("met") >= needed).drop("met")
     mine = candidates.join(sets.select(F.col("set_id").alias("a"), "element"), "a")
     shared = mine.join(sets.select(F.col("set_id").alias("b"), "element"), ["b", "element"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     score = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
