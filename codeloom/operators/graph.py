@@ -237,6 +237,21 @@ def select_topics(candidates: DataFrame, cluster_files: DataFrame, n: int = 4, o
     return candidates.join(F.broadcast(picked), "id").select("place", "id", "weight")
 
 
+def boundary_topic(boundaries: DataFrame, files: DataFrame, shells: DataFrame, least_files: int = 3) -> DataFrame:
+    """The topic that stands in where no cluster qualifies: production files of both ends of the busiest module boundary.
+
+    None if these are fewer than `least_files` or nothing but shells. `files` have path and module.
+    """
+    top = boundaries.filter("call_count > 0").orderBy(F.col("call_count").desc(), "from_module", "to_module").limit(1)
+    ends = top.select(
+        F.concat_ws("-", F.lit("topic"), "from_module", "to_module").alias("id"), F.concat("from_module", F.lit(" ↔ "), "to_module", F.lit(" 协作")).alias("title"),
+        F.explode(F.array_distinct(F.array("from_module", "to_module"))).alias("module"))
+    members = files.filter(~X.is_test_path(F.col("path"))).select(F.col("path").alias("file"), "module").join(ends, "module")
+    marked = members.join(shells.select(F.col("path").alias("file"), F.lit(True).alias("shell")), "file", "left")
+    fit = marked.groupBy("id").agg(F.count("*").alias("n"), F.bool_or(F.col("shell").isNull()).alias("solid")).filter((F.col("n") >= least_files) & F.col("solid"))
+    return members.join(fit.select("id"), "id", "left_semi").select("id", "title", "file")
+
+
 def name_topics(topics: DataFrame, cluster_files: DataFrame, labels: DataFrame, top_nodes: DataFrame, source_dirs: DataFrame) -> DataFrame:
     """Title and slug of every topic: own label, else two type names, else directory tokens, else module pair.
 

@@ -242,11 +242,28 @@ def topic_candidates(d: Data):
     return candidates(d)
 
 
-@query("select_topics")
+def _greedy() -> str:
+    """Four unrolled rounds: the heaviest candidate that no topic before it overlaps."""
+    rounds = []
+    for k in range(1, 5):
+        taken = " ".join(f"AND id NOT IN (SELECT b FROM o JOIN p{j} ON o.a = p{j}.id)" for j in range(1, k))
+        rounds.append(f"p{k} AS MATERIALIZED (SELECT {k} AS place, id, weight FROM c WHERE true {taken} ORDER BY weight DESC, id LIMIT 1)")
+    return f"""WITH c AS MATERIALIZED (SELECT * FROM {CANDIDATES} x), f AS MATERIALIZED (SELECT DISTINCT id, file FROM {CLUSTER_FILES} y WHERE id IN (SELECT id FROM c)), n AS (SELECT id, count(*) AS n FROM f GROUP BY 1),
+ o AS MATERIALIZED (SELECT s.a, s.b FROM (SELECT l.id AS a, r.id AS b, count(*) AS k FROM f l JOIN f r ON l.file = r.file GROUP BY 1, 2) s JOIN n x ON x.id = s.a JOIN n z ON z.id = s.b WHERE k / (x.n + z.n - k) > 0.5), {', '.join(rounds)}
+ SELECT place, id, weight FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) t"""
+
+
+@query("select_topics", _greedy())
 def select_topics(d: Data):
     return G.select_topics(candidates(d), cluster_files(d))
 
 
+@query("boundary_topic", f"""WITH b AS (SELECT from_module, to_module FROM {BOUNDARIES} x WHERE call_count > 0 ORDER BY call_count DESC, from_module, to_module LIMIT 1)
+ SELECT 'topic-' || from_module || '-' || to_module AS id, from_module || ' ↔ ' || to_module || ' 协作' AS title, path AS file FROM b JOIN files f ON f.module IN (from_module, to_module) WHERE NOT {D.is_test('path')}""")
+def boundary_topic(d: Data):
+    return G.boundary_topic(A.module_boundaries(calls(d)), d("files"), E.reexport_shells(d("code_lines")))
+
+
 @query("name_topics")
 def name_topics(d: Data):
     ranked = candidates(d).orderBy(F.col("weight").desc(), "id").limit(12)

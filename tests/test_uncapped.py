@@ -98,3 +98,13 @@ def test_process_and_file_rules_of_other_languages(spark):
     assert kinds("a.swift", "let s = try String(contentsOfFile: p)") == {"fs-read"}
     assert kinds("a.swift", "let s = Data(contentsOf: url)") == {"fs-read"}
     assert kinds("a.swift", "let s = Data(contentsOfFile: p)") == set()
+
+
+def test_boundary_topic(spark):
+    edges = spark.createDataFrame([("services", "core", 5), ("core", "web", 2)], "from_module STRING, to_module STRING, call_count INT")
+    files = lambda *ps: spark.createDataFrame([(p, p.split("/")[1]) for p in ps], "path STRING, module STRING")
+    shells = lambda *ps: spark.createDataFrame([(p,) for p in ps], "path STRING")
+    three = ("src/services/a.ts", "src/services/b.ts", "src/core/c.ts")
+    assert rows(H.boundary_topic(edges, files(*three, "src/core/c.test.ts", "src/web/d.ts"), shells()), "id", "file") == [("topic-services-core", p) for p in sorted(three)]
+    assert H.boundary_topic(edges, files(*three), shells(*three)).count() == 0
+    assert H.boundary_topic(edges, files(*three[:2]), shells()).count() == 0
