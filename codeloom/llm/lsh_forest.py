@@ -6,9 +6,9 @@ so the depth adapts to how crowded the region is; at every depth its members are
 common prefix that leads the region. Two sets of similarity 0.8 miss each other in all 20 orders with probability
 6e-7. All links are confirmed on the full sets.
 
-Comparing goes by rounds, since only reachability counts: first each set with the leader it meets most often, then what
-still joins different components: other leaders, all pairs within regions of at most REGION members, and further
-leaders of crowded regions. Members that one component has swallowed are not compared again, so a crowd of thousands of
+Comparing goes by two rounds, since only reachability counts: first each set with the leader it meets most often, then
+what still joins different components: the other leaders, further leaders chosen by hash, and all pairs within regions
+of at most REGION members. Members that one component has swallowed are not compared again, so a crowd of thousands of
 near copies costs one comparison a member.
 """
 
@@ -28,7 +28,7 @@ from codeloom.llm.exact_dedup import drop_keys, key_filter, maybe_repeated, with
 
 TREES, FIRST, DEPTH = 20, 3, 6
 REGION = 40
-#: Rounds in which crowded regions choose another leader.
+#: Further leaders of each region in the second round.
 TURNS = 2
 SALT_ROWS = 256
 
@@ -116,30 +116,32 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", F.col("text").cast("binary").alias("text")).mapInPandas(build, "id long, shingles array<long>")
 
 
-def _keys(sets: DataFrame, depth: int, trees=None) -> DataFrame:
-    """(key, id, n, tree): one row for each set and order; the key hashes the order and its first `depth` values."""
-    if trees is None:
-        trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = sets.select("id", "n", "sig", trees.alias("tree"))
-    return rows.select(F.xxhash64(F.col("tree"), F.lit(depth), F.slice("sig", F.col("tree") * DEPTH + 1, F.lit(depth))).alias("key"), "id", "n", "tree")
+def _keys(sets: DataFrame, trees, depths) -> DataFrame:
+    """(key, id, n, tree): the key hashes an order and the first values of the set in it, as many as the depth says."""
+    rows = sets.select("id", "n", "sig", trees.alias("tree")).withColumn("depth", depths)
+    return rows.select(F.xxhash64("tree", "depth", F.slice("sig", F.col("tree") * DEPTH + 1, F.col("depth"))).alias("key"), "id", "n", "tree")
+
+
+def _shared(rows: DataFrame, total: int) -> DataFrame:
+    """rows whose key several have, with the number of members and the leader, the member of smallest id.
+
+    Only rows that pass the filter of shared keys are shuffled a second time.
+    """
+    shared = rows.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("leader")).filter("members > 1")
+    shared = saved(shared, "regions")
+    bits, blocks = key_filter(shared.select("key"), "key", shared.count())
+    some = maybe_repeated(rows, "key", saved(bits, "region-filter"), blocks).filter("_maybe").drop("_maybe")
+    return saved(attach(some, shared, "key", "members", total * TREES, "inner"), "members")
 
 
 def regions(sets: DataFrame, total: int) -> DataFrame:
-    """(key, id, n, members, leader): the regions of two or more sets, at every depth that was opened."""
-    levels, rows, depth = [], _keys(sets, FIRST), FIRST
-    while True:
-        shared = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("leader")).filter("members > 1")
-        level = saved(attach(rows, saved(shared, "regions"), "key", "members", total * TREES, "inner"), "members")
-        levels.append(level.drop("tree"))
-        crowded = level.filter(F.col("members") > REGION).select("id", F.col("tree").alias("_tree"))
-        if depth == DEPTH or crowded.isEmpty():
-            break
-        depth += 1
-        rows = _keys(sets.join(crowded, "id"), depth, F.col("_tree"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    """(key, id, n, members, leader): the regions of two or more sets; crowded ones are also cut at all greater depths."""
+    first = _shared(_keys(sets, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))), F.lit(FIRST)), total)
+    crowded = first.filter(F.col("members") > REGION).select("id", F.col("tree").alias("_tree"))
+    if FIRST == DEPTH or crowded.isEmpty():
+        return first.drop("tree")
+    deeper = F.explode(F.sequence(F.lit(FIRST + 1), F.lit(DEPTH)))
+    return first.unionByName(_shared(_keys(sets.join(crowded, "id"), F.col("_tree"), deeper), total)).drop("tree")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,69 +152,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     fan = saved(pairs.groupBy("a").count().withColumn("_salts", F.ceil(F.col("count") / SALT_ROWS)), "fan")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_a")).join(fan, "a")
     left = left.select("a", "_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt"))
-    salted = attach(pairs.select("a", "b"), fan, "a", "count", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("_salts")).alias("_salt"))
+    salted = attach(pairs, fan, "a", "count", pairs.count(), "inner").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_salts")).alias("_salt"))
     both = salted.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("_b")), "b").join(left, ["a", "_salt"])
     common = F.size(F.array_intersect("_a", "_b"))
-    return both.filter(100 * common >= percent * (F.size("_a") + F.size("_b") - common)).select("a", "b").distinct()
-
+    return both.filter(100 * common >= percent * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
-def _other_leaders(members: DataFrame, turn: int) -> DataFrame:
-    """Members of crowded regions with another leader, chosen by a hash of the turn."""
-    chosen = members.groupBy("key").agg(F.max_by("id", F.xxhash64("id", F.lit(turn))).alias("a"), F.max("members").alias("members"))
-    chosen = saved(chosen.filter(F.col("members") > REGION), "leaders")
-    rows = attach(members.select("key", "n", F.col("id").alias("b")), chosen, "key", "members", members.count(), "inner")
-    return rows.select("a", "b")
 
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components (column label) within regions that still hold several.
 
-def _pairs_in_regions(members: DataFrame) -> DataFrame:
-    """All pairs within small regions that still hold several components."""
-    small = members.filter(F.col("members") <= REGION)
-    open_ = small.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    rows = saved(small.join(open_, "key", "left_semi").select("key", "id", "label", "n"), "open-regions")
-    other = rows.select("key", F.col("id").alias("b"), F.col("label").alias("_lb"), F.col("n").alias("_nb"))
-    pairs = rows.withColumnRenamed("id", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("_lb")))
-    return pairs.select("a", "b").distinct()
-
-
-def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) that join all similar members, and their components (id, component)."""
-    spark = docs.sparkSession
+    Every member is paired with the leader of its region and with TURNS others, chosen by a hash of member and region,
+    so that a member of many crowded regions meets many. Members of a region of at most REGION are all paired, and so
+    are the members outside the leader's component, if they are that few.
+    """
+    one = F.struct("id", "n", "label")
+    heads = [F.min(one)] + [F.max_by(one, F.xxhash64("id", "key", F.lit(turn))) for turn in range(TURNS)]
+    open_ = members.groupBy("key").agg(F.array(*heads).alias("heads"), F.max("members").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+    rows = saved(attach(members.drop("members", "leader"), saved(open_.select("key", "heads", "size"), "open-regions"), "key", "size", members.count(), "inner"), "open-members")
+    led = rows.select("n", "label", F.col("id").alias("b"), F.explode("heads").alias("h")).select("n", "label", "b", F.col("h.id").alias("a"), F.col("h.n").alias("_n"), F.col("h.label").alias("_label"))
+    rest = rows.filter((F.col("size") > REGION) & (F.col("label") != F.col("heads")[0]["label"]))
+    few = rest.groupBy("key").agg(F.count("*").alias("_few")).filter((F.col("_few") > 1) & (F.col("_few") <= REGION)).select("key")
+    near = saved(rows.filter(F.col("size") <= REGION).unionByName(rest.join(few, "key", "left_semi")).select("key", "id", "n", "label"), "small-regions")
+    other = near.select("key", F.col("id").alias("b"), F.col("n").alias("_n"), F.col("label").alias("_label"))
+    every = near.select("key", "n", "label", F.col("id").alias("a")).join(other, "key").filter("a < b").drop("key")
+    fits = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
+    both = led.unionByName(every).filter(fits & (F.col("label") != F.col("_label")))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, component) of all members that confirmed links join."""
     ids = saved(members.select("id").distinct(), "candidates")
     bits, blocks = key_filter(ids, "id", ids.count())
     wanted = maybe_repeated(docs, "id", saved(bits, "candidate-filter"), blocks).filter("_maybe").drop("_maybe").join(ids, "id", "left_semi")
     sets = saved(shingle_sets(wanted, width), "shingle-sets")
-    sizes = saved(sets.select("id", F.size("shingles").alias("_n")).distinct(), "set-sizes")
-    proven = saved(spark.createDataFrame([], "a long, b long"), "links")
-    tried, joined = proven, spark.createDataFrame([], "id long, component long")
-
-    def labelled(rows: DataFrame, col: str, label: str) -> DataFrame:
-        of = joined.select(F.col("id").alias(col), F.col("component").alias(label))
-        return rows.join(of, col, "left").withColumn(label, F.coalesce(label, col))
-
-    def fits(pairs: DataFrame) -> DataFrame:
-        """Without pairs whose sizes differ too much, or that one component holds already."""
-        pairs = labelled(labelled(pairs.filter("a <> b").distinct(), "a", "_la"), "b", "_lb").filter("_la <> _lb").select("a", "b")
-        n = lambda c: sizes.select(F.col("id").alias(c), F.col("_n").alias(f"_n{c}"))
-        sized = pairs.join(n("a"), "a").join(n("b"), "b")
-        return sized.filter(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b").distinct()
-
-    stars = members.filter("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).count()
-    rounds = [
-        lambda: stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"),
-        lambda: stars.select("a", "b"),
-        lambda: _pairs_in_regions(saved(labelled(members, "id", "label"), "labelled")),
-        *[lambda turn=turn: _other_leaders(members, turn) for turn in range(TURNS)],
-    ]
-    for pairs in rounds:
-        new = saved(fits(pairs()).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            continue
-        tried = tried.unionByName(new)
-        found = saved(confirmed(new, sets, percent), "links")
-        if not found.isEmpty():
-            proven = proven.unionByName(found)
-            joined = components(proven)
-    return proven, joined
+
+    fits = 100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n")
+    led = members.filter(F.col("id") != F.col("leader.id")).filter(fits)
+    first = saved(led.groupBy(F.col("id").alias("b")).agg(F.mode("leader.id", True).alias("a")), "pairs")
+    joined = components(confirmed(first, sets, percent))
+
+    label = F.coalesce("component", "id").alias("label")
+    labelled = saved(members.join(joined, "id", "left").select("key", "id", "n", "members", "leader", label), "labelled")
+    second = saved(_across(labelled, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    if second.isEmpty():
+        return joined
+    # the new links join whole components
+    of = labelled.select("id", "label").distinct()
+    found = confirmed(second, sets, percent).join(of.select(F.col("id").alias("a"), F.col("label").alias("_a")), "a").join(of.select(F.col("id").alias("b"), F.col("label").alias("_b")), "b")
+    merged = components(found.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("id").alias("label"), F.col("component").alias("merged"))
+    return of.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,7 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     keys = saved(keyed.select("_key", "_minus"), "set-keys")
     grouped = with_groups(keyed, keys, "_key", "_minus", total).withColumn("rep", F.when(F.col("n") > 0, -F.col("_best")).otherwise(F.col("id")))
     sets = grouped.filter("n > 0 AND id = rep").select("id", "n", "sig")
-    _, joined = links(rows, regions(sets, total), width, percent)
+    joined = links(rows, regions(sets, total), width, percent)
     nodes = saved(grouped.select("id", "n", "rep", "_size"), "nodes")
     weight = nodes.filter("id = rep").select("rep", "_size").distinct()
     facts = saved(weight.join(joined.withColumnRenamed("id", "rep"), "rep"), "components")
