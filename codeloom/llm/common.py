@@ -73,9 +73,12 @@ def ascii_lower(text: Column) -> Column:
 def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
     """Left (or inner) join of facts (one row for each key; weight: rows it stands for) to rows.
 
-    Keys with more than a thousandth of all rows, at most HOT_SHARE of them, are broadcast, so that their rows stay
-    where they are; the other rows meet their facts by a shuffle. Facts must be cheap to read twice.
+    Keys with more than a thousandth of all rows, at most HOT_SHARE of them, are named in the plan: their facts are
+    broadcast, so that their rows stay where they are. The other rows meet their facts by a shuffle. Facts must be cheap
+    to read again.
     """
-    hot = F.broadcast(facts.filter(F.col(weight) * HOT_SHARE > F.lit(total)))
-    cold = facts.filter(F.col(weight) * HOT_SHARE <= F.lit(total))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))
+    hot = [r[0] for r in facts.filter(F.col(weight) * HOT_SHARE > F.lit(total)).select(key).collect()]  # HOT_SHARE at most
+    if not hot:
+        return rows.join(facts, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.filter(is_hot).join(F.broadcast(facts.filter(is_hot)), key).unionByName(rows.filter(~is_hot).join(facts.filter(~is_hot), key, how))

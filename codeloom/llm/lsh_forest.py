@@ -3,8 +3,8 @@
 Every distinct shingle set gets TREES signature orders of DEPTH values. In each order, sets that agree on the first
 FIRST values are neighbours. A region of more than REGION sets is not paired: it is opened one value deeper, and again,
 so the depth adapts to how crowded the region is; at every depth its members are compared with the member of longest
-common prefix that leads the region. Two sets of similarity 0.8 miss each other in all 20 orders with probability
-6e-7. All links are confirmed on the full sets.
+common prefix that leads the region. Two sets of similarity 0.8 miss each other in all 24 orders with probability
+3e-6. All links are confirmed on the full sets.
 
 Comparing goes by two rounds, since only reachability counts: first each set with the leader it meets most often, then
 what still joins different components: the other leaders, further leaders chosen by hash, and all pairs within regions
@@ -26,7 +26,7 @@ from codeloom.llm.common import attach, saved
 from codeloom.llm.components import components
 from codeloom.llm.exact_dedup import drop_keys, key_filter, maybe_repeated, with_groups
 
-TREES, FIRST, DEPTH = 20, 3, 6
+TREES, FIRST, DEPTH = 24, 4, 6
 REGION = 40
 #: Further leaders of each region in the second round.
 TURNS = 2
