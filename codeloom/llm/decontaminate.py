@@ -31,6 +31,9 @@ BLOCKS, BLOCK_BITS = 256, 32_768
 #: Up to this many benchmark windows the join is a broadcast; beyond it the planner decides.
 BROADCAST_WINDOWS = 200_000
 
+#: Words that a task remembers; then it starts anew, so that its memory does not grow with the corpus.
+KNOWN_WORDS = 100_000
+
 LITERAL, NUMBER, UNIT, CAPITAL = 0, 1, 2, 3
 
 #: Words that stand for numbers and units.
@@ -98,7 +101,7 @@ class Vocabulary(dict):
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, kinds, hashes) of the words; slots of one kind share a hash."""
-        if len(self.text) > 500_000:
+        if len(self.text) > KNOWN_WORDS:
             self._reset()
         ids = np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64)
         if self.filled < len(self.text):

@@ -224,7 +224,7 @@ class _WordIds(dict):
         self.known = known
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
             self.update(self.known)
         self[word] = -1

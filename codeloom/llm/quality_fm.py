@@ -36,7 +36,7 @@ class _Bins(dict):
     """Hash bins of words; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh32_intdigest(word) % WORD_BINS
         return value
