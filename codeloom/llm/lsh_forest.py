@@ -42,7 +42,7 @@ class _WordHashes(dict):
     """Hashes of the words seen so far; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -144,16 +144,23 @@ def regions(sets: DataFrame, total: int) -> DataFrame:
     return first.unionByName(_shared(_keys(sets.join(crowded, "id"), F.col("_tree"), deeper), total)).drop("tree")
 
 
+def _some(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of ids (and a few others): what passes the filter of these ids, without a shuffle."""
+    bits, blocks = key_filter(ids, "id", ids.count())
+    return maybe_repeated(sets, "id", saved(bits, "id-filter"), blocks).filter("_maybe").drop("_maybe")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of at least `percent` similarity on the full sets.
+    """The pairs (a, b) of at least `percent` similarity on the full sets; pairs must be cheap to read again.
 
     A set that stands in many pairs as `a` is copied once for each SALT_ROWS of them.
     """
     fan = saved(pairs.groupBy("a").count().withColumn("_salts", F.ceil(F.col("count") / SALT_ROWS)), "fan")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_a")).join(fan, "a")
+    left = _some(sets, fan.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("shingles").alias("_a")).join(fan, "a")
     left = left.select("a", "_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt"))
     salted = attach(pairs, fan, "a", "count", pairs.count(), "inner").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_salts")).alias("_salt"))
-    both = salted.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("_b")), "b").join(left, ["a", "_salt"])
+    right = _some(sets, saved(pairs.select(F.col("b").alias("id")).distinct(), "partners")).select(F.col("id").alias("b"), F.col("shingles").alias("_b"))
+    both = salted.join(right, "b").join(left, ["a", "_salt"])
     common = F.size(F.array_intersect("_a", "_b"))
     return both.filter(100 * common >= percent * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
@@ -183,9 +190,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, component) of all members that confirmed links join."""
     ids = saved(members.select("id").distinct(), "candidates")
-    bits, blocks = key_filter(ids, "id", ids.count())
-    wanted = maybe_repeated(docs, "id", saved(bits, "candidate-filter"), blocks).filter("_maybe").drop("_maybe").join(ids, "id", "left_semi")
-    sets = saved(shingle_sets(wanted, width), "shingle-sets")
+    sets = saved(shingle_sets(_some(docs, ids), width), "shingle-sets")
 
     fits = 100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n")
     led = members.filter(F.col("id") != F.col("leader.id")).filter(fits)
