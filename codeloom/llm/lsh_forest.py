@@ -10,6 +10,11 @@ Comparing goes by two rounds, since only reachability counts: first each set wit
 what still joins different components: the other leaders, further leaders chosen by hash, and all pairs within regions
 of at most REGION members. Members that one component has swallowed are not compared again, so a crowd of thousands of
 near copies costs one comparison a member.
+
+Crowded regions that still hold several components then go an exact way, a prefix-filter join on shingles. Two sets that
+are linked share a shingle among the rarest of each; sets that have such a shingle in common and lie in different
+components are compared, in two rounds again: with the member whose shingles are most common among the crowd, which is
+the hub if there is one, and then all that still lie in different components.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ REGION = 40
 #: Further leaders of each region in the second round.
 TURNS = 2
 SALT_ROWS = 256
+#: Counters by which shingles of crowds are ordered; shingles that share a counter only make the order less apt.
+COUNTERS = 2**20
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
@@ -169,17 +176,14 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components (column label) within regions that still hold several.
 
     Every member is paired with the leader of its region and with TURNS others, chosen by a hash of member and region,
-    so that a member of many crowded regions meets many. Members of a region of at most REGION are all paired, and so
-    are the members outside the leader's component, if they are that few.
+    so that a member of many crowded regions meets many. Members of a region of at most REGION are all paired.
     """
     one = F.struct("id", "n", "label")
     heads = [F.min(one)] + [F.max_by(one, F.xxhash64("id", "key", F.lit(turn))) for turn in range(TURNS)]
     open_ = members.groupBy("key").agg(F.array(*heads).alias("heads"), F.max("members").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
     rows = saved(attach(members.drop("members", "leader"), saved(open_.select("key", "heads", "size"), "open-regions"), "key", "size", members.count(), "inner"), "open-members")
     led = rows.select("n", "label", F.col("id").alias("b"), F.explode("heads").alias("h")).select("n", "label", "b", F.col("h.id").alias("a"), F.col("h.n").alias("_n"), F.col("h.label").alias("_label"))
-    rest = rows.filter((F.col("size") > REGION) & (F.col("label") != F.col("heads")[0]["label"]))
-    few = rest.groupBy("key").agg(F.count("*").alias("_few")).filter((F.col("_few") > 1) & (F.col("_few") <= REGION)).select("key")
-    near = saved(rows.filter(F.col("size") <= REGION).unionByName(rest.join(few, "key", "left_semi")).select("key", "id", "n", "label"), "small-regions")
+    near = saved(rows.filter(F.col("size") <= REGION).select("key", "id", "n", "label"), "small-regions")
     other = near.select("key", F.col("id").alias("b"), F.col("n").alias("_n"), F.col("label").alias("_label"))
     every = near.select("key", "n", "label", F.col("id").alias("a")).join(other, "key").filter("a < b").drop("key")
     fits = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
@@ -199,14 +203,87 @@ def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
 
     label = F.coalesce("component", "id").alias("label")
     labelled = saved(members.join(joined, "id", "left").select("key", "id", "n", "members", "leader", label), "labelled")
+    of = saved(labelled.select("id", "label").distinct(), "labels")
     second = saved(_across(labelled, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.isEmpty():
-        return joined
-    # the new links join whole components
-    of = labelled.select("id", "label").distinct()
-    found = confirmed(second, sets, percent).join(of.select(F.col("id").alias("a"), F.col("label").alias("_a")), "a").join(of.select(F.col("id").alias("b"), F.col("label").alias("_b")), "b")
+    of = _merged(of, second, sets, percent)
+    crowd = saved(_still_crowded(labelled.filter(F.col("members") > REGION), of), "crowd")
+    if not crowd.isEmpty():
+        prefixes = saved(_prefixes(_some(sets, crowd).join(crowd, "id", "left_semi"), percent), "prefixes")
+        of = _merged(of, saved(_hub_pairs(prefixes, of, percent), "pairs"), sets, percent)
+        of = _merged(of, saved(_prefix_pairs(prefixes, of, percent), "pairs"), sets, percent)
+    return of.select("id", F.col("label").alias("component"))
+
+
+def _merged(of: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """of (id, label) after the confirmed ones of pairs (a, b) have joined whole components."""
+    if pairs.isEmpty():
+        return of
+    found = confirmed(pairs, sets, percent).join(of.select(F.col("id").alias("a"), F.col("label").alias("_a")), "a").join(of.select(F.col("id").alias("b"), F.col("label").alias("_b")), "b")
     merged = components(found.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("id").alias("label"), F.col("component").alias("merged"))
-    return of.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("component"))
+    return saved(of.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label")), "labels")
+
+
+def _still_crowded(members: DataFrame, of: DataFrame) -> DataFrame:
+    """(id): the members of crowded regions that still hold several components."""
+    now = saved(members.select("key", "id", "members").join(of, "id"), "crowded")
+    open_ = now.groupBy("key").agg(F.max("members").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key", "size")
+    return attach(now.drop("members"), saved(open_, "open-regions"), "key", "size", now.count(), "inner").select("id").distinct()
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, place, central): the rarest shingles of each set, so many that linked sets share one.
+
+    place: the shingle's place in the set, the rarest first; central: how common the set's shingles are on the average.
+    """
+    slot = F.col("s").bitwiseAND(F.lit(COUNTERS - 1))
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy(slot.alias("slot")).count().toPandas()
+    often = np.zeros(COUNTERS, np.int32)
+    often[counts["slot"].to_numpy()] = np.minimum(counts["count"].to_numpy(), np.iinfo(np.int32).max)
+
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for id_, shingles in zip(frame["id"], frame["shingles"]):
+                s = np.asarray(shingles, np.int64)
+                n, times = len(s), often[s & (COUNTERS - 1)]
+                keep = n - -(-percent * n // 100) + 1
+                yield pd.DataFrame({"key": s[np.lexsort((s, times))[:keep]], "id": id_, "n": n, "place": np.arange(keep), "central": int(1000 * times.mean())})
+
+    return sets.select("id", "shingles").mapInPandas(build, "key long, id long, n long, place long, central long")
+
+
+def _may_link(percent: int):
+    """Whether sets of n and _n shingles whose first common one is at place and _place can have enough in common."""
+    need = F.ceil(percent * (F.col("n") + F.col("_n")) / (100 + percent) - 1e-9)
+    return (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")) & (F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place")) >= need)
+
+
+def _open_prefixes(prefixes: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows whose shingle sets of different components share, with the commonest component of such a shingle, the
+    number of rows outside it (others), and the most central set."""
+    rows = saved(prefixes.join(of, "id"), "labelled-prefixes")
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("k"), F.max(F.struct("central", "id", "n", "place", "label")).alias("hub"))
+    facts = by_label.groupBy("key").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("top"), F.max("hub").alias("hub"), F.count("*").alias("labels")).filter("labels > 1")
+    facts = saved(facts.select("key", "size", F.col("top.label").alias("most"), (F.col("size") - F.col("top.k")).alias("others"), "hub"), "open-shingles")
+    return saved(attach(rows, facts, "key", "size", rows.count(), "inner"), "open-prefixes")
+
+
+def _hub_pairs(prefixes: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the sets and the most central one that shares a shingle of the prefix."""
+    rows = _open_prefixes(prefixes, of).filter("label <> hub.label").withColumn("_n", F.col("hub.n")).withColumn("_place", F.col("hub.place"))
+    return rows.filter(_may_link(percent)).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+
+
+def _prefix_pairs(prefixes: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that share a shingle of the prefix.
+
+    One of a pair lies outside the commonest component of the shingle. Those are dealt over one part for each SALT_ROWS
+    of them; all sets that have the shingle are copied to each part.
+    """
+    rows = _open_prefixes(prefixes, of).withColumn("salts", F.ceil(F.col("others") / SALT_ROWS))
+    left = rows.filter("label <> most").select("key", "id", "n", "place", "label", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("place").alias("_place"), F.col("label").alias("_label"))
+    both = left.join(right, (left["key"] == right["key"]) & (left["salt"] == right["salt"]) & (F.col("label") != F.col("_label")) & _may_link(percent))
+    return both.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,6 +33,28 @@ def test_components_are_those_of_all_pairs(spark, width):
     assert rows(got, "id", "n_shingles", "component_id", "kept") == sorted([(d, sizes[d], c, d == c) for d, c in want.items()], key=repr)
 
 
+def test_a_hub_with_a_crowd_of_edited_copies(spark):
+    rng = random.Random(8)
+    hub = [f"w{i}" for i in range(300)]
+    texts = {d: " ".join(w if rng.random() > 0.021 else f"new{d}-{i}" for i, w in enumerate(hub)) for d in range(1, 401)} | {277: " ".join(hub)}
+    want, sizes = near_components(texts, 4)
+    assert sum(c == want[277] for c in want.values()) > 250
+    got = lsh_forest.near_duplicates(docs(spark, texts.items()), 4)
+    assert rows(got, "id", "component_id") == sorted(want.items(), key=repr)
+
+
+def test_pages_of_one_template(spark):
+    rng = random.Random(9)
+    frame, texts = [f"t{i}" for i in range(150)], {}
+    for d in range(1, 301, 2):  # about 0.72 to each other, each with a partner that shares its own words
+        own = [f"own{d}-{i}" for i in range(26)]
+        texts[d], texts[d + 1] = " ".join(frame + own), changed(rng, frame + own, 3 if d % 4 == 1 else 8)
+    want, sizes = near_components(texts, 4)
+    assert len(set(want.values())) > 150
+    got = lsh_forest.near_duplicates(docs(spark, texts.items()), 4)
+    assert rows(got, "id", "component_id") == sorted(want.items(), key=repr)
+
+
 def test_edge_cases(spark):
     df = docs(spark, [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one  TWO\n"), (9, "one two"), (9, "one two"), (None, "one two"), (None, "alone here"), (7, "É x"), (8, "é x")]).withColumnRenamed("lang", "rep")
     assert rows(lsh_forest.near_duplicates(df, 4), "id", "n_shingles", "component_id", "kept") == sorted([
