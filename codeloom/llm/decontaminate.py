@@ -4,7 +4,9 @@ Texts become templates: numbers, units of measure and names (capitalised words i
 placeholders, all other words into lower case without punctuation. Windows of WINDOW template words of the benchmark are
 joined by hash with those of the documents, so a question whose numbers or names were changed still meets its original.
 Along each alignment of a document with an item the slot values must map one to one (and by type), else only windows
-with unchanged values count. Before the join, document windows pass a bitmap of fixed size built from all benchmark
+with unchanged values count. Beside the templates, the unchanged words of every window, and of whole items that are
+shorter than a window, are joined in the same way, so that exact copies are found however many slots they hold. In
+scripts without spaces each character is a word. Before the join, document windows pass a bitmap of fixed size built from all benchmark
 windows, so that only possible hits leave the tasks.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codeloom.llm.common import saved
 from codeloom.llm.exact_dedup import drop_keys
 
-#: Words of a window, fewest words of it that are no slots, and fewest words of an item that is shorter than a window.
+#: Words of a window; for templates only, fewest words of it that are no slots and fewest words of an item.
 WINDOW, LEAST_LITERALS, LEAST_ITEM = 8, 5, 4
 #: An alignment with changed slots must cover this share of the item's windows; unchanged windows count singly.
 TEMPLATE_SHARE = 0.5
@@ -41,7 +43,9 @@ NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twe
 UNITS = "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur gbp mph kmh percent degrees".split()
 
 _SLOT_WORDS = {w: UNIT for w in UNITS} | {w: NUMBER for w in NUMBER_WORDS}
-_TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+")
+#: Han, kana, Thai, Lao, Burmese, Khmer.
+_UNSPACED = "\u2e80-\u2fff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_TOKEN = re.compile(rf"\d+(?:[.,:]\d+)*|(?=[^\W\d_])[{_UNSPACED}]|(?:(?![{_UNSPACED}])[^\W\d_])+")
 _END = re.compile(r"[.!?:]\W*$")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,7 +68,7 @@ class Vocabulary(dict):
         self.arrays = np.zeros(1024, np.int8), np.zeros(1024, np.uint64), np.zeros(1024, bool)
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if chunk.isalpha():
+        if chunk.isascii() and chunk.isalpha():
             out = (self._id(chunk, False),)
         else:
             words, end = _TOKEN.findall(chunk), _END.search(chunk) is not None
@@ -99,8 +103,8 @@ class Vocabulary(dict):
             array[self.filled:n] = values[self.filled:]
         self.filled = n
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, kinds, hashes) of the words; slots of one kind share a hash."""
+    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, kinds, hashes, plain hashes) of the words; slots of one kind share a hash."""
         if len(self.text) > KNOWN_WORDS:
             self._reset()
         ids = np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64)
@@ -109,31 +113,38 @@ class Vocabulary(dict):
         kinds, hashes, ends = (a[ids] for a in self.arrays)
         first = np.concatenate(([True], ends[:-1]))[: len(ids)]
         kinds[(kinds == CAPITAL) & first] = LITERAL
+        plain = hashes.copy()
         hashes[kinds != LITERAL] = kinds[kinds != LITERAL]
-        return ids, kinds, hashes
+        return ids, kinds, hashes, plain
 
-    def windows(self, text: str, length: int, known=None) -> Iterator[tuple[int, int, list[str]]]:
-        """(hash, place, slots) of the windows of a text that known(hashes) lets pass; a slot is its type and value."""
-        ids, kinds, hashes = self.template(text)
+    def windows(self, text: str, length: int, known=None) -> Iterator[tuple[int, int, list[str], bool]]:
+        """(hash, place, slots, counts) of the windows of a text that known(hashes) lets pass; a slot is its type and value.
+
+        Each window comes with its unchanged words and no slots, and as a template if it has slots and literals enough.
+        counts: whether the window has literals enough.
+        """
+        ids, kinds, hashes, plain = self.template(text)
         n = len(ids) - length + 1
         if n < 1:
             return
-        rolled = np.full(n, length, np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(length):
-                rolled = rolled * _BASE + hashes[i:i + n]
-            rolled ^= rolled >> np.uint64(29)
         literals = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
-        good = literals[length:] - literals[:n] >= min(LEAST_LITERALS, length - 1)
-        if known is not None:
-            good &= known(rolled)
-        for at in np.flatnonzero(good).tolist():
-            slots = [f"{kinds[i]}:{self.text[ids[i]]}" for i in range(at, at + length) if kinds[i] != LITERAL]
-            yield int(rolled[at].view(np.int64)), at, slots
+        literals = literals[length:] - literals[:n]
+        good = (literals >= min(LEAST_LITERALS, length - 1)) & (length >= LEAST_ITEM)
+        for words, start, asked in ((plain, WINDOW + length, np.ones(n, bool)), (hashes, length, good & (literals < length))):
+            rolled = np.full(n, start, np.uint64)
+            with np.errstate(over="ignore"):
+                for i in range(length):
+                    rolled = rolled * _BASE + words[i:i + n]
+                rolled ^= rolled >> np.uint64(29)
+            if known is not None:
+                asked = asked & known(rolled)
+            for at in np.flatnonzero(asked).tolist():
+                slots = [] if words is plain else [f"{kinds[i]}:{self.text[ids[i]]}" for i in range(at, at + length) if kinds[i] != LITERAL]
+                yield int(rolled[at].view(np.int64)), at, slots, bool(good[at])
 
 
 def _item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item, length, hash, place, slots, item_windows); items under LEAST_ITEM words have none."""
+    """(item, length, hash, place, slots, counts, item_windows, templates): templates is the number of windows that count."""
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Vocabulary()
@@ -141,14 +152,15 @@ def _item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFra
             rows = []
             for item, text in zip(frame["item"], frame["text"]):
                 n = len(words.template(text)[0])
-                if n >= LEAST_ITEM:
+                if n:
                     length = min(n, WINDOW)
                     made = list(words.windows(text, length))
-                    rows += [(item, length, h, at, slots, len(made)) for h, at, slots in made]
-            yield pd.DataFrame(rows, columns=["item", "length", "hash", "place", "slots", "item_windows"])
+                    counted = len({at for _, at, _, counts in made if counts})
+                    rows += [(item, length, *w, n - length + 1, counted) for w in made]
+            yield pd.DataFrame(rows, columns=["item", "length", "hash", "place", "slots", "counts", "item_windows", "templates"])
 
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("item IS NOT NULL").distinct()
-    return items.mapInPandas(build, "item string, length int, hash long, place long, slots array<string>, item_windows long")
+    return items.mapInPandas(build, "item string, length int, hash long, place long, slots array<string>, counts boolean, item_windows long, templates long")
 
 
 def _doc_windows(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
@@ -163,7 +175,7 @@ def _doc_windows(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataF
         for frame in frames:
             for start in range(0, len(frame), 500):
                 part = frame.iloc[start:start + 500]
-                rows = [(key, *w) for key, text in zip(part["key"], part["text"]) for length in lengths for w in words.windows(text, length, known)]
+                rows = [(key, *w[:3]) for key, text in zip(part["key"], part["text"]) for length in lengths for w in words.windows(text, length, known)]
                 yield pd.DataFrame(rows, columns=["key", "hash", "place", "slots"])
 
     return docs.select("key", "text").mapInPandas(build, "key string, hash long, place long, slots array<string>")
@@ -188,26 +200,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(key, item, windows, item_windows, share, kind): document and item that share windows.
 
     kind: `copy` where slot values are unchanged, `template` where they map one to one and the alignment covers
-    TEMPLATE_SHARE of the item. Null and empty texts have no windows; items without id are ignored; rows that repeat an
+    TEMPLATE_SHARE of the item's windows with literals enough. A whole item of fewer than WINDOW words is one window.
+    Null and empty texts have no windows; items without id are ignored; rows that repeat an
     id count once. Other columns are ignored, empty tables give no rows.
     """
     items = saved(_item_windows(benchmark, item_col, item_text_col), "item-windows")
     n = items.count()
-    lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # LEAST_ITEM to WINDOW
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # 1 to WINDOW
     rows = docs.select(_row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hits = _doc_windows(rows, lengths, _bitmap(items))
-    index = items.select("hash", "item", F.col("place").alias("there"), F.col("slots").alias("asked"), "item_windows", "length")
+    index = items.select("hash", "item", F.col("place").alias("there"), F.col("slots").alias("asked"), "counts", "item_windows", "templates", "length")
     met = hits.join(F.broadcast(index) if n <= BROADCAST_WINDOWS else index, "hash").filter(F.size("slots") == F.size("asked"))
     pairs = F.transform(F.arrays_zip("asked", "slots"), lambda p: F.struct(p["asked"].alias("x"), p["slots"].alias("y")))
     same_kind = F.forall(pairs, lambda p: F.substring(p["x"], 1, 1) == F.substring(p["y"], 1, 1))
     met = met.filter(same_kind).withColumn("pairs", pairs).withColumn("same", F.forall(pairs, lambda p: p["x"] == p["y"]))
     # an alignment has at most one window for each window of the item, so its sets are bounded by the item
     lines = met.groupBy("key", "item", (F.col("place") - F.col("there")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.collect_set("there").alias("all"), F.collect_set(F.when(F.col("same"), F.col("there"))).alias("exact"), F.first("item_windows").alias("item_windows"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.collect_set(F.when(F.col("counts"), F.col("there"))).alias("all"), F.collect_set(F.when(F.col("same"), F.col("there"))).alias("exact"), F.first("item_windows").alias("item_windows"), F.first("templates").alias("templates"),
     )
     one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["x"])))) & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["y"]))))
-    whole = one_to_one & (F.size("all") >= TEMPLATE_SHARE * F.col("item_windows"))
-    lines = lines.withColumn("windows", F.when(whole, F.col("all")).otherwise(F.col("exact"))).filter(F.size("windows") > 0)
+    whole = one_to_one & (F.size("all") >= TEMPLATE_SHARE * F.col("templates"))
+    lines = lines.withColumn("windows", F.when(whole, F.array_union("all", "exact")).otherwise(F.col("exact"))).filter(F.size("windows") > 0)
     places = F.array_distinct(F.flatten(F.collect_set("windows")))
     out = lines.groupBy("key", "item").agg(F.size(places).cast("long").alias("windows"), F.first("item_windows").alias("item_windows"), F.max(F.size("exact") > 0).alias("copied"))
     return out.select("key", "item", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("share"), F.when(F.col("copied"), "copy").otherwise("template").alias("kind"))

@@ -37,3 +37,13 @@ def test_query_against_plain_windows(spark):
         want |= {(r.doc_id, i) for i, w in bench.items() if w & own}
     got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op7_decontamination"](spark, SF).filter("kind = 'copy'").collect()}
     assert want and got == want
+
+
+def test_every_exact_copy_is_found(spark):
+    items = ["What is 12 + 15?", "Buy 3 kg, 4 lb, 5 oz, 6 kg, 7 g, 8 kg", "The Tall Man Of Old Rome Saw A Great Red Ship", "Der Hund von Peter Maier sah Katzen, Hunde, Pferde und Kühe", "今天天气怎么样", "Name it"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [(i, f"Foo bar\n{text}\nand more") for i, text in enumerate(items)] + [(90, "What is 13 + 15?"), (91, "今天天气很好"), (92, "clean")]
+    got = {(r.key, r.item, r.kind) for r in d.leaks(docs(spark, texts), bench).collect()}
+    assert got == {(str(i), str(i), "copy") for i in range(len(items))}
+    whole = {r.item: r.share for r in d.leaks(docs(spark, texts), bench).collect()}
+    assert set(whole.values()) == {1.0}
