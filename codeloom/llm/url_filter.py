@@ -62,7 +62,9 @@ def word_rule(word: str, action: str) -> Rule:
 
 
 def path_rule(path: str, action: str) -> Rule:
-    return Rule(f"{quoted(path)}", action, tuple(tokens_of(path)))
+    """A path or a start of one that any URL holds; what touches either end may go on in the URL."""
+    first, last = re.search(r"[^A-Za-z0-9]|$", path).start(), re.search(r"[A-Za-z0-9]*$", path).start()
+    return Rule(f"{quoted(path)}", action, tuple(tokens_of(path[first:last])))
 
 
 def default_rules() -> list[Rule]:
@@ -98,7 +100,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("target", F.concat("host", "path"))
-    tokens = F.array_distinct(F.split(F.lower("target"), "[^a-z0-9]+"))  # an empty token stands for rules without literals
+    # word patterns take upper-case letters for delimiters, other rules are filed under whole words in lower case
+    tokens = F.array_union(F.split(F.lower("target"), "[^a-z0-9]+"), F.split("target", "[^a-z0-9]+"))  # an empty token stands for rules without literals
     tokenised = rows.withColumn("token", F.explode(F.array_union(tokens, F.array(F.lit("")))))
 
     listed = rules.select("pattern", F.explode("literals").alias("token"))

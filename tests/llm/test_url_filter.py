@@ -47,3 +47,10 @@ def test_literals_are_whole_tokens_of_what_fits():
     assert u.host_rule("example.org/en/1", "block").literals == ("example", "org", "en")
     for rule in u.default_rules():
         assert rule.literals
+
+
+def test_verdicts_do_not_depend_on_the_table(spark):
+    urls = ["http://a.net/wp-login.php5", "http://a.net/pornStars", "http://a.net/CASINO/", "http://a.net/xwp-login.php"]
+    padding = [f"http://b.net/{w}" for w in ("wp", "login", "wp-login", "porn") for _ in range(5)]
+    alone, among = judge(spark, urls), judge(spark, urls + padding)
+    assert [alone[i].verdict for i in range(4)] == [among[i].verdict for i in range(4)] == ["block", "block", "allow", "allow"]
