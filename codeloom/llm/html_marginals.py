@@ -26,7 +26,9 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-DROPPED = frozenset("head noscript template svg math select button object canvas audio video datalist map".split())
+DROPPED = frozenset("head noscript template svg select button object canvas audio video datalist map".split())
+#: What can stand in a head; any other start tag, or text, ends an open one.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 CLOSES_P = BLOCKS - {"html", "body", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "summary"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("html body table ul ol dl div section article aside nav header footer main form td th blockquote".split())
@@ -127,6 +129,8 @@ def parse(text: str) -> Page:
         return 0
 
     while (m := _TOKEN.search(text, at)) is not None:
+        if stack[-1][0] == "head" and text[at:m.start()].strip():
+            close(len(stack) - 1)
         say(text[at:m.start()])
         at = m.end()
         tag = (m.group(2) or "").lower()
@@ -139,6 +143,8 @@ def parse(text: str) -> Page:
             elif tag in ("br", "p"):
                 page.parts.append((stack[-1][1], None))
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag in RAW:
             end = _CLOSERS[tag].search(text, at)
             close_at = text.find(">", end.end()) if end else -1
@@ -170,6 +176,8 @@ def parse(text: str) -> Page:
             dropped = 0  # an unclosed head ends here
             stack[:] = [("html", 0), (tag, 0)]
             link = 0
+    if stack[-1][0] == "head" and text[at:].strip():
+        close(len(stack) - 1)
     say(text[at:])
     return page
 

@@ -57,3 +57,11 @@ def test_rows(spark):
     assert [r.text for r in got if r.page_id in (1, 2)] == ["", ""]
     assert got[2].text == "Some words stand here, and then some more of them."
     assert h.extract_text(df.limit(0), h.trained()).count() == 0
+
+
+def test_open_heads_and_formulas():
+    x = h.trained().extract
+    body = "This is the first paragraph of the story, which has several words. It goes on for a while."
+    assert x(f"<html><head><title>T</title><meta charset=utf-8><noscript><p>none</p></noscript><article><p>{body}</p></article>") == body
+    assert x(f"<head><title>T</title><style>p {{}}</style>\n{body}") == body
+    assert x(f"<article><p>{body} Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == f"{body} Here x=2 holds."
