@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import arc_convert, decontaminate, exact_dedup, html_marginals, langid, license_scan, lsh_forest, mixing, quality_fm, url_filter
+from codeloom.llm import arc_convert, decontaminate, exact_dedup, html_marginals, langid, license_scan, lsh_forest, mixing, prefix_trie, quality_fm, token_counts, url_filter, whitening
 from codeloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,9 @@ QUERIES: dict[str, Query] = {
     "op8_language": on(langid.op8_query, "documents"),
     "op9_exact_dedup": on(exact_dedup.op9_query, "documents"),
     "op10_arc_to_warc": on(arc_convert.op10_query, "pages"),
+    "op11_whitening": on(whitening.op11_query, "embeddings"),
+    "op12_prefix_trie": on(prefix_trie.op12_query, "conversations"),
+    "op13_token_counts": on(token_counts.op13_query, "documents"),
 }
 
 ORACLES: dict[str, str] = {
@@ -42,4 +45,5 @@ ORACLES: dict[str, str] = {
     "op3_mixing": mixing.OP3_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_arc_to_warc": arc_convert.OP10_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }
