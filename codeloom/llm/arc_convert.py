@@ -29,6 +29,8 @@ ARC_FIELDS = {
 #: Payloads of fewer bytes are always stored whole.
 LEAST_REVISIT = 1000
 RECORD = "id long, url string, ip string, date string, mime string, http binary, payload binary, payload_bytes long, digest string, record_id string, version int"
+#: What grouping equal payloads needs.
+LEAN_RECORD = "id long, payload_bytes long, digest string, record_id string"
 WARC_RECORD = "id long, url string, payload binary, payload_bytes long, digest string, record_type string, refers_to long, record_id string"
 
 
@@ -118,11 +120,12 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "content")
 
 
-def read_arc(spark: SparkSession, folder: str) -> DataFrame:
-    """The parsed records of all ARC files of a folder, with synthesised digest and record id."""
+def read_arc(spark: SparkSession, folder: str, lean: bool = False) -> DataFrame:
+    """The parsed records of all ARC files of a folder, with synthesised digest and record id; lean leaves contents out."""
+    schema = LEAN_RECORD if lean else RECORD
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [x.split()[0] for x in RECORD.split(", ")]
+        columns = [x.split()[0] for x in schema.split(", ")]
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 name, rows, held = path.rsplit("/", 1)[-1], [], 0
@@ -133,6 +136,9 @@ def read_arc(spark: SparkSession, folder: str) -> DataFrame:
                     digest = hashlib.sha1(payload).hexdigest()
                     page = _header(http, "x-page-id")
                     made = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}@{r['offset']}:{digest}")
+                    if lean:
+                        rows.append((page and int(page), len(payload), digest, str(made)))
+                        continue
                     rows.append((page and int(page), r["URL"], r["IP-address"], r["Archive-date"], r["Content-type"], http, payload, len(payload), digest, str(made), r["version"]))
                     held += len(r["body"])
                     if held > 4_000_000:
@@ -140,7 +146,7 @@ def read_arc(spark: SparkSession, folder: str) -> DataFrame:
                         rows, held = [], 0
                 yield pd.DataFrame(rows, columns=columns).astype({"id": "Int64"})
 
-    return _files(spark, folder).mapInPandas(parse, RECORD)
+    return _files(spark, folder).mapInPandas(parse, schema)
 
 
 def _base32(digest: Column) -> Column:
@@ -155,11 +161,11 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least: int =
     Of records with equal payloads of at least `least` bytes, the one with the largest id is the response and the others
     are revisits without payload that refer to it; records that repeat id and payload are all responses.
     """
-    records = read_arc(spark, arc_folder)
     # records too small for a revisit get a key of their own, so that the filter lets them pass
-    keyed = records.withColumn("key", F.when(F.col("payload_bytes") >= least, F.col("digest")).otherwise(F.col("record_id"))).withColumn("best", F.struct("id", "record_id"))
-    keys = saved(keyed.select("key", "best"), "payload-digests")
-    rows = with_groups(keyed, keys, "key", "best", keys.count())
+    key = F.when(F.col("payload_bytes") >= least, F.col("digest")).otherwise(F.col("record_id")).alias("key")
+    best = F.struct("id", "record_id").alias("best")
+    keys = saved(read_arc(spark, arc_folder, lean=True).select(key, best), "payload-digests")
+    rows = with_groups(read_arc(spark, arc_folder).select("*", key, best), keys, "key", "best", keys.count())
     revisit = F.coalesce(~F.col("id").eqNullSafe(F.col("_best.id")), F.lit(False))
     date = F.date_format(F.to_timestamp("date", "yyyyMMddHHmmss"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     block = F.concat(F.col("http"), F.when(F.length("http") > 0, F.lit(b"\r\n\r\n")).otherwise(F.lit(b"")), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
