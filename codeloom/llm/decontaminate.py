@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -117,30 +118,41 @@ class Vocabulary(dict):
         hashes[kinds != LITERAL] = kinds[kinds != LITERAL]
         return ids, kinds, hashes, plain
 
-    def windows(self, text: str, length: int, known=None) -> Iterator[tuple[int, int, list[str], bool]]:
+    def windows(self, text: str, lengths: list[int], known=None) -> Iterator[tuple[int, int, list[str], bool]]:
         """(hash, place, slots, counts) of the windows of a text that known(hashes) lets pass; a slot is its type and value.
 
         Each window comes with its unchanged words and no slots, and as a template if it has slots and literals enough.
         counts: whether the window has literals enough.
         """
         ids, kinds, hashes, plain = self.template(text)
-        n = len(ids) - length + 1
-        if n < 1:
+        if not len(ids):
             return
-        literals = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
-        literals = literals[length:] - literals[:n]
-        good = (literals >= min(LEAST_LITERALS, length - 1)) & (length >= LEAST_ITEM)
-        for words, start, asked in ((plain, WINDOW + length, np.ones(n, bool)), (hashes, length, good & (literals < length))):
-            rolled = np.full(n, start, np.uint64)
-            with np.errstate(over="ignore"):
-                for i in range(length):
-                    rolled = rolled * _BASE + words[i:i + n]
+        literals_to = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
+        up, down = _powers(max(12, len(ids).bit_length()))
+        # sums of words times falling powers: each window of any length is one subtraction away
+        sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * down[:len(ids)]))) for words in (plain, hashes)]
+        for length in lengths:
+            n = len(ids) - length + 1
+            if n < 1:
+                continue
+            literals = literals_to[length:] - literals_to[:n]
+            good = (literals >= min(LEAST_LITERALS, length - 1)) & (length >= LEAST_ITEM)
+            for to, start, places in ((sums[0], WINDOW + length, np.arange(n)), (sums[1], length, np.flatnonzero(good & (literals < length)))):
+                rolled = (to[places + length] - to[places]) * up[places + (length - 1)] + np.uint64(start * pow(int(_BASE), length, 1 << 64) % (1 << 64))
                 rolled ^= rolled >> np.uint64(29)
-            if known is not None:
-                asked = asked & known(rolled)
-            for at in np.flatnonzero(asked).tolist():
-                slots = [] if words is plain else [f"{kinds[i]}:{self.text[ids[i]]}" for i in range(at, at + length) if kinds[i] != LITERAL]
-                yield int(rolled[at].view(np.int64)), at, slots, bool(good[at])
+                if known is not None:
+                    passed = known(rolled)
+                    places, rolled = places[passed], rolled[passed]
+                for at, value in zip(places.tolist(), rolled.view(np.int64).tolist()):
+                    slots = [] if to is sums[0] else [f"{kinds[i]}:{self.text[ids[i]]}" for i in range(at, at + length) if kinds[i] != LITERAL]
+                    yield value, at, slots, bool(good[at])
+
+
+@lru_cache(maxsize=16)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2 ** bits powers of the odd base and of its inverse, modulo 2 ** 64."""
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full((1 << bits) - 1, base, np.uint64)))) for base in (_BASE, inverse))
 
 
 def _item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -154,7 +166,7 @@ def _item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFra
                 n = len(words.template(text)[0])
                 if n:
                     length = min(n, WINDOW)
-                    made = list(words.windows(text, length))
+                    made = list(words.windows(text, [length]))
                     counted = len({at for _, at, _, counts in made if counts})
                     rows += [(item, length, *w, n - length + 1, counted) for w in made]
             yield pd.DataFrame(rows, columns=["item", "length", "hash", "place", "slots", "counts", "item_windows", "templates"])
@@ -167,7 +179,7 @@ def _doc_windows(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataF
     """(key, hash, place, slots) of the document windows that the bitmap lets pass."""
 
     def known(hashes: np.ndarray) -> np.ndarray:
-        at = (hashes % np.uint64(BLOCKS * BLOCK_BITS)).astype(np.int64)
+        at = (hashes & np.uint64(BLOCKS * BLOCK_BITS - 1)).view(np.int64)  # the size is a power of two
         return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +187,7 @@ def _doc_windows(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataF
         for frame in frames:
             for start in range(0, len(frame), 500):
                 part = frame.iloc[start:start + 500]
-                rows = [(key, *w[:3]) for key, text in zip(part["key"], part["text"]) for length in lengths for w in words.windows(text, length, known)]
+                rows = [(key, *w[:3]) for key, text in zip(part["key"], part["text"]) for w in words.windows(text, lengths, known)]
                 yield pd.DataFrame(rows, columns=["key", "hash", "place", "slots"])
 
     return docs.select("key", "text").mapInPandas(build, "key string, hash long, place long, slots array<string>")
