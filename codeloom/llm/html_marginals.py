@@ -41,15 +41,21 @@ NAMES = {
     "notice": "cookie consent notice gdpr alert popup modal overlay newsletter subscribe signup login paywall disclaimer hidden",
     "talk": "comment comments disqus reply replies respond discussion feedback review",
     "extra": "related share social recommend more tags tag author byline meta rating print trending",
-    "content": "article content main post story entry body text page single prose",
+    "content": "article content main post story entry hentry body text page single prose",
 }
+#: Words that name furniture, but also stand among the names of articles.
+WEAK = frozenset("tag author byline meta more print rating trending".split())
+#: Starts of names that file an article under a term, and ends by which such a name means a group of its own.
+TERMS = frozenset("tag author category cat topic type status format series".split())
+GROUPS = frozenset("list cloud box bio info links menu nav card block area items".split())
 _NAME_OF = {start: kind for kind, starts in NAMES.items() for start in starts.split()}
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
 TAGS = {t: t for t in "p li td div section article main nav header footer aside form ul table blockquote pre body figure".split()}
 TAGS |= {"ol": "ul", "dl": "ul", "dd": "li", "dt": "li", "th": "td", "tr": "table", "tbody": "table", "thead": "table", "html": "body", "figcaption": "figure", "menu": "nav"} | {f"h{i}": "h" for i in range(1, 7)}
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A whole attribute, so that nothing is looked for inside the value of another one.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: The attribute by which labelled pages mark furniture; the model does not see it.
 NOT_CONTENT = "data-other"
 _WORD = re.compile(r"[a-z]+")
@@ -83,19 +89,31 @@ def _names(attributes: str) -> frozenset[str]:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             found.add("notice")
         elif name in ("class", "id", "role"):
-            for word in _WORD.findall(value):
-                kind = _NAME_OF.get(word) or _NAME_OF.get(word.rstrip("s"))
-                if kind:
-                    found.add(kind)
-    if len(found) > 1:
-        found.discard("content")  # `content-sidebar`, `post-comments`
-    return frozenset(found)
+            for token in value.split():
+                found |= _token_kinds(_WORD.findall(token))
+    if "content" in found:
+        found.discard("weak")  # `entry-content more`
+        if len(found) > 1:
+            found.discard("content")  # `content-sidebar`, `post-comments`
+    return frozenset("extra" if kind == "weak" else kind for kind in found)
+
+
+def _token_kinds(words: list[str]) -> set[str]:
+    """What the words of one name say; `weak` where they speak of furniture only if nothing else speaks of content."""
+    kinds = [_NAME_OF.get(word) or _NAME_OF.get(word.rstrip("s")) for word in words]
+    if len(words) > 1 and words[0] in TERMS and words[-1] not in GROUPS and kinds[-1] in (None, "content"):
+        return set()  # `tag-rome`, `author-bob`, `type-post`: what the article is filed under
+    out = {"weak" if word.rstrip("s") in WEAK else kind for word, kind in zip(words, kinds) if kind}
+    if out == {"weak", "content"}:
+        return {"content"} if kinds[-1] == "content" else {"extra"}  # `meta-post` and `post-meta`
+    return out
 
 
 def parse(text: str) -> Page:
     """The block tree of a page, however badly nested; linear in its length."""
     page = Page([Node("body", -1, frozenset())])
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block they stand in
+    places: dict[str, list[int]] = {}  # of the open elements of a tag, on the stack
     dropped, link = 0, 0
     at = 0
 
@@ -115,18 +133,19 @@ def parse(text: str) -> Page:
         nonlocal dropped, link
         while len(stack) > index:
             tag, block = stack.pop()
+            if stack:
+                places[tag].pop()
             dropped -= tag in DROPPED
             link -= tag == "a"
             if tag in BLOCKS:
                 page.parts.append((block, None))
 
     def find(tags: set[str] | frozenset[str], stop: frozenset[str]) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in stop:
-                break
-        return 0
+        # the last open element of these tags, unless one of `stop` stands inside it
+        found = max((places[t][-1] for t in tags if places.get(t)), default=0)
+        if not found:
+            return 0
+        return found if found >= max((places[t][-1] for t in stop if places.get(t)), default=0) else 0
 
     while (m := _TOKEN.search(text, at)) is not None:
         if stack[-1][0] == "head" and text[at:m.start()].strip():
@@ -171,10 +190,12 @@ def parse(text: str) -> Page:
                 block = len(page.nodes) - 1
         dropped += tag in DROPPED
         link += tag == "a"
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, block))
         if tag == "body":
             dropped = 0  # an unclosed head ends here
             stack[:] = [("html", 0), (tag, 0)]
+            places = {tag: [1]}
             link = 0
     if stack[-1][0] == "head" and text[at:].strip():
         close(len(stack) - 1)
@@ -331,6 +352,8 @@ def labelled_page(rng: random.Random) -> str:
     aside = lambda: named(rng.choice(("aside", "aside", "div")), ("sidebar", "widget", "rail"), f"<h3 {x}>{words(1, 3)}</h3>" + links(2, 7) + maybe(0.4, lambda: f"<p {x}>{words(3, 30)}</p>"), 0)
     foot = lambda: named(rng.choice(("footer", "footer", "footer", "div")), ("footer", "site-footer", "copyright"), rng.choice((f"&copy; {words(2, 20)}", f"<p {x}>&copy; {words(3, 25)}</p>" + links(2, 5))), 0)
     tag, names = rng.choice((("article", ("post", "story", "x")), ("article", ("entry", "x")), ("main", ("content", "x")), ("div", ("content", "article-body", "post", "entry-content")), ("section", ("story", "main")), ("div", ("x", "wrap", "c1"))))
+    filed = (" type-post hentry category-news tag-x", " hentry tag-x", " author-x", " meta-post", " more", "")
+    names = tuple(n + rng.choice(filed) for n in names)
     article = named(tag, names, body() + maybe(0.1, comments), 0.6 if tag in ("article", "main") else 0, content=True)
     if rng.random() < 0.15:
         article = body()

@@ -1,5 +1,8 @@
 import math
 import random
+import time
+
+import pytest
 
 from codeloom.llm import html_marginals as h
 from tests.llm.helpers import PAGES
@@ -65,3 +68,19 @@ def test_open_heads_and_formulas():
     assert x(f"<html><head><title>T</title><meta charset=utf-8><noscript><p>none</p></noscript><article><p>{body}</p></article>") == body
     assert x(f"<head><title>T</title><style>p {{}}</style>\n{body}") == body
     assert x(f"<article><p>{body} Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == f"{body} Here x=2 holds."
+
+
+@pytest.mark.parametrize("opening", [
+    'class="post type-post hentry category-news tag-rome"', 'class="hentry tag-rome"', 'class="post author-bob"', 'class="meta-post"', 'class="entry-content more"', 'data-role="share"', 'data-title="Hidden treasures of Rome"',
+])
+def test_names_of_articles(opening):
+    said = "The city was not built in a day, and its walls still stand. Many came to see them, year after year."
+    page = f'<html><body><nav class="menu"><ul><li><a href="/">Home</a></li></ul></nav><article {opening}><p>{said}</p><p title="the hidden valley">{said}</p><p data-id="footer">{said}</p><p aria-label="hidden">{said}</p></article><footer>&copy; us</footer></body></html>'
+    assert h.trained().extract(page) == " ".join([said] * 4)
+
+
+def test_end_tags_without_start_are_read_in_linear_time():
+    start = time.time()
+    for bad in ("<div>" * 100_000 + "</section>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<a><section>" + "<span>" * 100_000 + "</a>" * 100_000):
+        h.parse(bad)
+    assert time.time() - start < 30
