@@ -38,6 +38,8 @@ TURNS = 2
 SALT_ROWS = 256
 #: Counters by which shingles of crowds are ordered; shingles that share a counter only make the order less apt.
 COUNTERS = 2**20
+#: Counters that travel in one row.
+COUNTER_BLOCK = 1 << 12
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
@@ -144,11 +146,11 @@ def _shared(rows: DataFrame, total: int) -> DataFrame:
 def regions(sets: DataFrame, total: int) -> DataFrame:
     """(key, id, n, members, leader): the regions of two or more sets; crowded ones are also cut at all greater depths."""
     first = _shared(_keys(sets, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))), F.lit(FIRST)), total)
-    crowded = first.filter(F.col("members") > REGION).select("id", F.col("tree").alias("_tree"))
+    crowded = first.filter(F.col("members") > REGION).groupBy("id").agg(F.collect_set("tree").alias("_trees"))  # TREES at most
     if FIRST == DEPTH or crowded.isEmpty():
         return first.drop("tree")
     deeper = F.explode(F.sequence(F.lit(FIRST + 1), F.lit(DEPTH)))
-    return first.unionByName(_shared(_keys(sets.join(crowded, "id"), F.col("_tree"), deeper), total)).drop("tree")
+    return first.unionByName(_shared(_keys(sets.join(crowded, "id"), F.explode("_trees"), deeper), total)).drop("tree")
 
 
 def _some(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -225,7 +227,8 @@ def _merged(of: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> D
 
 def _still_crowded(members: DataFrame, of: DataFrame) -> DataFrame:
     """(id): the members of crowded regions that still hold several components."""
-    now = saved(members.select("key", "id", "members").join(of, "id"), "crowded")
+    packed = members.groupBy("id").agg(F.collect_list(F.struct("key", "members")).alias("_regions"))  # one for each tree and depth at most
+    now = saved(packed.join(of, "id").select("id", "label", F.inline("_regions")), "crowded")
     open_ = now.groupBy("key").agg(F.max("members").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key", "size")
     return attach(now.drop("members"), saved(open_, "open-regions"), "key", "size", now.count(), "inner").select("id").distinct()
 
@@ -236,9 +239,17 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     place: the shingle's place in the set, the rarest first; central: how common the set's shingles are on the average.
     """
     slot = F.col("s").bitwiseAND(F.lit(COUNTERS - 1))
-    counts = sets.select(F.explode("shingles").alias("s")).groupBy(slot.alias("slot")).count().toPandas()
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy(slot.alias("slot")).count()
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(COUNTER_BLOCK, np.int32)
+        block[part["slot"].to_numpy() % COUNTER_BLOCK] = np.minimum(part["count"].to_numpy(), np.iinfo(np.int32).max)
+        return pd.DataFrame({"block": part["block"].iloc[:1], "counts": [block.tobytes()]})
+
+    blocks = counts.withColumn("block", F.floor(F.col("slot") / COUNTER_BLOCK)).groupBy("block").applyInPandas(pack, "block long, counts binary")
     often = np.zeros(COUNTERS, np.int32)
-    often[counts["slot"].to_numpy()] = np.minimum(counts["count"].to_numpy(), np.iinfo(np.int32).max)
+    for row in blocks.collect():  # four bytes a counter
+        often[row["block"] * COUNTER_BLOCK:(row["block"] + 1) * COUNTER_BLOCK] = np.frombuffer(row["counts"], np.int32)
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
