@@ -87,6 +87,67 @@ def hop_table(edges: DataFrame, start: DataFrame, depth: int = 6) -> DataFrame:
     return reached.filter("hops > 0")
 
 
+def _uncovered(walked: DataFrame, roots: DataFrame) -> DataFrame:
+    """Roots, in order of `ord`, whose name no kept earlier root has met; a root without calls is none.
+
+    Roots of one name cover each other, so only the first of a name can stay. Each round keeps the roots that no open
+    root could cover and drops those they cover: rounds grow with the longest chain of coverings, not with the roots.
+    """
+    firsts = roots.join(walked.select("root").distinct(), "root", "left_semi").groupBy("name").agg(F.min(F.struct("ord", "root", "file")).alias("f")).select("name", "f.*")
+    met = walked.select("root", F.explode(F.array("caller_name", "callee_name")).alias("name")).distinct()
+    by = met.join(firsts.select("root", F.col("ord").alias("by_ord")), "root").withColumnRenamed("root", "by")
+    links = cut_lineage(by.join(firsts, "name").filter("by_ord < ord").select("by", "root").distinct())
+    dropped = None
+    while not links.isEmpty():
+        free = links.select("by").distinct().join(links.select(F.col("root").alias("by")).distinct(), "by", "left_anti")
+        now = cut_lineage(links.join(free, "by", "left_semi").select("root").distinct())
+        dropped = now if dropped is None else dropped.unionByName(now)
+        links = cut_lineage(links.join(now, "root", "left_anti").join(now.select(F.col("root").alias("by")), "by", "left_anti"))
+    return firsts if dropped is None else firsts.join(dropped, "root", "left_anti")
+
+
+def flow_sequences(edges: DataFrame, entries: DataFrame, anchors: DataFrame, n_entries: int | None = None, least: int = 3, depth: int = 3) -> DataFrame:
+    """Calls of the execution sequences: root, sequence, depth and the call's names, files and callee line.
+
+    `edges` are trusted calls; `entries` and `anchors` have name, file and ord, one place each. All entries (or the
+    first n) are walked at once; in their order, one whose name an earlier sequence has met starts none. Fewer than
+    `least` sequences are filled up from the anchors by the same rule. `sequence` is the place of the root: anchors
+    come after the entries. Without entries, anchors or calls there are no rows.
+    """
+    def walk(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+        roots = points.select(F.concat_ws("@", "name", "file").alias("root"), "name", "file", F.col("ord").cast("bigint").alias("ord"))
+        return cut_lineage(call_chain(edges, roots, depth)), roots
+
+    def numbered(walked: DataFrame, kept: DataFrame) -> DataFrame:
+        return walked.join(kept.select("root", F.col("ord").alias("sequence")), "root")
+
+    walked, roots = walk(entries if n_entries is None else entries.orderBy("ord", "name", "file").limit(n_entries))
+    kept = cut_lineage(_uncovered(walked, roots))
+    out = numbered(walked, kept)
+    have = kept.limit(least).count()
+    if have >= least:
+        return out
+    covered = out.select(F.explode(F.array("caller_name", "callee_name")).alias("name")).distinct()
+    last = roots.agg(F.max("ord").alias("last"))
+    after = anchors.join(covered, "name", "left_anti").withColumn("ord", F.col("ord") + F.coalesce(last.select(F.col("last") + 1).scalar(), F.lit(0)))
+    more, points = walk(after)
+    fill = _uncovered(more, points).orderBy("ord").limit(least - have)
+    return out.unionByName(numbered(more, fill))
+
+
+def flow_facts(edges: DataFrame, sequences: DataFrame) -> DataFrame:
+    """One row for each call that a sequence holds, however many do: smallest sequence and depth, order of discovery
+    (`ord`, sortable text) and whether an entry makes it.
+
+    `edges` are trusted calls with src and dst; parallel calls of a pair stay rows of their own.
+    """
+    key = ["caller_name", "caller_file", "callee_name", "callee_file", "callee_line"]
+    pad = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
+    step = F.concat_ws(".", pad("sequence"), F.col("depth").cast("string"))
+    first = sequences.groupBy(*key).agg(F.min("sequence").alias("sequence"), F.min("depth").alias("depth"), F.min(step).alias("step"), F.bool_or(F.col("depth") == 0).alias("is_entry"))
+    return edges.join(first, key).withColumn("ord", F.concat_ws(".", "step", pad("src"), pad("dst"))).drop("step")
+
+
 def stage_keys(edges: DataFrame) -> DataFrame:
     """Order keys of every symbol (name and file) in the chains: smallest sequence, depth, call line and place.
 
@@ -268,7 +329,7 @@ def name_topics(topics: DataFrame, cluster_files: DataFrame, labels: DataFrame,
     generic = source_dirs.select(F.lower("dir").alias("low")).distinct()
     usable = usable.withColumn("low", F.lower("seg")).join(generic, "low", "left_anti")
     freq = usable.select("id", "file", "seg").distinct().groupBy("id", "seg").agg(F.count("*").alias("n"))
-    # a topic names at most twelve files, so its tokens are few: keep the best that share no file with a better one
+    # keep the best tokens that share no file with a better one
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.col("n").desc(), "seg"))
     ranked = freq.withColumn("r", rank)
     spread = usable.select("id", "file", "seg").distinct()

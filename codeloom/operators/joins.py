@@ -422,12 +422,13 @@ def module_relations(boundaries: DataFrame, modules: DataFrame) -> DataFrame:
     return out.unionByName(kept.select(F.col("to_module").alias("module"), F.lit("incoming").alias("direction"), F.col("from_module").alias("neighbour")))
 
 
-TYPE_TEXT = 1200
+def type_definitions(references: DataFrame, types: DataFrame, stage_files: DataFrame, lines: DataFrame, cap: int | None = None, text_cap: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """Types that stage signatures name (one definition each, in a stage file if there is one), then other local types.
 
-
-def type_definitions(references: DataFrame, types: DataFrame, stage_files: DataFrame, lines: DataFrame, cap: int | None = None) -> DataFrame:
-    """Types that stage signatures name (one definition each, in a stage file if there is one), then other local types."""
-    from codeloom.operators.extract_code import lines_within
+    A type without end line ends where its braces close, else before the next symbol of `starts` (default: types).
+    Texts are whole unless `text_cap` cuts them.
+    """
+    from codeloom.operators.extract_code import body_ranges, lines_within
 
     kinds = types.filter(F.col("label").isin("Interface", "Type", "Enum", "Class"))
     staged = stage_files.select("file").distinct().withColumn("staged", F.lit(True))
@@ -438,12 +439,12 @@ def type_definitions(references: DataFrame, types: DataFrame, stage_files: DataF
     chosen = first.unionByName(others)
     if cap is not None:
         chosen = chosen.orderBy("tier", "file", "start_line", "id").limit(cap)
-    last = F.when(F.col("end_line") > F.col("start_line"), F.col("end_line")).otherwise(F.col("start_line") + 40)
-    spans = chosen.select("id", F.col("file").alias("path"), F.col("start_line").alias("from_line"), last.alias("to_line"))
+    spans = body_ranges(chosen, lines, starts=types if starts is None else starts)
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     texts = lines_within(spans, lines).groupBy("id").agg(F.trim(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).alias("body"))
     out = chosen.join(texts, "id", "left").withColumn("body", F.regexp_replace("body", r"^\s+|\s+$", ""))
     missing = F.concat(F.lower("label"), F.lit(" "), "name", F.lit("（定义体不可读；"), F.when(F.col("tier") == 1, "签名显式引用").otherwise("阶段文件内本地定义"), F.lit("）"))
     text = F.when(F.coalesce("body", F.lit("")) == "", missing).otherwise(F.col("body"))
-    cut = F.when(F.length(text) > TYPE_TEXT, F.concat(F.substring(text, 1, TYPE_TEXT), F.lit("\n// …（已截断）"))).otherwise(text)
-    return out.select("id", "name", F.lower("label").alias("kind"), "file", "start_line", "tier", cut.alias("text"))
+    if text_cap is not None:
+        text = F.when(F.length(text) > text_cap, F.concat(F.substring(text, 1, text_cap), F.lit("\n// …（已截断）"))).otherwise(text)
+    return out.select("id", "name", F.lower("label").alias("kind"), "file", "start_line", "tier", text.alias("text"))

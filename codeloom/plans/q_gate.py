@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import vocab
 from codeloom.operators import aggregate as G, anchors as A, extract_docs as M, joins as J, outline as O, pages as Pg, quality as Q, similarity as S
-from codeloom.plans import duck as D
+from codeloom.plans import duck as D, q_graph
 from codeloom.plans.catalog import Data, query
 from codeloom.plans.fixtures import path_of
 from codeloom.plans.q_aggs import COVERAGE, SUPPORT, _block_sql, _inner, block_lines
@@ -229,17 +229,20 @@ def crosspage_review(d: Data):
     return Q.crosspage_review(lines, q_sets.table_overlap(d), q_sets.anchor_overlap(d), q_joins.term_variants(d), q_joins.dep_consistency(d), S.same_numbers(M.numeric_columns(lines)))
 
 
-@query("precheck_pages", """WITH m AS (SELECT DISTINCT module FROM symbols), c AS (SELECT module, count(*) AS n FROM symbols WHERE label = 'Class' AND complexity > 30 GROUP BY 1), g AS (SELECT module, count(*) AS n FROM symbols WHERE docstring IS NOT NULL AND complexity > 47 GROUP BY 1),
- q AS (SELECT module, count(*) AS n FROM symbols WHERE id % 41 = 0 GROUP BY 1), st AS (SELECT module, count(*) AS n FROM symbols WHERE id % 53 = 0 GROUP BY 1), mv AS (SELECT module, count(*) AS n FROM symbols WHERE id % 47 = 0 AND id % 2 = 0 GROUP BY 1), dc AS (SELECT module, count(*) AS n FROM commits GROUP BY 1)
+@query("precheck_pages", f"""WITH {q_graph.MOVES_CTE}, located AS (SELECT DISTINCT file, module FROM symbols), m AS (SELECT DISTINCT module FROM symbols), c AS (SELECT module, count(*) AS n FROM symbols WHERE label = 'Class' GROUP BY 1), g AS (SELECT module, count(*) AS n FROM symbols WHERE docstring IS NOT NULL GROUP BY 1),
+ q AS (SELECT DISTINCT module FROM located WHERE file IN (SELECT caller_file FROM fl WHERE is_entry)), st AS (SELECT DISTINCT module FROM located WHERE file IN (SELECT file FROM sg)), ms AS (SELECT DISTINCT module FROM located WHERE file IN (SELECT caller_file FROM mv WHERE carries)), dc AS (SELECT module FROM commits)
  SELECT module, 'classes' AS page, 'too few classes' AS reason FROM m WHERE coalesce((SELECT n FROM c WHERE c.module = m.module), 0) < 3 UNION ALL SELECT module, 'glossary', 'too few documented symbols' FROM m WHERE coalesce((SELECT n FROM g WHERE g.module = m.module), 0) < 3
- UNION ALL SELECT module, 'data-flow', CASE WHEN (SELECT n FROM q WHERE q.module = m.module) IS NULL THEN 'no sequences' ELSE 'control flow only' END FROM m WHERE (SELECT n FROM q WHERE q.module = m.module) IS NULL OR (SELECT n FROM st WHERE st.module = m.module) IS NULL OR (SELECT n FROM mv WHERE mv.module = m.module) IS NULL
+ UNION ALL SELECT module, 'data-flow', CASE WHEN module NOT IN (SELECT module FROM q) THEN 'no sequences' ELSE 'control flow only' END FROM m WHERE module NOT IN (SELECT module FROM q) OR module NOT IN (SELECT module FROM st) OR module NOT IN (SELECT module FROM ms)
  UNION ALL SELECT module, 'decisions', 'no decision evidence' FROM m WHERE module NOT IN (SELECT module FROM dc)""")
 def precheck_pages(d: Data):
     s = d("symbols")
+    at = s.select("file", "module").distinct()
     known = s.select("module").distinct()
-    return Pg.precheck_pages(
-        s.filter("label = 'Class' AND complexity > 30"), s.filter("docstring IS NOT NULL AND complexity > 47"), s.filter("id % 41 = 0"), s.filter("id % 53 = 0"),
-        s.filter("id % 47 = 0").withColumn("carries", F.col("id") % 2 == 0).unionByName(s.withColumn("carries", F.lit(False))), d("commits").join(known, "module", "left_semi"))
+    sequences = q_graph.flow_edges(d).filter("is_entry").select(F.col("caller_file").alias("file")).distinct().join(at, "file")
+    staged = q_graph.stages(d).select("file").join(at, "file")
+    moved = q_graph.moves(d).select(F.col("caller_file").alias("file"), "carries").join(at, "file")
+    every = moved.select("module", "carries").unionByName(known.withColumn("carries", F.lit(False)))  # a row for each module
+    return Pg.precheck_pages(s.filter("label = 'Class'"), s.filter("docstring IS NOT NULL"), sequences, staged, every, d("commits").join(known, "module", "left_semi"))
 
 
 def outline_tables(d: Data):

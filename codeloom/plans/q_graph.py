@@ -79,25 +79,54 @@ def once(d: Data, name: str, make):
     return d._stored[name]
 
 
+def flow_entries(d: Data):
+    """Exported production classes in the order of the graph."""
+    s = d("symbols").filter("NOT is_test AND is_exported AND label = 'Class'")
+    return s.groupBy("name", "file").agg(F.min("id").alias("ord"))
+
+
+def flow_trusted(d: Data):
+    return once(d, "flow_trusted", lambda: J.trust_edges(calls(d), d("code_lines")).filter("verdict = 'ok'"))
+
+
+def flow_sequences(d: Data):
+    """Calls of the execution sequences, from the entries and, where these are few, from the symbols that call most."""
+    order = Window.orderBy(F.col("calls").desc(), "name", "file")  # of the fifteen top callers
+    anchors = A.top_callers(calls(d)).select("name", "file", F.row_number().over(order).alias("ord"))
+    return once(d, "flow_sequences", lambda: G.flow_sequences(flow_trusted(d), flow_entries(d), anchors))
+
+
 def flow_edges(d: Data):
-    """Trusted calls of the chains with their sequence, order and number of arguments."""
+    """Trusted calls of the sequences with their order and number of arguments."""
     return once(d, "flow_edges", lambda: _flow_edges(d))
 
 
 def _flow_edges(d: Data):
-    edges = J.trust_edges(calls(d), d("code_lines")).filter("verdict = 'ok'")
     n_args = F.when(F.col("args").startswith("["), F.size(F.from_json("args", "ARRAY<STRING>"))).otherwise(0)
-    return edges.select(
-        "src", "dst", "caller_name", "caller_file", "callee_name", "callee_file", "callee_line", "call_line", n_args.alias("n_args"),
-        (F.col("src") % 6).alias("sequence"), (F.col("dst") % 3).cast("int").alias("depth"), (F.col("src") * 1000000 + F.col("dst")).alias("ord"), (F.col("src") % 50 == 0).alias("is_entry"))
+    edges = flow_trusted(d).select("src", "dst", "caller_name", "caller_file", "callee_name", "callee_file", "callee_line", "call_line", n_args.alias("n_args"))
+    return G.flow_facts(edges, flow_sequences(d))
+
 
+_ENTRY_PLACES = "(SELECT name || '@' || file AS root, name, file, min(id) AS ord FROM symbols WHERE NOT is_test AND is_exported AND label = 'Class' GROUP BY 1, 2, 3)"
+#: The entries one after another, each with all names met so far; `fs` are the calls of those that no name met covers.
+SEQUENCES_CTE = f"""{_bfs(False, _ENTRY_PLACES)}, u AS MATERIALIZED ({CHAIN}), met AS (SELECT root, list(DISTINCT n) AS names FROM (SELECT root, unnest([caller_name, callee_name]) AS n FROM u) x GROUP BY 1),
+ turn AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ord) AS k, e.root, name, ord, names FROM {_ENTRY_PLACES} e JOIN met ON met.root = e.root),
+ walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS VARCHAR) AS root, CAST(NULL AS BIGINT) AS ord UNION ALL
+  SELECT t.k, CASE WHEN list_contains(seen, name) THEN seen ELSE list_distinct(list_concat(seen, names)) END, CASE WHEN NOT list_contains(seen, name) THEN t.root END, t.ord FROM walk w JOIN turn t ON t.k = w.k + 1),
+ fs AS MATERIALIZED (SELECT u.*, w.ord AS sequence FROM u JOIN walk w ON w.root = u.root)"""
+FLOW = f"""(WITH RECURSIVE {SEQUENCES_CTE}, first AS (SELECT {_ORD}, min(sequence) AS sequence, min(depth) AS depth, min(lpad(sequence::VARCHAR, 19, '0') || '.' || depth) AS step, bool_or(depth = 0) AS is_entry FROM fs GROUP BY ALL)
+ SELECT src, dst, v.caller_name, v.caller_file, v.callee_name, v.callee_file, v.callee_line, call_line, CASE WHEN args LIKE '["x%' THEN 2 ELSE 0 END AS n_args, sequence, depth, step || '.' || lpad(src::VARCHAR, 19, '0') || '.' || lpad(dst::VARCHAR, 19, '0') AS ord, is_entry
+ FROM {VERDICTS} v JOIN first f USING ({_ORD}) WHERE verdict = 'ok')"""
+KEYS = """(SELECT name, file, min(sequence) AS sequence, min(depth) AS depth, coalesce(min(call_line), 0) AS call_line, min(ord) AS first_seen, bool_or(is_entry) AS is_entry, max(c) = 0 OR max(k) = 0 AS is_terminal FROM (
+ SELECT sequence, depth, ord, caller_name AS name, caller_file AS file, CASE WHEN call_line > 0 THEN call_line END AS call_line, is_entry, 1 AS c, 0 AS k FROM fl UNION ALL SELECT sequence, depth, ord, callee_name, callee_file, NULL, false, 0, 1 FROM fl) t GROUP BY 1, 2)"""
 
-FLOW = f"""(SELECT src, dst, caller_name, caller_file, callee_name, callee_file, callee_line, call_line, CASE WHEN args LIKE '["x%' THEN 2 ELSE 0 END AS n_args, src % 6 AS sequence, dst % 3 AS depth, src * 1000000 + dst AS ord, src % 50 = 0 AS is_entry FROM {VERDICTS} v WHERE verdict = 'ok')"""
-KEYS = f"""(SELECT name, file, min(sequence) AS sequence, min(depth) AS depth, coalesce(min(call_line), 0) AS call_line, min(ord) AS first_seen, bool_or(is_entry) AS is_entry, max(c) = 0 OR max(k) = 0 AS is_terminal FROM (
- SELECT sequence, depth, ord, caller_name AS name, caller_file AS file, CASE WHEN call_line > 0 THEN call_line END AS call_line, is_entry, 1 AS c, 0 AS k FROM {FLOW} f UNION ALL SELECT sequence, depth, ord, callee_name, callee_file, NULL, false, 0, 1 FROM {FLOW} f) t GROUP BY 1, 2)"""
 
+@query("flow_sequences", f"WITH RECURSIVE {SEQUENCES_CTE} SELECT root, sequence, depth, {_ORD} FROM fs")
+def flow_sequences_query(d: Data):
+    return flow_sequences(d)
 
-@query("stage_keys", f"SELECT * FROM {KEYS} k")
+
+@query("stage_keys", f"WITH fl AS MATERIALIZED {FLOW} SELECT * FROM {KEYS} k")
 def stage_keys(d: Data):
     return G.stage_keys(flow_edges(d))
 
@@ -123,7 +152,7 @@ def _stages(d: Data):
 
 
 _IO = f"(SELECT b.id, i.kind FROM bodies b JOIN symbols s ON s.id = b.id JOIN ({_IO_SQL}) i ON i.path = b.path AND i.line_no BETWEEN b.from_line AND b.to_line WHERE s.label IN ('Function', 'Method'))"
-STAGES_CTE = f"""{_BODIES}, io AS MATERIALIZED {_IO}, fl AS MATERIALIZED {FLOW}, ky AS MATERIALIZED {KEYS.replace(FLOW, 'fl')},
+STAGES_CTE = f"""{_BODIES}, io AS MATERIALIZED {_IO}, fl AS MATERIALIZED {FLOW}, ky AS MATERIALIZED {KEYS},
  fx AS (SELECT k.*, s.id, s.start_line, s.return_type, CASE WHEN s.id % 5 IN (1, 2) THEN 1 ELSE 0 END AS typed, coalesce(a.n, 0) AS n_args, coalesce(o.n, 0) AS n_io, coalesce(o.reads, false) AS reads, coalesce(o.writes, false) AS writes
   FROM ky k LEFT JOIN symbols s ON s.name = k.name AND s.file = k.file LEFT JOIN (SELECT dst, count(*) AS n FROM fl WHERE n_args > 0 GROUP BY 1) a ON a.dst = s.id
   LEFT JOIN (SELECT id, count(*) AS n, bool_or(kind IN ('fs-read', 'config', 'env')) AS reads, bool_or(kind IN ('fs-write', 'stdout')) AS writes FROM io GROUP BY 1) o ON o.id = s.id),
@@ -163,9 +192,7 @@ def moves(d: Data):
 
 
 def _moves(d: Data):
-    # equal places keep the edge with arguments
-    edges = flow_edges(d).withColumn("ord", F.col("ord") * 10 - F.col("n_args"))
-    return G.transitions(edges, stages(d), shape_evidence(d)).withColumn("ord", F.ceil(F.col("ord") / 10))
+    return G.transitions(flow_edges(d), stages(d), shape_evidence(d))
 
 
 @query("transitions", f"WITH {MOVES_CTE} SELECT * FROM mv")
@@ -184,6 +211,28 @@ def dataflow_coverage(d: Data):
     return G.dataflow_coverage(s, moves(d), G.stage_keys(flow_edges(d)), symbol_io(d), types, bodies(d))
 
 
+def type_nodes(d: Data):
+    """All symbols as type nodes; half of the interfaces bear the name that signatures give a return type."""
+    return d("symbols").withColumn("name", F.when((F.col("label") == "Interface") & (F.col("id") % 8 == 3), F.col("return_type")).otherwise(F.col("name")))
+
+
+_TYPE_CLASS = "[A-Za-z_$][A-Za-z0-9_$]*"
+_TYPES = f"""tn AS (SELECT * REPLACE (CASE WHEN label = 'Interface' AND id % 8 = 3 THEN return_type ELSE name END AS name) FROM symbols WHERE label IN ('Interface', 'Class')),
+ rf AS (SELECT DISTINCT r FROM (SELECT unnest(regexp_extract_all(coalesce(CASE WHEN id % 5 = 1 THEN signature END, '') || ' ' || coalesce(return_type, ''), '{_TYPE_CLASS}')) AS r FROM symbols WHERE id IN (SELECT id FROM sg)) q WHERE regexp_matches(r, '^[A-Z]') AND r <> 'Map'),
+ tk AS (SELECT *, file IN (SELECT file FROM sg) AS staged FROM tn), t1 AS (SELECT *, 1 AS tier FROM tk WHERE name IN (SELECT r FROM rf) QUALIFY row_number() OVER (PARTITION BY name ORDER BY staged DESC, id) = 1),
+ ta AS (SELECT * FROM t1 UNION ALL SELECT *, 2 FROM tk WHERE staged AND label <> 'Class' AND name NOT IN (SELECT r FROM rf)),
+ tx AS (SELECT b.id, regexp_replace(string_agg(l.line, chr(10) ORDER BY l.line_no), '^\\s+|\\s+$', '', 'g') AS body FROM bodies b JOIN code_lines l ON l.path = b.path AND l.line_no BETWEEN b.from_line AND b.to_line WHERE b.id IN (SELECT id FROM ta) GROUP BY 1)"""
+
+
+@query("type_definitions", f"""WITH {STAGES_CTE}, {_TYPES} SELECT a.id, a.name, lower(a.label) AS kind, a.file, a.start_line, a.tier, CASE WHEN coalesce(body, '') <> '' THEN body
+ ELSE lower(a.label) || ' ' || a.name || '（定义体不可读；' || CASE a.tier WHEN 1 THEN '签名显式引用' ELSE '阶段文件内本地定义' END || '）' END AS text FROM ta a LEFT JOIN tx ON tx.id = a.id""")
+def type_definitions(d: Data):
+    staged = d("symbols").join(stages(d).select("id").distinct(), "id", "left_semi")
+    shapes = E.signature_census(staged).select("type").unionByName(staged.select(F.col("return_type").alias("type")))
+    refs = E.type_references(shapes.filter("type IS NOT NULL")).distinct()
+    return J.type_definitions(refs, type_nodes(d), stages(d).select("file"), d("code_lines"), starts=d("symbols"))
+
+
 def topic_members(d: Data):
     """A topic per three modules: its production files."""
     topic = F.concat(F.lit("t"), F.floor(F.regexp_extract("module", r"(\d+)", 1).cast("bigint") / 3))
@@ -266,8 +315,7 @@ def boundary_topic(d: Data):
 
 @query("name_topics")
 def name_topics(d: Data):
-    ranked = candidates(d).orderBy(F.col("weight").desc(), "id").limit(12)
-    topics = ranked.select("id", F.row_number().over(Window.orderBy(F.col("weight").desc(), "id")).alias("place"))
+    topics = select_topics(d).select("id", "place")
     label = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Cluster "), "id")).when(F.col("id") % 3 == 1, "m1").otherwise("a/b")
     labels = d("clusters").select("id", label.alias("label"))
     nodes = top_nodes(d).withColumn("node", F.when(F.col("id") % 2 == 0, F.concat(F.lit("Load"), F.regexp_replace("node", "fn_", ""))).otherwise(F.col("node")))

@@ -387,14 +387,3 @@ def module_relations(d: Data):
     from codeloom.operators.aggregate import module_boundaries
 
     return J.module_relations(module_boundaries(calls(d)), d("files").select("module"))
-
-
-@query("type_definitions", """WITH t AS (SELECT * FROM symbols WHERE label IN ('Interface', 'Class')), st AS (SELECT DISTINCT file FROM symbols WHERE id % 3 = 0), r AS (SELECT DISTINCT name FROM symbols WHERE id % 5 = 0),
- k AS (SELECT *, file IN (SELECT file FROM st) AS staged FROM t), c AS (SELECT *, 1 AS tier FROM k WHERE name IN (SELECT name FROM r) QUALIFY row_number() OVER (PARTITION BY name ORDER BY staged DESC, id) = 1),
- o AS (SELECT *, 2 AS tier FROM k WHERE staged AND label <> 'Class' AND name NOT IN (SELECT name FROM r)), a AS (SELECT * FROM c UNION ALL SELECT * FROM o),
- x AS (SELECT a.id, regexp_replace(string_agg(l.line, chr(10) ORDER BY l.line_no), '^\\s+|\\s+$', '', 'g') AS body FROM a JOIN code_lines l ON l.path = a.file AND l.line_no BETWEEN a.start_line AND CASE WHEN a.end_line > a.start_line THEN a.end_line ELSE a.start_line + 40 END GROUP BY 1)
- SELECT a.id, a.name, lower(a.label) AS kind, a.file, a.start_line, a.tier, CASE WHEN coalesce(body, '') = '' THEN lower(a.label) || ' ' || a.name || '（定义体不可读；' || CASE a.tier WHEN 1 THEN '签名显式引用' ELSE '阶段文件内本地定义' END || '）' WHEN length(body) > 1200 THEN substr(body, 1, 1200) || chr(10) || '// …（已截断）' ELSE body END AS text FROM a LEFT JOIN x ON x.id = a.id""")
-def type_definitions(d: Data):
-    refs = d("symbols").filter("id % 5 = 0").select(F.col("name").alias("reference")).distinct()
-    stages = d("symbols").filter("id % 3 = 0").select("file")
-    return J.type_definitions(refs, d("symbols"), stages, d("code_lines"), cap=None)

@@ -63,7 +63,7 @@ def report_api(d: Data):
     _sec("stage", "name || '@' || file", "role", _inner("build_stages")), _sec("transition", "caller_name || '→' || callee_name", "call_line", _inner("transitions"), "WHERE carries"),
     _sec("type", "name", "kind", _inner("type_definitions")), _sec("coverage", "counter", "n", _inner("dataflow_coverage"))))
 def report_data_flow(d: Data):
-    return R.data_flow(q_graph.stages(d), q_graph.moves(d), q_joins.type_definitions(d), q_graph.dataflow_coverage(d))
+    return R.data_flow(q_graph.stages(d), q_graph.moves(d), q_graph.type_definitions(d), q_graph.dataflow_coverage(d))
 
 
 @query("report_onboarding", _all(

@@ -108,3 +108,31 @@ def test_boundary_topic(spark):
     assert rows(H.boundary_topic(edges, files(*three, "src/core/c.test.ts", "src/web/d.ts"), shells()), "id", "file") == [("topic-services-core", p) for p in sorted(three)]
     assert H.boundary_topic(edges, files(*three), shells(*three)).count() == 0
     assert H.boundary_topic(edges, files(*three[:2]), shells()).count() == 0
+
+
+def test_flow_sequences_cover_later_entries_and_fill_up(spark):
+    pairs = [("a", "fa", "b", "fb"), ("b", "fb", "c", "fc"), ("c", "fc", "d", "fd"), ("d", "fd", "e", "fe"), ("h", "fh", "k", "fk"), ("x", "fx", "h", "fh"), ("b", "f2", "z", "fz")]
+    edges = spark.createDataFrame([(*p, 1, i, 100 + i) for i, p in enumerate(pairs)], "caller_name STRING, caller_file STRING, callee_name STRING, callee_file STRING, callee_line INT, src BIGINT, dst BIGINT")
+    point = lambda names: spark.createDataFrame([(n, f, i) for i, (n, f) in enumerate(names)], "name STRING, file STRING, ord INT")
+    # b and its namesake are met by a; c is met too; d is out of reach of a walk of two levels from a; "none" calls nothing
+    entries = point([("none", "fn"), ("a", "fa"), ("b", "f2"), ("b", "fb"), ("c", "fc"), ("d", "fd")])
+    got = H.flow_sequences(edges, entries, point([("c", "fc"), ("x", "fx"), ("h", "fh")]), least=3, depth=2)
+    assert rows(got, "root", "sequence", "depth", "callee_name") == [
+        ("a@fa", 1, 0, "b"), ("a@fa", 1, 1, "c"), ("d@fd", 5, 0, "e"), ("x@fx", 7, 0, "h"), ("x@fx", 7, 1, "k")]
+    # a chain of coverings: a meets b, so b does not cover what only b meets
+    chain = H.flow_sequences(edges, point([("a", "fa"), ("b", "fb"), ("d", "fd")]), point([("q", "q")]), least=0, depth=2)
+    assert {r["root"] for r in chain.collect()} == {"a@fa", "d@fd"}
+    facts = H.flow_facts(edges, got)
+    assert rows(facts, "caller_name", "sequence", "depth", "is_entry") == [("a", 1, 0, True), ("b", 1, 1, False), ("d", 5, 0, True), ("h", 7, 1, False), ("x", 7, 0, True)]
+    assert H.flow_sequences(edges.limit(0), entries, entries).count() == 0
+
+
+def test_open_types_are_read_to_their_end(spark):
+    body = ["interface Wide {", *[f"  field{i}: string" for i in range(60)], "}", "const after = 1"]
+    types = spark.createDataFrame([(1, "Wide", "Interface", "a.ts", 1, None)], "id BIGINT, name STRING, label STRING, file STRING, start_line INT, end_line INT")
+    asked = spark.createDataFrame([("Wide",)], "reference STRING")
+    stages = spark.createDataFrame([("a.ts",)], "file STRING")
+    text = J.type_definitions(asked, types, stages, code(spark, "a.ts", *body)).collect()[0]["text"]
+    assert "field59" in text and text.endswith("}")
+    short = J.type_definitions(asked, types, stages, code(spark, "a.ts", *body), text_cap=20).collect()[0]["text"]
+    assert short.startswith("interface Wide {\n  f") and "field9" not in short
