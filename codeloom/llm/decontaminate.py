@@ -6,14 +6,14 @@ joined by hash with those of the documents, so a question whose numbers or names
 Along each alignment of a document with an item the slot values must map one to one (and by type), else only windows
 with unchanged values count. Beside the templates, the unchanged words of every window, and of whole items that are
 shorter than a window, are joined in the same way, so that exact copies are found however many slots they hold. In
-scripts without spaces each character is a word. Before the join, document windows pass a bitmap of fixed size built from all benchmark
-windows, so that only possible hits leave the tasks.
+scripts without spaces each character is a word. Before the join, document windows pass a bitmap of fixed size built from
+all benchmark windows, so that only possible hits leave the tasks. Windows of many texts are hashed in one array.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -36,6 +36,8 @@ BROADCAST_WINDOWS = 200_000
 
 #: Words that a task remembers; then it starts anew, so that its memory does not grow with the corpus.
 KNOWN_WORDS = 100_000
+#: Characters of neighbouring texts whose windows are hashed at once.
+TOGETHER = 500_000
 
 LITERAL, NUMBER, UNIT, CAPITAL = 0, 1, 2, 3
 
@@ -104,29 +106,36 @@ class Vocabulary(dict):
             array[self.filled:n] = values[self.filled:]
         self.filled = n
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, kinds, hashes, plain hashes) of the words; slots of one kind share a hash."""
+    def template(self, *texts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, kinds, hashes, plain hashes) of the words of all texts in a row, and each text's number of words; slots
+        of one kind share a hash."""
         if len(self.text) > KNOWN_WORDS:
             self._reset()
-        ids = np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64)
+        parts = [np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64) for text in texts]
+        counts = np.array([len(p) for p in parts], np.int64)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         if self.filled < len(self.text):
             self._fill()
         kinds, hashes, ends = (a[ids] for a in self.arrays)
         first = np.concatenate(([True], ends[:-1]))[: len(ids)]
+        first[(np.cumsum(counts) - counts)[counts > 0]] = True
         kinds[(kinds == CAPITAL) & first] = LITERAL
         plain = hashes.copy()
         hashes[kinds != LITERAL] = kinds[kinds != LITERAL]
-        return ids, kinds, hashes, plain
+        return ids, kinds, hashes, plain, counts
 
-    def windows(self, text: str, lengths: list[int], known=None) -> Iterator[tuple[int, int, list[str], bool]]:
-        """(hash, place, slots, counts) of the windows of a text that known(hashes) lets pass; a slot is its type and value.
+    def windows(self, texts: list[str], lengths: list[int], known=None) -> Iterator[tuple[int, int, int, list[str], bool]]:
+        """(text's index, hash, place, slots, counts) of the texts' windows that known(hashes) lets pass; a slot is its type
+        and value.
 
         Each window comes with its unchanged words and no slots, and as a template if it has slots and literals enough.
-        counts: whether the window has literals enough.
+        counts: whether the window has literals enough. No window reaches from one text into the next.
         """
-        ids, kinds, hashes, plain = self.template(text)
+        ids, kinds, hashes, plain, counts = self.template(*texts)
         if not len(ids):
             return
+        text_of, text_start = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(ids))  # words from here to the end of the text
         literals_to = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
         up, down = _powers(max(12, len(ids).bit_length()))
         # sums of words times falling powers: each window of any length is one subtraction away
@@ -135,9 +144,10 @@ class Vocabulary(dict):
             n = len(ids) - length + 1
             if n < 1:
                 continue
+            inside = left[:n] >= length
             literals = literals_to[length:] - literals_to[:n]
             good = (literals >= min(LEAST_LITERALS, length - 1)) & (length >= LEAST_ITEM)
-            for to, start, places in ((sums[0], WINDOW + length, np.arange(n)), (sums[1], length, np.flatnonzero(good & (literals < length)))):
+            for to, start, places in ((sums[0], WINDOW + length, np.flatnonzero(inside)), (sums[1], length, np.flatnonzero(inside & good & (literals < length)))):
                 rolled = (to[places + length] - to[places]) * up[places + (length - 1)] + np.uint64(start * pow(int(_BASE), length, 1 << 64) % (1 << 64))
                 rolled ^= rolled >> np.uint64(29)
                 if known is not None:
@@ -145,7 +155,20 @@ class Vocabulary(dict):
                     places, rolled = places[passed], rolled[passed]
                 for at, value in zip(places.tolist(), rolled.view(np.int64).tolist()):
                     slots = [] if to is sums[0] else [f"{kinds[i]}:{self.text[ids[i]]}" for i in range(at, at + length) if kinds[i] != LITERAL]
-                    yield value, at, slots, bool(good[at])
+                    yield int(text_of[at]), value, int(at - text_start[text_of[at]]), slots, bool(good[at])
+
+
+def _together(texts: Iterable[str]) -> Iterator[tuple[int, list[str]]]:
+    """Neighbouring texts of about TOGETHER characters, with the place of the first; a longer text comes alone or last."""
+    start, size, block = 0, 0, []
+    for text in texts:
+        block.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield start, block
+            start, size, block = start + len(block), 0, []
+    if block:
+        yield start, block
 
 
 @lru_cache(maxsize=16)
@@ -166,7 +189,7 @@ def _item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFra
                 n = len(words.template(text)[0])
                 if n:
                     length = min(n, WINDOW)
-                    made = list(words.windows(text, [length]))
+                    made = [w[1:] for w in words.windows([text], [length])]
                     counted = len({at for _, at, _, counts in made if counts})
                     rows += [(item, length, *w, n - length + 1, counted) for w in made]
             yield pd.DataFrame(rows, columns=["item", "length", "hash", "place", "slots", "counts", "item_windows", "templates"])
@@ -185,9 +208,9 @@ def _doc_windows(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataF
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Vocabulary()
         for frame in frames:
-            for start in range(0, len(frame), 500):
-                part = frame.iloc[start:start + 500]
-                rows = [(key, *w[:3]) for key, text in zip(part["key"], part["text"]) for w in words.windows(text, lengths, known)]
+            keys = frame["key"].tolist()
+            for start, block in _together(frame["text"]):
+                rows = [(keys[start + i], *w) for i, *w, _ in words.windows(block, lengths, known)]
                 yield pd.DataFrame(rows, columns=["key", "hash", "place", "slots"])
 
     return docs.select("key", "text").mapInPandas(build, "key string, hash long, place long, slots array<string>")

@@ -47,3 +47,12 @@ def test_every_exact_copy_is_found(spark):
     assert got == {(str(i), str(i), "copy") for i in range(len(items))}
     whole = {r.item: r.share for r in d.leaks(docs(spark, texts), bench).collect()}
     assert set(whole.values()) == {1.0}
+
+
+def test_texts_hashed_together_give_the_windows_of_each():
+    texts = [ITEM, "", "one", SHORT, "Tom has 5 apples. Tom buys 3 apples.", "*** !", ITEM.upper(), "word " * 50 + ITEM]
+    lengths = [1, 3, 8]
+    together = sorted((i, *map(repr, w)) for i, *w in d.Vocabulary().windows(texts, lengths))
+    alone = sorted((i, *map(repr, w)) for i, text in enumerate(texts) for _, *w in d.Vocabulary().windows([text], lengths))
+    assert together == alone and {i for i, *_ in together} == {0, 2, 3, 4, 6, 7}
+    assert [x for x in d._together(["a" * d.TOGETHER, "b", "c"])] == [(0, ["a" * d.TOGETHER]), (1, ["b", "c"])]
