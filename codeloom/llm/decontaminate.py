@@ -35,7 +35,7 @@ BLOCKS, BLOCK_BITS = 256, 32_768
 BROADCAST_WINDOWS = 200_000
 
 #: Words that a task remembers; then it starts anew, so that its memory does not grow with the corpus.
-KNOWN_WORDS = 100_000
+KNOWN_WORDS = 250_000
 #: Characters of neighbouring texts whose windows are hashed at once.
 TOGETHER = 500_000
 
@@ -84,12 +84,11 @@ class Vocabulary(dict):
         at = self.ids.get(key)
         if at is None:
             low = word.lower()
-            if low in _SLOT_WORDS:
-                kind = _SLOT_WORDS[low]
-            elif word[0].isdigit():
-                kind = NUMBER
-            else:
-                kind = CAPITAL if word != low and word[0].isupper() and word[1:].islower() else LITERAL
+            kind = _SLOT_WORDS.get(low)
+            if kind is None and word == low:
+                kind = NUMBER if word[0].isdigit() else LITERAL
+            elif kind is None:
+                kind = CAPITAL if word[0].isupper() and word[1:].islower() else LITERAL
             at = self.ids[key] = len(self.text)
             self.text.append(low)
             self.kind.append(kind)
