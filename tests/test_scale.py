@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.operators import joins as J
+import random
+
+from codeloom.operators import joins as J, similarity as S
 
 
 def test_mentions_broadcast_no_words(spark, tmp_path):
@@ -11,3 +13,25 @@ def test_mentions_broadcast_no_words(spark, tmp_path):
     hits = J.mentions(names, spark.read.parquet(str(tmp_path / "texts")), "command")
     assert "BroadcastExchange" not in hits._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["name"], r["id"]) for r in hits.collect()) == [("@s/p3", i) for i in range(50) if i % 7 == 3]
+
+
+def test_small_sets_meet_by_two_elements(spark):
+    rng = random.Random(5)
+    sets = {}
+    for i in range(160):  # sizes on both sides of PAIRED, with near copies
+        base = sets[rng.randrange(i)] if i and rng.random() < 0.5 else set(rng.sample(range(40), rng.choice((1, 2, 3, 4, 5, 7, 8, 9, 12, 15))))
+        sets[i] = {x for x in base if rng.random() < 0.9} | set(rng.sample(range(40), rng.randrange(3))) or {rng.randrange(40)}
+    df = spark.createDataFrame([(k, str(x)) for k, v in sets.items() for x in v], "k long, e string")
+    first = {k: min(j for j in sets if sets[j] == sets[k]) for k in sets}
+    for t, strict in ((0.5, True), (0.5, False), (0.6, False), (0.8, False)):
+        score = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and first[a] == a and first[b] == b}
+        want = {p for p, j in score.items() if (j > t if strict else j >= t - 1e-12)}
+        found = S.jaccard_sets(S.set_groups(df, "k", "e")[1], t, strict).collect()
+        assert len(found) == len(want) and {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in found} == want
+
+
+def test_pairs_of_frequent_elements_are_rare(spark):
+    # lines of a grid: every element stands in 22 sets, but no two sets share two of them
+    rows = [(23 * a + b, f"{x}:{(a * x + b) % 23}", x, 22, 4) for a in range(1, 23) for b in range(23) for x in range(4)]
+    placed = spark.createDataFrame([(k, e, 4, x + 1) for k, e, x, _, _ in rows], "set_id long, element string, size long, pos int")
+    assert S._by_pairs(placed, 0.5, True, S.PAIRED).isEmpty()
