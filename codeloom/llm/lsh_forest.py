@@ -234,9 +234,9 @@ def _still_crowded(members: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id, n, place, central): the rarest shingles of each set, so many that linked sets share one.
+    """(id, n, central, keys): the rarest shingles of each set, the rarest first, so many that linked sets share one.
 
-    place: the shingle's place in the set, the rarest first; central: how common the set's shingles are on the average.
+    central: how common the set's shingles are on the average.
     """
     slot = F.col("s").bitwiseAND(F.lit(COUNTERS - 1))
     counts = sets.select(F.explode("shingles").alias("s")).groupBy(slot.alias("slot")).count()
@@ -257,9 +257,9 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 s = np.asarray(shingles, np.int64)
                 n, times = len(s), often[s & (COUNTERS - 1)]
                 keep = n - -(-percent * n // 100) + 1
-                yield pd.DataFrame({"key": s[np.lexsort((s, times))[:keep]], "id": id_, "n": n, "place": np.arange(keep), "central": int(1000 * times.mean())})
+                yield pd.DataFrame({"id": [id_], "n": [n], "central": [int(1000 * times.mean())], "keys": [s[np.lexsort((s, times))[:keep]]]})
 
-    return sets.select("id", "shingles").mapInPandas(build, "key long, id long, n long, place long, central long")
+    return sets.select("id", "shingles").mapInPandas(build, "id long, n long, central long, keys array<long>")
 
 
 def _may_link(percent: int):
@@ -271,7 +271,7 @@ def _may_link(percent: int):
 def _open_prefixes(prefixes: DataFrame, of: DataFrame) -> DataFrame:
     """The rows whose shingle sets of different components share, with the commonest component of such a shingle, the
     number of rows outside it (others), and the most central set."""
-    rows = saved(prefixes.join(of, "id"), "labelled-prefixes")
+    rows = saved(prefixes.join(of, "id").select("id", "n", "central", "label", F.posexplode("keys").alias("place", "key")), "labelled-prefixes")
     by_label = rows.groupBy("key", "label").agg(F.count("*").alias("k"), F.max(F.struct("central", "id", "n", "place", "label")).alias("hub"))
     facts = by_label.groupBy("key").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("top"), F.max("hub").alias("hub"), F.count("*").alias("labels")).filter("labels > 1")
     facts = saved(facts.select("key", "size", F.col("top.label").alias("most"), (F.col("size") - F.col("top.k")).alias("others"), "hub"), "open-shingles")
