@@ -34,8 +34,9 @@ BLOCKS, BLOCK_BITS = 256, 32_768
 #: Up to this many benchmark windows the join is a broadcast; beyond it the planner decides.
 BROADCAST_WINDOWS = 200_000
 
-#: Words that a task remembers; then it starts anew, so that its memory does not grow with the corpus.
-KNOWN_WORDS = 250_000
+#: Words, and chunks between white space, that a task remembers; then it starts anew, so that its memory (some 30 MB) does
+#: not grow with the corpus.
+KNOWN_WORDS = 40_000
 #: Characters of neighbouring texts whose windows are hashed at once.
 TOGETHER = 500_000
 
@@ -108,7 +109,7 @@ class Vocabulary(dict):
     def template(self, *texts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, kinds, hashes, plain hashes) of the words of all texts in a row, and each text's number of words; slots
         of one kind share a hash."""
-        if len(self.text) > KNOWN_WORDS:
+        if max(len(self), len(self.text)) > KNOWN_WORDS:
             self._reset()
         parts = [np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64) for text in texts]
         counts = np.array([len(p) for p in parts], np.int64)

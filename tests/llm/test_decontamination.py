@@ -56,3 +56,10 @@ def test_texts_hashed_together_give_the_windows_of_each():
     alone = sorted((i, *map(repr, w)) for i, text in enumerate(texts) for _, *w in d.Vocabulary().windows([text], lengths))
     assert together == alone and {i for i, *_ in together} == {0, 2, 3, 4, 6, 7}
     assert [x for x in d._together(["a" * d.TOGETHER, "b", "c"])] == [(0, ["a" * d.TOGETHER]), (1, ["b", "c"])]
+
+
+def test_vocabulary_forgets_chunks_of_few_words():
+    words = d.Vocabulary()
+    for at in range(0, 4 * d.KNOWN_WORDS, 1000):
+        words.template(" ".join(f"word{'-' * (i % 400)}{'+' * (i // 400)}" for i in range(at, at + 1000)))
+        assert len(words) <= d.KNOWN_WORDS + 1000 and len(words.text) <= d.KNOWN_WORDS + 1000
