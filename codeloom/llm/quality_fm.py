@@ -129,12 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Labels other than 0 and 1 and ids without text row are ignored; of several labels of an id the mean counts.
     """
 
-    @F.pandas_udf("struct<entries:array<int>,values:array<float>>")
+    # as bytes, since the driver would hold lists as one Python object for each number
+    @F.pandas_udf("struct<entries:binary,values:binary>")
     def vector(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         bins = _Bins()
         for series, recorded in texts:
             made = [features(t, r, bins) for t, r in zip(series, recorded)]
-            yield pd.DataFrame({"entries": [e.astype(np.int32) for e, _ in made], "values": [v.astype(np.float32) for _, v in made]})
+            yield pd.DataFrame({"entries": [e.astype("<i4").tobytes() for e, _ in made], "values": [v.astype("<f4").tobytes() for _, v in made]})
 
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).filter("y IN (0, 1)").filter(~held_out(F.col("_id")))
     chosen = usable.groupBy("_id").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -146,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Machine()
     y = np.array([r["y"] for r in rows])
     rate = np.clip(y.mean(), 0.01, 0.99)
-    return Machine(float(np.log(rate / (1 - rate)))).fit([(np.array(r["f"]["entries"], np.int64), np.array(r["f"]["values"], float)) for r in rows], y)
+    return Machine(float(np.log(rate / (1 - rate)))).fit([(np.frombuffer(r["f"]["entries"], "<i4"), np.frombuffer(r["f"]["values"], "<f4")) for r in rows], y)
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

@@ -66,3 +66,13 @@ def test_document_frequencies_count_all_rows(spark):
     seen, n = langid._document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
     want = sum((langid.counts(t) > 0).astype(int) for t in texts[:2])
     assert n == 2 and (seen == want).all()
+
+
+def test_training_rows_reach_the_driver_as_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_fm.Machine, "fit", lambda self, rows, y: seen.extend(rows) or self)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    quality_fm.train(docs(spark, [(i, f"some words of text {i}") for i in range(40)]), labels)
+    assert seen and all(isinstance(a.base, bytes) for row in seen for a in row)
+    entries, values = quality_fm.features(b"some words of text 1", None, quality_fm._Bins())
+    assert any(e.tolist() == entries.tolist() and np.allclose(v, values) for e, v in seen)
