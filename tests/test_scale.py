@@ -35,3 +35,13 @@ def test_pairs_of_frequent_elements_are_rare(spark):
     rows = [(23 * a + b, f"{x}:{(a * x + b) % 23}", x, 22, 4) for a in range(1, 23) for b in range(23) for x in range(4)]
     placed = spark.createDataFrame([(k, e, 4, x + 1) for k, e, x, _, _ in rows], "set_id long, element string, size long, pos int")
     assert S._by_pairs(placed, 0.5, True, S.PAIRED).isEmpty()
+
+
+def test_forms_are_looked_up_by_their_rarest_word(spark):
+    forms = spark.createDataFrame([(f"evt-w{i}", "any", f"evt-w{i}", False, p) for i in range(9) for p in ("evt", f"w{i}")] + [("evt-gone", "any", "evt-gone", False, "evt"), ("evt-gone", "any", "evt-gone", False, "gone")], "name string, side string, form string, plain boolean, part string")
+    words = spark.createDataFrame([("evt", 9)] + [(f"w{i}", 1) for i in range(9)], "word string, n long")
+    got = J._rarest_part(forms, J.substrings(words, forms), words).collect()
+    assert sorted((r["form"], r["part"]) for r in got) == [(f"evt-w{i}", f"w{i}") for i in range(9)]
+    lines = spark.createDataFrame([(f"f{i}.ts", 1, f"emit('evt-w{i}', x);") for i in range(9)], "path string, line_no int, line string")
+    found = J.verify_absence(spark.createDataFrame([(f"evt-w{i}", "any") for i in range(8)] + [("w-evt", "any"), ("evt-gone", "any")], "name string, side string"), lines).collect()
+    assert {(r["name"], r["verdict"], r["path"]) for r in found} == {(f"evt-w{i}", "suspect", f"f{i}.ts") for i in range(8)} | {("w-evt", "confirmed", None), ("evt-gone", "confirmed", None)}
