@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from codeloom.operators import joins as J, similarity as S
+from codeloom.operators import joins as J, quality as Q, similarity as S
+from codeloom.operators.lines import rebuild
 
 
 def test_mentions_broadcast_no_words(spark, tmp_path):
@@ -45,3 +46,14 @@ def test_forms_are_looked_up_by_their_rarest_word(spark):
     lines = spark.createDataFrame([(f"f{i}.ts", 1, f"emit('evt-w{i}', x);") for i in range(9)], "path string, line_no int, line string")
     found = J.verify_absence(spark.createDataFrame([(f"evt-w{i}", "any") for i in range(8)] + [("w-evt", "any"), ("evt-gone", "any")], "name string, side string"), lines).collect()
     assert {(r["name"], r["verdict"], r["path"]) for r in found} == {(f"evt-w{i}", "suspect", f"f{i}.ts") for i in range(8)} | {("w-evt", "confirmed", None), ("evt-gone", "confirmed", None)}
+
+
+def test_secret_patterns_read_a_rebuilt_page_once(spark):
+    rows = [("a", 1, "clean"), ("a", 2, "x AKIA" + "0" * 16), ("a", 3, "sk-" + "a" * 25), ("b", 1, "clean"), ("b", 2, None), ("c", 1, "AKIA" + "Z" * 16 + " end")]
+    rows += [("d", 1, "ghp_" + "b" * 20), ("e", 1, "xoxb-" + "1" * 10), ("f", 1, "Token = '" + "c" * 32 + "'"), ("g", 1, 'API_KEY:"' + "c" * 32 + '"')]
+    found = Q.rule_secret(rebuild(spark.createDataFrame(rows, "page string, line_no int, line string")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[0-9A-Z]{16}") == 1 and plan.count("array_join") == 1
+    assert {(r["page"], r["message"]) for r in found.collect()} == {("a", "OpenAI API Key（第 3 行，值不回显）"), ("c", "AWS Access Key（第 1 行，值不回显）"), ("d", "GitHub Token（第 1 行，值不回显）"),
+                                                                   ("e", "Slack Token（第 1 行，值不回显）"), ("f", "疑似密钥赋值（第 1 行，值不回显）"), ("g", "疑似密钥赋值（第 1 行，值不回显）")}
+    assert Q.rule_secret(spark.createDataFrame([("a", None), ("b", "")], "page string, content string")).isEmpty()
