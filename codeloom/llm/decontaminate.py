@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,9 +33,9 @@ BLOCKS, BLOCK_BITS = 256, 32_768
 #: Up to this many benchmark windows the join is a broadcast; beyond it the planner decides.
 BROADCAST_WINDOWS = 200_000
 
-#: Words, and chunks between white space, that a task remembers; then it starts anew, so that its memory (some 30 MB) does
-#: not grow with the corpus.
-KNOWN_WORDS = 40_000
+#: Chunks between white space, and possible slot words, that a task remembers; then it starts anew, so that its memory
+#: does not grow with the corpus. Longer chunks, as in scripts without spaces, are not remembered.
+KNOWN_WORDS, LONGEST_CHUNK = 100_000, 64
 #: Characters of neighbouring texts whose windows are hashed at once.
 TOGETHER = 500_000
 
@@ -55,74 +54,54 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Vocabulary(dict):
-    """Chunks between white space, each with the ids of its words; what is known of a word is held by id."""
+    """Chunks between white space, each with its words as eight bytes: hash, kind, and whether the word ends a sentence."""
 
     def __init__(self):
         super().__init__()
-        self._reset()
-
-    def _reset(self) -> None:
-        self.clear()
-        self.ids: dict[str, int] = {}
-        self.text: list[str] = []
-        self.kind: list[int] = []
-        self.hash: list[int] = []
-        self.ends: list[bool] = []
-        self.filled = 0
-        self.arrays = np.zeros(1024, np.int8), np.zeros(1024, np.uint64), np.zeros(1024, bool)
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        #: Words that may be slots, by hash.
+        self.text: dict[int, str] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha():
-            out = (self._id(chunk, False),)
-        else:
-            words, end = _TOKEN.findall(chunk), _END.search(chunk) is not None
-            out = tuple([self._id(w, end and i == len(words) - 1) for i, w in enumerate(words)])
+            return self._remember(chunk, self._packed(chunk, False))
+        stem, last = chunk[:-1], chunk[-1]
+        if last in ".,;:!?" and stem.isascii() and stem.isalpha():
+            return self._remember(chunk, self._packed(stem, last not in ",;"))
+        words, end = _TOKEN.findall(chunk), _END.search(chunk) is not None
+        out = b"".join([self._packed(w, end and i == len(words) - 1) for i, w in enumerate(words)])
+        return self._remember(chunk, out) if len(chunk) <= LONGEST_CHUNK else out
+
+    def _remember(self, chunk: str, out: bytes) -> bytes:
         self[chunk] = out
         return out
 
-    def _id(self, word: str, end: bool) -> int:
-        key = word + "." if end else word
-        at = self.ids.get(key)
-        if at is None:
-            low = word.lower()
-            kind = _SLOT_WORDS.get(low)
-            if kind is None and word == low:
+    def _packed(self, word: str, end: bool) -> bytes:
+        low = word.lower()
+        value = xxhash.xxh64_intdigest(low) >> 3
+        kind = _SLOT_WORDS.get(low)
+        if kind is None:
+            if word == low:
                 kind = NUMBER if word[0].isdigit() else LITERAL
-            elif kind is None:
+            else:
                 kind = CAPITAL if word[0].isupper() and word[1:].islower() else LITERAL
-            at = self.ids[key] = len(self.text)
-            self.text.append(low)
-            self.kind.append(kind)
-            self.hash.append(xxhash.xxh64_intdigest(low))
-            self.ends.append(end)
-        return at
-
-    def _fill(self) -> None:
-        """Brings the arrays up to the words seen so far."""
-        n = len(self.text)
-        if n > len(self.arrays[0]):
-            self.arrays = tuple(np.concatenate((a, np.zeros(max(n, len(a)), a.dtype))) for a in self.arrays)
-        for array, values in zip(self.arrays, (self.kind, self.hash, self.ends)):
-            array[self.filled:n] = values[self.filled:]
-        self.filled = n
-
-    def template(self, *texts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, kinds, hashes, plain hashes) of the words of all texts in a row, and each text's number of words; slots
-        of one kind share a hash."""
+        if kind != LITERAL:
+            self.text[value] = low
+        return (value << 3 | kind << 1 | end).to_bytes(8, "little")
+
+    def template(self, *texts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(kinds, hashes, plain hashes) of the words of all texts in a row, and each text's number of words; slots of one
+        kind share a hash."""
         if max(len(self), len(self.text)) > KNOWN_WORDS:
-            self._reset()
-        parts = [np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64) for text in texts]
-        counts = np.array([len(p) for p in parts], np.int64)
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        if self.filled < len(self.text):
-            self._fill()
-        kinds, hashes, ends = (a[ids] for a in self.arrays)
-        first = np.concatenate(([True], ends[:-1]))[: len(ids)]
+            self.clear()
+            self.text.clear()
+        parts = [b"".join(map(self.__getitem__, text.split())) for text in texts]
+        counts = np.array([len(p) // 8 for p in parts], np.int64)
+        words = np.frombuffer(b"".join(parts), "<u8")
+        kinds, plain, ends = (words >> np.uint64(1) & np.uint64(3)).astype(np.int8), words >> np.uint64(3), words & np.uint64(1) == 1
+        first = np.concatenate(([True], ends[:-1]))[: len(words)]
         first[(np.cumsum(counts) - counts)[counts > 0]] = True
         kinds[(kinds == CAPITAL) & first] = LITERAL
-        plain = hashes.copy()
-        hashes[kinds != LITERAL] = kinds[kinds != LITERAL]
-        return ids, kinds, hashes, plain, counts
+        return kinds, np.where(kinds == LITERAL, plain, kinds.astype(np.uint64)), plain, counts
 
     def windows(self, texts: list[str], lengths: list[int], known=None) -> Iterator[tuple[int, int, int, list[str], bool]]:
         """(text's index, hash, place, slots, counts) of the texts' windows that known(hashes) lets pass; a slot is its type
@@ -131,17 +110,17 @@ class Vocabulary(dict):
         Each window comes with its unchanged words and no slots, and as a template if it has slots and literals enough.
         counts: whether the window has literals enough. No window reaches from one text into the next.
         """
-        ids, kinds, hashes, plain, counts = self.template(*texts)
-        if not len(ids):
+        kinds, hashes, plain, counts = self.template(*texts)
+        if not len(kinds):
             return
         text_of, text_start = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
-        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(ids))  # words from here to the end of the text
+        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(kinds))  # words from here to the end of the text
         literals_to = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
-        up, down = _powers(max(12, len(ids).bit_length()))
+        up, down = _powers(max(12, len(kinds).bit_length()))
         # sums of words times falling powers: each window of any length is one subtraction away
-        sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * down[:len(ids)]))) for words in (plain, hashes)]
+        sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * down[:len(kinds)]))) for words in (plain, hashes)]
         for length in lengths:
-            n = len(ids) - length + 1
+            n = len(kinds) - length + 1
             if n < 1:
                 continue
             inside = left[:n] >= length
@@ -154,7 +133,7 @@ class Vocabulary(dict):
                     passed = known(rolled)
                     places, rolled = places[passed], rolled[passed]
                 for at, value in zip(places.tolist(), rolled.view(np.int64).tolist()):
-                    slots = [] if to is sums[0] else [f"{kinds[i]}:{self.text[ids[i]]}" for i in range(at, at + length) if kinds[i] != LITERAL]
+                    slots = [] if to is sums[0] else [f"{kinds[i]}:{self.text[int(plain[i])]}" for i in range(at, at + length) if kinds[i] != LITERAL]
                     yield int(text_of[at]), value, int(at - text_start[text_of[at]]), slots, bool(good[at])
 
 

@@ -63,3 +63,21 @@ def test_vocabulary_forgets_chunks_of_few_words():
     for at in range(0, 4 * d.KNOWN_WORDS, 1000):
         words.template(" ".join(f"word{'-' * (i % 400)}{'+' * (i // 400)}" for i in range(at, at + 1000)))
         assert len(words) <= d.KNOWN_WORDS + 1000 and len(words.text) <= d.KNOWN_WORDS + 1000
+
+
+def test_long_chunks_are_not_remembered():
+    """Texts in scripts without spaces are one chunk each; they must not stay in a task's memory."""
+    words = d.Vocabulary()
+    for at in range(40):
+        assert len(words.template(chr(0x4E00 + at) * 5000)[0]) == 5000
+    words.template("Apple. pear, fig: \"plum.\" 今天")
+    assert set(words) == {"Apple.", "pear,", "fig:", "\"plum.\"", "今天"}
+    assert sum(len(chunk) + len(packed) for chunk, packed in words.items()) < 200
+
+
+def test_sentence_ends_and_slots_of_packed_words():
+    kinds = lambda text: d.Vocabulary().template(text)[0].tolist()
+    assert kinds("Tom met Anna. Bob (Eve) ran, Zoe; Kim: Lea! Max? Ida") == [0, 0, 3, 0, 3, 0, 3, 3, 0, 0, 0]
+    assert kinds("He said \"Go.\" Then 5 km and 3.5 tons") == [0, 0, 3, 0, 1, 2, 0, 1, 2]
+    slots = [w[3] for w in d.Vocabulary().windows(["we saw Anna walk 12 km to the old mill"], [8]) if w[3]]
+    assert ["3:anna", "1:12", "2:km"] in slots
