@@ -17,6 +17,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_SHARE = 1000
 
 
+#: Rows of a batch between the JVM and a Python task, where rows are whole texts.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Texts go to Python tasks at most BATCH_ROWS at a time, which bounds the copies that both sides hold; a smaller
+    setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _shipped: set[str] = set()
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.llm import decontaminate, exact_dedup, lsh_forest, mixing, quality_fm
-from codeloom.llm.common import saved, ship
+from codeloom.llm.common import saved, ship, short_batches
 from codeloom.llm.queries import table
 
 #: Columns that the last stage adds; columns of the same names in docs give way to them.
@@ -19,6 +19,7 @@ MIX = ("mix_source_size", "mix_target", "mix_taken", "mix_repeats")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     ship(spark)
+    short_batches(spark)
     return quality_fm.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -30,12 +31,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest id."""
     ship(spark)
+    short_batches(spark)
     return lsh_forest.keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with the benchmark."""
     ship(spark)
+    short_batches(spark)
     return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -56,3 +56,21 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
         last = corpus_pipeline.STAGES[-1][1](spark, current, SF)
         assert set(corpus_pipeline.MIX) < set(last.columns)
         last.collect()
+
+
+def test_texts_go_to_python_in_short_batches(spark):
+    from codeloom.llm import common
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("64", "64")):
+            spark.conf.set(key, given)
+            common.short_batches(spark)
+            assert spark.conf.get(key) == want
+        spark.conf.set(key, "10000")
+        empty = docs(spark, [])
+        corpus_pipeline.quality(spark, empty, SF)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)
