@@ -57,3 +57,21 @@ def test_secret_patterns_read_a_rebuilt_page_once(spark):
     assert {(r["page"], r["message"]) for r in found.collect()} == {("a", "OpenAI API Key（第 3 行，值不回显）"), ("c", "AWS Access Key（第 1 行，值不回显）"), ("d", "GitHub Token（第 1 行，值不回显）"),
                                                                    ("e", "Slack Token（第 1 行，值不回显）"), ("f", "疑似密钥赋值（第 1 行，值不回显）"), ("g", "疑似密钥赋值（第 1 行，值不回显）")}
     assert Q.rule_secret(spark.createDataFrame([("a", None), ("b", "")], "page string, content string")).isEmpty()
+
+
+def test_sets_with_common_elements_meet_in_bounded_tasks(spark, monkeypatch):
+    """Tails that hundreds of sets share: meetings are dealt over tasks, and no pair is counted by grouping."""
+    monkeypatch.setattr(S, "MEETINGS", 50)
+    rng = random.Random(11)
+    sets = {i: {f"own{i // 3}", f"file{i}"} | {f"x{j}" for j in range(rng.choice((8, 9, 12, 16)))} for i in range(90)}
+    sets |= {100 + i: {f"y{j}" for j in range(70 + i)} for i in range(4)}  # beyond AT_HAND
+    df = spark.createDataFrame([(k, x) for k, v in sets.items() for x in v], "k long, e string")
+    plans, at_hand = [], S._at_hand
+    monkeypatch.setattr(S, "_at_hand", lambda *a: plans.append(at_hand(*a)) or plans[-1])
+    for t in (0.6, 0.8):
+        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t - 1e-12}
+        found = S.jaccard_sets(S.set_groups(df, "k", "e")[1], t).collect()
+        assert len(found) == len(want) and {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in found} == want
+    for near in plans:
+        assert not near.isEmpty() and near.distinct().count() == near.count()
+        assert "Aggregate" not in near._jdf.queryExecution().optimizedPlan().toString() and near.rdd.getNumPartitions() > 8
