@@ -147,8 +147,8 @@ def word_files(lines: DataFrame, pattern: str = r"[A-Za-z_$][A-Za-z0-9_$]*") ->
 def lexical_use_count(names: DataFrame, lines: DataFrame) -> DataFrame:
     """Number of files that mention each name as a whole word."""
     wanted = names.select("name").distinct()
-    words = word_files(lines).join(wanted, F.col("word") == F.col("name"), "left_semi")
-    counts = words.groupBy(F.col("word").alias("name")).agg(F.count("*").alias("files"))
+    # paths end at the count: it meets the names as one row for each word
+    counts = word_files(lines).groupBy(F.col("word").alias("name")).agg(F.count("*").alias("files"))
     return wanted.join(counts, "name", "left").select("name", F.coalesce("files", F.lit(0)).alias("files"))
 
 

@@ -75,3 +75,13 @@ def test_sets_with_common_elements_meet_in_bounded_tasks(spark, monkeypatch):
     for near in plans:
         assert not near.isEmpty() and near.distinct().count() == near.count()
         assert "Aggregate" not in near._jdf.queryExecution().optimizedPlan().toString() and near.rdd.getNumPartitions() > 8
+
+
+def test_paths_end_before_words_meet_names(spark):
+    from codeloom.operators.extract_web import lexical_use_count
+
+    lines = spark.createDataFrame([("a.ts", "load load x"), ("a.ts", "load()"), ("b.ts", "x.load"), ("c.ts", "loader")], "path string, line string")
+    found = lexical_use_count(spark.createDataFrame([("load",), ("none",), ("load",)], "name string"), lines)
+    assert {(r["name"], r["files"]) for r in found.collect()} == {("load", 2), ("none", 0)} and found.count() == 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.index("Join ") < plan.index("path#")
