@@ -85,3 +85,13 @@ def test_paths_end_before_words_meet_names(spark):
     assert {(r["name"], r["files"]) for r in found.collect()} == {("load", 2), ("none", 0)} and found.count() == 2
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.index("Join ") < plan.index("path#")
+
+
+def test_trusted_edges_are_those_found_ok(spark):
+    rows = [("a.ts", "f", "b.ts"), ("a.ts", "g", "b.ts"), ("a.ts", "f", "b.rs"), ("a.ts", "f", "b.ts"), ("x.json", "f", "b.ts"), ("gone.ts", "g", "b.ts"), (None, "f", "b.ts"), ("a.ts", None, "b.ts"), ("gone.ts", None, "b.ts")]
+    edges = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "src int, caller_file string, callee_name string, callee_file string")
+    lines = spark.createDataFrame([("a.ts", "call f(1)"), ("b.ts", "g()")], "path string, line string")
+    ok = sorted(r["src"] for r in J.trust_edges(edges, lines).filter("verdict = 'ok'").collect())
+    found = J.trusted_edges(edges, lines)
+    assert sorted(r["src"] for r in found.collect()) == ok == [0, 3, 5]
+    assert "non-code" not in found._jdf.queryExecution().optimizedPlan().toString()
