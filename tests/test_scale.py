@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from codeloom.operators import joins as J, quality as Q, similarity as S
+from codeloom.operators import extract_code as E, joins as J, quality as Q, similarity as S
 from codeloom.operators.lines import rebuild
 
 
@@ -95,3 +95,14 @@ def test_trusted_edges_are_those_found_ok(spark):
     found = J.trusted_edges(edges, lines)
     assert sorted(r["src"] for r in found.collect()) == ok == [0, 3, 5]
     assert "non-code" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_imports_of_scripts_and_styles_are_found_in_one_read(spark, tmp_path):
+    rows = [
+        ("a.ts", 1, "import x from '@s/p1'; require('p2')"), ("a.ts", 2, "@import url('p3');"), ("b.css", 1, "@import url('p4');"),
+        ("b.css", 2, "@import 'p5'; @import 'p6'; import y from 'p7'"), ("c.md", 1, "import z from 'p8'"), ("d.CSS", 1, "@import './no'"), ("e.ts", 1, None), ("f.css", 1, None)]
+    spark.createDataFrame(rows, "path string, line_no int, line string").write.parquet(str(tmp_path / "lines"))
+    found = E.import_specifiers(spark.read.parquet(str(tmp_path / "lines")))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted((r["path"], r["line_no"], r["match_no"], r["specifier"]) for r in found.collect()) == [
+        ("a.ts", 1, 0, "@s/p1"), ("a.ts", 1, 1, "p2"), ("b.css", 1, 0, "p4"), ("b.css", 2, 0, "p5"), ("b.css", 2, 1, "p6")]
