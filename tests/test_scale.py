@@ -106,3 +106,10 @@ def test_imports_of_scripts_and_styles_are_found_in_one_read(spark, tmp_path):
     assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert sorted((r["path"], r["line_no"], r["match_no"], r["specifier"]) for r in found.collect()) == [
         ("a.ts", 1, 0, "@s/p1"), ("a.ts", 1, 1, "p2"), ("b.css", 1, 0, "p4"), ("b.css", 2, 0, "p5"), ("b.css", 2, 1, "p6")]
+
+
+def test_channel_stats_makes_its_lines_once(spark):
+    from codeloom.plans import catalog
+
+    plan = catalog.all_queries()["channel_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(text" not in plan
