@@ -136,3 +136,15 @@ def test_open_types_are_read_to_their_end(spark):
     assert "field59" in text and text.endswith("}")
     short = J.type_definitions(asked, types, stages, code(spark, "a.ts", *body), text_cap=20).collect()[0]["text"]
     assert short.startswith("interface Wide {\n  f") and "field9" not in short
+
+
+def test_dep_usage_gives_all_importing_files_and_reads_scripts_whole(spark):
+    deps = spark.createDataFrame([("vue",), ("jest",), ("socket.io",), ("c.js",), ("left",)], "name string")
+    imports = [("vue", f"src/f{i:02d}.ts") for i in range(9)] + [("vue", "tests/a.test.ts"), ("jest", "tests/b.test.ts"), ("jest", "tests/a.test.ts"), ("other", "src/f00.ts")]
+    scripts = spark.createDataFrame([("start", "node socket.io --now"), ("dev", "run cxjs")], "script string, command string")
+    pairs = spark.createDataFrame(imports, "package string, path string")
+    found = {r["name"]: (r["usage"], r["import_count"], r["import_files"]) for r in J.dep_usage(deps, pairs, scripts).collect()}
+    assert found == {
+        "vue": ("import", 9, [f"src/f{i:02d}.ts" for i in range(9)]), "jest": ("test", 2, ["tests/a.test.ts", "tests/b.test.ts"]),
+        "socket.io": ("script", 0, []), "c.js": ("none", 0, []), "left": ("none", 0, [])}
+    assert {r["name"]: len(r["import_files"]) for r in J.dep_usage(deps, pairs, scripts, cap=5).collect()}["vue"] == 5
