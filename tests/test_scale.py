@@ -113,3 +113,23 @@ def test_channel_stats_makes_its_lines_once(spark):
 
     plan = catalog.all_queries()["channel_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "split(text" not in plan
+
+
+def test_large_sets_meet_in_blocks(spark, monkeypatch):
+    """Sets beyond AT_HAND over several parts and bands: all pairs are found, and none is grouped or written before it is counted."""
+    monkeypatch.setattr(S, "BLOCK", 1500)
+    monkeypatch.setattr(S, "AT_ONCE", 300)
+    rng = random.Random(7)
+    sets = {}
+    for i in range(60):
+        base = sets[rng.randrange(i)] if i and rng.random() < 0.7 else set(rng.sample(range(900), rng.randrange(60, 400)))
+        sets[i] = {x for x in base if rng.random() < rng.choice((0.7, 0.9, 1))} | set(rng.sample(range(900), rng.randrange(12)))
+    df = spark.createDataFrame([(k, str(x)) for k, v in sets.items() for x in v] + [(3, None), (5, None)], "k long, e string")
+    none = lambda k: k in (3, 5)  # noqa: E731 - a null counts for the size and is equal to none
+    score = {(a, b): len(sets[a] & sets[b]) / (len(sets[a] | sets[b]) + none(a) + none(b)) for a in sets for b in sets if a < b}
+    for t, strict in ((0.3, False), (0.5, True), (0.6, False), (0.8, False)):
+        found = S.jaccard_sets(S.set_groups(df, "k", "e")[1], t, strict)
+        got = [((min(r["a"], r["b"]), max(r["a"], r["b"])), round(r["jaccard"], 9)) for r in found.collect()]
+        assert sorted(got) == sorted((p, round(j, 9)) for p, j in score.items() if (j > t if strict else j >= t - 1e-12))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "count(1)" not in plan and "FlatMapGroupsInPandas" in plan
