@@ -133,3 +133,18 @@ def test_large_sets_meet_in_blocks(spark, monkeypatch):
         assert sorted(got) == sorted((p, round(j, 9)) for p, j in score.items() if (j > t if strict else j >= t - 1e-12))
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "count(1)" not in plan and "FlatMapGroupsInPandas" in plan
+
+
+def test_gate_makes_its_lines_once(spark, tmp_path):
+    from codeloom.plans.catalog import Data, all_queries
+
+    all_queries()
+    from codeloom.plans import q_gate
+
+    docs = [(i, "One. Calls `fn_1` here (src/m0/f1.ts:3). Two.\nThree", "en", "web", 40) for i in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, "a b", "T", 3) for i in range(4)], "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    d = Data(spark, str(tmp_path))
+    issues = q_gate._all_issues(d)
+    assert "split(text" not in issues._jdf.queryExecution().optimizedPlan().toString()
+    assert issues.filter("rule = 'thin-evidence'").count() == 1  # page p0
